@@ -7,10 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licenses, mixing, quality, token_counts, warc
+from . import decontam, html, langid, licenses, lm, mixing, ngram_join, quality, token_counts, warc
 from .common import bucket, shared_dir, table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, 3, 90, keep=["doc_id"])
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs, bucket(F.col("doc_id"), 7) == 2)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, keep=["doc_id"])
@@ -38,6 +48,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, keep=["doc_id"])
@@ -62,5 +77,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op8_mixing, op9_license_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op7_decontamination, op8_mixing, op9_license_scan, op10_html_text)}
 ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_license_scan": licenses.oracle()}
