@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import per_text
+
 Q = 8
 _BASE = 0x9E3779B97F4A7C15
 # its powers for joining hashes of two and of four characters
@@ -171,18 +173,39 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, k: int) -> tup
     return int(d[t]), max(0, int(start[t])), min(len(doc), end)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars: int = 16_000_000, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, edits, start, end, matched: one row for each benchmark item in each document."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about block_chars characters, each read when it is needed."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     turn = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for block in range(blocks):
+        yield [(r[0], r[1]) for r in benchmark.where(turn == block).select("item_id", "text").collect()]
+
+
+def flag(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars: int = 16_000_000, name: str = "n_items") -> DataFrame:
+    """The columns of docs and how many benchmark items each document holds."""
+    spark, columns, out = docs.sparkSession, docs.columns, docs
+    marks = []
+    for i, items in enumerate(_blocks(benchmark, block_chars)):
+        sent = spark.sparkContext.broadcast(items)
+
+        def make(sent=sent):
+            index = Index(sent.value, budget)
+            return lambda texts: [pa.array([len(index.find(t.decode("utf-8", "replace"))) if t else 0 for t in texts], pa.int64())]
+
+        marks.append(f"_{name}_{i}")
+        out = per_text(out, "text", None, f"{marks[-1]} long", make)
+    return out.select(*(F.col(f"`{c}`") for c in columns), sum((F.col(m) for m in marks), F.lit(0)).alias(name))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars: int = 16_000_000, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, item_id, edits, start, end, matched: one row for each benchmark item in each document."""
+    spark = docs.sparkSession
     item_type = benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("matched", T.StringType())])
     out = None
-    for block in range(blocks):
-        rows = benchmark.where(turn == block).select("item_id", "text").collect()  # about block_chars characters
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    for items in _blocks(benchmark, block_chars):
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, budget)

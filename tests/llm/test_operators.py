@@ -1,0 +1,460 @@
+"""The corpus operators against brute force, exact round trips and held-out accuracy, on small tables."""
+
+import binascii
+import collections
+import hashlib
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from colonnade.llm import decontam, entry, html, langid, licenses, lm, mixing, ngram_join, quality, token_counts, warc
+from colonnade.llm.common import shared_dir
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def odd_docs():
+    """Nulls in every column, empty and blank texts, repeated rows, a long text and ties."""
+    long_ = " ".join(f"word{i % 997} more{i % 13}" for i in range(20_000))
+    return [
+        (1, "alpha beta gamma delta", "en", "a", 22), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n\t ", None, "b", 4),
+        (None, "alpha beta gamma delta", "en", "a", 22), (1, "alpha beta gamma delta", "en", "a", 22), (5, long_, "en", None, len(long_)),
+        (6, long_ + " x", "en", "b", None), (7, "123 456 !!!", "de", "b", 11), (8, "one", "en", "b", 3), (9, "ÄÖ é\x1f\x85x y", "de", "a", 9),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # extra columns with names that the operators use themselves
+    return spark.createDataFrame(odd_docs(), DOCS).withColumns({"n_words": F.lit("clash"), "kept": F.lit("clash"), "row": F.lit(1), "size": F.lit(2), "key": F.lit(3)})
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def brute_join(rows, n, percent):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(s), least.get(find(i), d)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def varied(seed=3, groups=12, copies=14):
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 5, 12, 60, 300]))]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 25) + 1)):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(400)}"
+            rows.append((len(rows) * 7 % 1009, (" ".join(text)).upper() if rng.random() < 0.2 else " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_join_equals_brute_force(spark, n, percent):
+    rows = varied() + [(r[0], r[1]) for r in odd_docs()]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, keep=["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_join(rows, n, percent)
+
+
+def test_join_keeps_columns_and_empty_table(spark, odd):
+    out = ngram_join.join(odd)
+    assert out.columns == [*odd.columns, "n_shingles", "set_key", "component_id"] and out.count() == odd.count()
+    assert ngram_join.join(odd.limit(0)).count() == 0
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        center = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(8)] + [center, center[1:]]
+        for percent in (50, 80, 90):
+            want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, center)) >= percent * len(np.union1d(s, center))]
+            assert sorted(ngram_join.divide_skip(center, sets, percent)) == want
+
+
+def test_linked_sets_share_parts():
+    rng, bounds = np.random.default_rng(5), ngram_join.size_classes(90)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(10, 400)).astype(np.uint64))
+        b = a[rng.random(len(a)) > 0.04]
+        b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, rng.integers(0, 3)).astype(np.uint64))))
+        if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) and len(a) != len(np.intersect1d(a, b)):
+            for fine in (1, 2):
+                x, y = (ngram_join.part_hashes(s, 90, bounds, fine) for s in (a, b))
+                assert any(len(np.intersect1d(p, q)) >= (fine - 1) * h + ngram_join.T_LISTS for h, p in x for g, q in y if g == h)
+
+
+def lm_check(rows, got):
+    held = {i: binascii.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for i, (d, _) in enumerate(rows)}
+    tokens = [[*WORD.findall(lower(t)), None] for _, t in rows]
+    c = collections.Counter(w for i, ts in enumerate(tokens) if not held[i] for w in ts)
+    total = sum(c.values())
+    want = []
+    for i, (d, _) in enumerate(rows):
+        base = sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in tokens[i])
+        want.append((d, held[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), total, base))
+    key = lambda r: (r[0] is None, r[0] or 0, r[5])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("hot", [200_000, 40])
+def test_lm_base_equals_brute_force(spark, documents, hot):
+    rows = [(r[0], r[1]) for r in odd_docs()] + [tuple(r) for r in documents.select("doc_id", "text").limit(60).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from colonnade.llm.common import bucket
+
+    got = lm.score_texts(df, bucket(F.col("doc_id"), 7) == 2, hot=hot, steps=20, rounds=1)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    got = got.collect()
+    lm_check(rows, [tuple(r)[:6] for r in got])
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_lm_edge_tables(spark):
+    from colonnade.llm.common import bucket
+
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score_texts(empty, bucket(F.col("doc_id"), 7) == 2).count() == 0
+    # all held out: nothing is learned
+    r = lm.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
+    assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3) and r["base_score"] == 0 and r["score"] < 0
+
+
+def test_lm_gradient_and_distribution():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 50, 600)
+    start = rng.random(600) < 0.4
+    ready = lm.setup(counts, 10, start)
+    flat = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)).astype(np.float64)
+    inputs, target, ok, before, _ = lm.blocks([rng.integers(0, 600, n) for n in (5, 40, 17)], ready)
+    args = (inputs, inputs[np.arange(len(inputs)) - 1], before, ready.cls[target], ok)
+    _, g = lm.gradient(flat, *args)
+    for i in [*rng.integers(0, lm.SIZE, 30), *np.argsort(-np.abs(g))[:30]]:
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert abs((lm.gradient(up, *args)[0] - lm.gradient(down, *args)[0]) / 2e-5 - g[i]) < 1e-4
+    # the probabilities of every next piece and the end sum to 1, whatever stands before
+    for prefix in ([], [3], list(rng.integers(0, 600, 37))):
+        p = [lm.score(flat.astype(np.float32), ready, [np.array([*prefix, x], np.int64)])[0][len(prefix)] for x in range(600)]
+        p.append(lm.score(flat.astype(np.float32), ready, [np.array(prefix, np.int64)])[0][len(prefix)])
+        assert abs(sum(p) - 1) < 1e-3
+
+
+def test_lm_windows_score_each_piece_once():
+    rng = np.random.default_rng(1)
+    ready = lm.setup(rng.integers(0, 50, 600), 10, rng.random(600) < 0.4)
+    flat = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    many = [rng.integers(0, 600, n) for n in (0, 1, 15, 16, 17, 100)]
+    together = lm.score(flat, ready, many)[0]
+    alone = np.concatenate([lm.score(flat, ready, [x])[0] for x in many])
+    assert len(together) == sum(len(x) + 1 for x in many) and np.allclose(together, alone, rtol=1e-4)
+
+
+def test_tree_mixture_is_a_distribution():
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 6, rng.integers(1, 5)) for _ in range(40)]
+    tree = lm.Tree(np.concatenate(words), np.array([len(w) for w in words]), rng.integers(1, 9, 40))
+    for before in ([1], [1, 2], [5, 0, 3]):
+        total, end = 0.0, None
+        for x in range(6):
+            w = np.array([*before, x])
+            at = len(before) - 1
+            a, b, c, d = (y[at] for y in tree.mixed(tree.raw(w, np.array([len(w)]))))
+            end = b
+            total += d
+            weight = 1 - c
+        assert -1e-9 <= end <= 1 and total <= weight + 1e-6
+
+
+def test_token_counts_equal_the_library(documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocab = token_counts.vocabulary()
+    lib = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", min(s for _, s in vocab)), *vocab], unk_id=0, byte_fallback=False))
+    fused, plain = token_counts.Counter(vocab, fuse=True), token_counts.Counter(vocab)
+    texts = [r[0] for r in documents.select("text").limit(60).collect()] + [t for _, t, *_ in odd_docs() if t and len(t) < 1000] + ["日本 語\n\n  x", "▁ a▁b ▁▁"]
+    for t in texts:
+        marked = token_counts.MARK + t.replace(" ", token_counts.MARK)
+        assert fused(t) == len(lib.encode(marked).tokens)
+        assert plain(t) == plain.path(marked)[1]
+
+
+def test_token_counts_on_odd_rows(spark, odd):
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(odd, keep=["doc_id"]).collect()}
+    assert got[2] == 0 and got[3] == 0 and got[4] > 0
+    assert token_counts.count_tokens(odd).columns == [*odd.columns, "n_tokens"]
+    assert token_counts.count_tokens(odd.limit(0)).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = collections.Counter(windows)
+    repeat = {j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 8)}
+    lines, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeat)
+
+
+def test_quality_counts_equal_brute_force(documents):
+    texts = [r[0] for r in documents.select("text").collect()] + [r[1] for r in odd_docs()] + ["a b c d e f g h " * 3, "x\nx\n \n \nx"]
+    for t in texts:
+        assert quality.statistics((t or "").encode())[:5] == brute_quality(t)
+
+
+def test_quality_rules_learn(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(documents, labels)
+    out = quality.judge(documents, rules, ["doc_id"]).join(labels, "doc_id").toPandas()
+    assert rules.rules and (out[out.quality == 1].query("not base_failed").kept).mean() > 0.95
+    assert (~out[out.quality == 0].kept).mean() > 0.7
+    assert ((out.n_words < 20) | (100 * out.n_repeat_words > 30 * out.n_words)).equals(out.base_failed)
+
+
+def test_quality_edges(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rules = quality.fit(odd, none)
+    assert not rules.rules
+    out = {r["doc_id"]: r for r in quality.judge(odd, rules, ["doc_id"]).collect()}
+    assert out[2]["base_failed"] and not out[3]["kept"] and out[2]["n_words"] == 0
+    assert quality.fit(odd, spark.createDataFrame([(None, 0, None), (5, None, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")).rules == []
+    assert quality.judge(odd.limit(0), rules, ["doc_id"]).count() == 0
+
+
+def test_learned_lists_are_ordered_and_precise():
+    rng = np.random.default_rng(0)
+    x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
+    bad = (x["a"] > 0.8) & (x["b"] <= 0.5) | (x["c"] > 0.95)
+    rules = quality.learn(x, bad).rules
+    hit = np.zeros(3000, bool)
+    for r in rules:
+        hit |= r.holds(x)
+    assert len(rules) >= 2 and bad[hit].mean() > 0.95 and hit[bad].mean() > 0.85
+
+
+def test_warc_round_trip(spark):
+    same = "<p>" + "x" * 200
+    rows = [(3, "http://a/1", same), (1, "http://a/2", same), (2, None, "short"), (4, "http://b\r\nX: y", "short"), (5, "u", None), (5, "u", None), (None, "n", same), (9, "é", "ü" * 60), (1, "http://a/2", same)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    path = f"{shared_dir(spark)}/round"
+    warc.write(pages, path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    back = warc.read(spark, path).collect()
+    assert len(back) == len(rows)
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"], r["payload_digest"]) for r in back)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        revisit = h == same and i != 1
+        want.append((str(i), "revisit" if revisit else "response", "1" if revisit else "None", len(b), hashlib.sha256(b).hexdigest()))
+    assert got == sorted(want)
+    data = b"".join(bytes(r["record"]) for r in back)
+    parsed = list(warc.parse(data))
+    assert len(parsed) == len(rows)
+    for fields, body in parsed:
+        if fields["WARC-Type"] == "response":
+            assert "sha256:" + hashlib.sha256(body).hexdigest() == fields["WARC-Payload-Digest"]
+
+
+def test_warc_finds_damage(spark):
+    path = f"{shared_dir(spark)}/damaged"
+    warc.write(spark.createDataFrame([(1, "u", "<b>")], "page_id long, url string, html string"), path)
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("<i>"), "UTF-8")).collect()
+    spark.createDataFrame(bad).write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read(spark, path).collect()
+
+
+def test_warc_empty(spark):
+    path = f"{shared_dir(spark)}/empty"
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read(spark, path).count() == 0
+
+
+def test_language_held_out(spark):
+    out = entry.op6_language_id(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    held = out.where("held_out").join(docs, "doc_id").toPandas()
+    assert (held.lang == held.lang_pred).mean() > 0.97 and held.score.between(0, 1).all()
+
+
+def test_language_edges(spark, odd):
+    assert {r["lang_pred"] for r in langid.identify(odd, None, ["doc_id"]).collect()} == {"und"}
+    model = langid.fit(odd)
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, model, ["doc_id"]).collect()}
+    assert out[2] == out[3] == out[4] == out[7] == ("und", 0.0) and out[5][0] == "en"
+    one = langid.fit(odd.where("lang = 'en'"))
+    assert {r["lang_pred"] for r in langid.identify(odd, one, ["doc_id"]).collect()} == {"und", "en"}
+    assert langid.fit(odd.limit(0)) is None and langid.identify(odd.limit(0), model, ["doc_id"]).count() == 0
+
+
+def edit_distance_within(item, text):
+    """Least edits between item and any region of text."""
+    row = np.zeros(len(text) + 1, np.int64)
+    lane = np.arange(len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+        row = np.minimum.accumulate(new - lane) + lane
+    return int(row.min())
+
+
+def test_decontamination_equals_brute_force(spark, documents):
+    rng = random.Random(4)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(12).collect()] + [(100, None), (101, "tiny"), (102, "")]
+    docs = [(r["doc_id"], r["text"]) for r in documents.where("n_chars < 1500").limit(40).collect()]
+    for j in range(40):
+        item = list(rng.choice(bench[:12])[1])
+        for _ in range(rng.randrange(0, len(item) // 7)):
+            at = rng.randrange(len(item))
+            item[at : at + rng.randrange(2)] = rng.choice(["", "x", "é", "qq"])
+        docs.append((1000 + j, f"some words before {''.join(item)} and after"))
+    docs += [(None, bench[0][1]), (2000, bench[1][1].upper()), (2001, None), (2002, "")]
+    want = set()
+    for d, t in docs:
+        for i, b in bench:
+            a, x = decontam.normalise(t or ""), decontam.normalise(b or "")
+            if len(x) >= decontam.Q and len(a):
+                k = min(int(len(x) * 0.1), (len(x) - decontam.Q) // decontam.Q)
+                e = edit_distance_within(x, a)
+                if e <= k:
+                    want.add((d, i, e))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    bench_df = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontam.find(df, bench_df)
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()} == want and len(want) > 20
+    small = decontam.find(df, bench_df, block_chars=600)
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in small.collect()} == want
+    flagged = decontam.flag(df, bench_df, block_chars=600)
+    assert flagged.columns == [*df.columns, "n_items"]
+    assert {r["doc_id"] for r in flagged.where("n_items > 0").collect()} == {d for d, _, _ in want}
+
+
+def test_decontamination_empty(spark, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.find(odd, none).count() == 0 and decontam.flag(odd, none).where("n_items = 0").count() == odd.count()
+
+
+def test_targets():
+    got = mixing.targets([("b", 100), (None, 100), ("a", 100)])
+    assert [s for s, _, _ in got] == ["a", "b", None] and [round(t) for _, _, t in got] == [50, 100, 150]
+    capped = mixing.targets([("a", 1000), ("b", 1000), ("c", 10)])
+    assert capped[2][2] == 30 and abs(sum(t for *_, t in capped) - 2010) < 1e-6
+    assert mixing.targets([("a", 0), ("b", 0)])[0][2] == 0
+
+
+def test_mixing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mixing.mix(docs, keep=["doc_id", "source"])
+    got = out.toPandas()
+    again = mixing.mix(docs.repartition(7), keep=["doc_id", "source"]).toPandas()
+    key = ["doc_id", "taken"]
+    assert got[key].sort_values(key).to_numpy().tolist() == again[key].sort_values(key).to_numpy().tolist()
+    assert len(got) == docs.count() and (got.taken <= 3 * got["size"]).all()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1
+        assert g.source_size.iloc[0] == g["size"].sum()
+
+
+def test_mixing_edges(spark, odd):
+    out = mixing.mix(odd, keep=["doc_id"])
+    got = out.collect()
+    assert len(got) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert {r["size"] for r in got if r["doc_id"] in (2, 3, 4)} == {0}
+    assert mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mix(odd.drop("size")).columns[: len(odd.columns) - 1] == odd.drop("size").columns
+
+
+def test_license_scan(spark):
+    grant, notice, warranty, liability = (licenses.SENTENCES[i] for i in (10, 11, 12, 13))
+    rows = [
+        (1, "Some text.\nReleased under the MIT License.\nEnd."), (2, f"{grant}\n\n{notice}\n\n{warranty} {liability}"), (3, f"{grant} {notice}"), (4, "No license is given here. permission"),
+        (5, None), (6, ""), (7, "licensed  under the APACHE license, version 2.0!\nLicensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."), (7, "x licensed under the Apache License, Version 2.0."), (None, "Released under the MIT License."),
+        (8, " ".join(licenses.SENTENCES[i] for i in (5, 6, 7, 8, 9))), (9, licenses.SENTENCES[14] + "\n" + licenses.SENTENCES[16]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), r["license"], r["n_hits"], r["first_sentence"]) for r in licenses.scan(df).collect())
+    assert got == [("1", "MIT", 1, 2), ("2", "MIT", 1, 1), ("3", "MIT", 1, 1), ("7", "Apache-2.0", 1, 1), ("7", "CC-BY-NC-4.0", 2, 2), ("8", "Apache-2.0", 1, 1), ("9", "GPL-3.0-or-later", 1, 1), ("None", "MIT", 1, 1)]
+    con = duckdb.connect()
+    con.register("documents", df.drop("license").toPandas())
+    assert sorted((str(r[0]), *r[1:]) for r in con.sql(licenses.oracle()).fetchall() if r[0] is not None and r[0] == r[0]) == sorted((str(float(r["doc_id"])), r["license"], r["rule"], r["n_hits"], r["first_sentence"]) for r in licenses.scan(df).collect() if r["doc_id"] is not None)
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_every_known_license_sentence_has_an_anchor():
+    for sentence in licenses.SENTENCES.values():
+        assert any(a in sentence.lower() for a in licenses.ANCHORS), sentence
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header>Site</header><nav><ul><li><a href=/x>menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>
+<article><h1>A &amp; B</h1><p><b>One&nbsp;two<br><p>Three
+  four &lt;tag&gt; &#233;&unknown;</p><div class="share-buttons">Share</div><ul><li>i<li>j</ul><form>f</form>
+<p>shared passage</p><section id="comments"><p>I like it</p></section></article><aside>side</aside><footer>&copy; foot</footer></body></html>"""
+
+
+def test_html_text():
+    assert html.text_of(html.parsed(PAGE)) == "A & B\n\nOne two\n\nThree four <tag> é&unknown;\n\ni\n\nj\n\nshared passage"
+    assert html.text_of(html.parsed("just text &amp; more")) == "just text & more"
+    assert html.text_of(html.parsed("")) == "" and html.text_of(html.parsed("<p>a<p>b</div>c")) == "a\n\nbc"
+    assert html.text_of(html.parsed("<div>" * 5000 + "deep" + "</div>" * 5000)) == "deep"
+
+
+def test_html_template(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><div class=top><span>Our site {'' if i else '!'}</span></div><div><p>Text number {i}</p><p>the same passage</p></div><div>Call us <i>now</i></div></body>") for i in range(20)]
+    pages += [(100, None, None), (101, "x", "<p>alone</p>"), (102, "http://o.example/", "<article><p>only</p></article>")]
+    pages += [(200 + i, "http://copies.example/", "<div><p>all pages are equal</p></div>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(df, keep=["page_id", "url"]).collect()}
+    assert got[5] == ("Text number 5\n\nthe same passage", len("Text number 5\n\nthe same passage"))
+    assert got[100] == ("", 0) and got[101][0] == "alone" and got[102][0] == "only" and got[203][0] == "all pages are equal"
+    assert html.extract(df.drop("text").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_warc", "op9_license_scan"])
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    want = con.sql(entry.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    got = entry.QUERIES[name](spark, DATA).select(columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in con.sql(f"select {', '.join(columns)} from want").fetchall())
