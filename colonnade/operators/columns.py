@@ -190,3 +190,23 @@ def islands(columns: DataFrame, by: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(by)
     new = columns.withColumn("new", (F.col(by) - F.lag(by).over(w) != 1).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w))
     return new.groupBy("doc_id", "island").agg(F.min(by).alias("first"), F.max(by).alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def row_track(rows: DataFrame, bin_width: int, reference: int) -> DataFrame:
+    """What bins of columns of each row show against the reference: the first base that differs, else gap, else same.
+
+    Bins without a covered column are left out.
+    """
+    ref = R.cells(rows.where(F.col("idx") == reference)).select("doc_id", "col", F.col("base").alias("ref"))
+    both = R.cells(rows).join(F.broadcast(ref), ["doc_id", "col"], "left")
+    differs = ~F.col("base").eqNullSafe(F.col("ref"))
+    base = F.min(F.when(differs & (F.col("base") != S.GAP), F.struct("col", "base")))["base"]
+    gap = F.bool_or(differs & (F.col("base") == S.GAP))
+    bins = both.groupBy("doc_id", "idx", F.floor(F.col("col") / bin_width).cast("int").alias("bin"))
+    return bins.agg(F.coalesce(base, F.when(gap, S.GAP).otherwise("same")).alias("shows"))
+
+
+def quality_track(reads: DataFrame, bin_width: int) -> DataFrame:
+    """Rounded mean quality of bins of each read (quals)."""
+    each = reads.select("file", "read_no", F.posexplode("quals").alias("col", "q"))
+    return each.groupBy("file", "read_no", F.floor(F.col("col") / bin_width).cast("int").alias("bin")).agg(F.expr("(sum(q) + count(*) div 2) div count(*)").cast("int").alias("q"))

@@ -298,3 +298,10 @@ def demo(spark: SparkSession, length: int, n: int, seed: int = 7) -> DataFrame:
     return ids.select(F.lit(1).cast("long").alias("doc_id"), "idx", F.when(F.col("idx") == 0, "reference").otherwise(F.concat(F.lit("genome_"), "idx")).alias("name"), F.lit("").alias("description"), F.lit(0).alias("start"), data.alias("data"), F.array(entry("clade", (F.col("idx") % 6).cast("string")), entry("year", (2015 + F.col("idx") % 9).cast("string"))).alias("meta"))
 
 
+
+
+@query("C32_quality_track", READS_SQL + ", q AS (SELECT file, read_no, unnest(range(length(qual))) AS col, read_no % 40 AS q FROM reads) SELECT file, read_no, CAST(col // 7 AS INTEGER) AS bin, CAST((sum(q) + count(*) // 2) // count(*) AS INTEGER) AS q FROM q GROUP BY 1, 2, 3")
+def c32(spark, d):
+    r = reads(spark, d)
+    quals = F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    return C.quality_track(r.select("file", "read_no", quals.alias("quals")), 7)

@@ -522,3 +522,12 @@ def o10(spark, d):
 @query("U02_collapse_identical", "SELECT start, data, count(*) AS n, min(idx) AS row FROM rows WHERE idx <> 0 GROUP BY start, data")
 def u02(spark, d):
     return X.rows(spark, d).where("idx <> 0").groupBy("start", "data").agg(F.count("*").alias("n"), F.min("idx").alias("row"))
+
+
+@query(
+    "C31_row_track",
+    """SELECT c.idx, CAST(c.col // 8 AS INTEGER) AS bin, coalesce(arg_min(c.base, c.col) FILTER (c.base IS DISTINCT FROM r.base AND c.base <> '-'), CASE WHEN bool_or(c.base IS DISTINCT FROM r.base AND c.base = '-') THEN '-' ELSE 'same' END) AS shows
+    FROM cells c LEFT JOIN cells r ON r.idx = 0 AND r.col = c.col GROUP BY 1, 2""",
+)
+def c31(spark, d):
+    return C.row_track(X.rows(spark, d), 8, 0).select("idx", "bin", "shows")
