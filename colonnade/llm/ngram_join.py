@@ -5,14 +5,17 @@ A document is the set of its distinct word n-grams as 64-bit hashes; documents w
 are exact:
 
 1. Lists. Linked sets of a size class differ in at most H elements, so if each set is cut into H + T parts by hash, linked
-   sets have at least T = 3 equal parts. The hash of a part is its entry in an inverted index, and candidates are classes
-   that are together on T lists. Parts hold about ten n-grams, so a common phrase or a boilerplate passage makes no list.
-2. DivideSkip over the lists of a class: its longest list is not merged. Two linked sets skip two lists at most, and are
-   still together on one that neither skips.
+   sets have at least T equal parts. The hash of a part is its entry in an inverted index, and candidates are classes that
+   are together on T lists. Parts hold several n-grams, so a common phrase or a boilerplate passage makes no list. T is 3,
+   and larger where parts are so small that some are empty by chance, which makes long lists that mean nothing.
+2. DivideSkip over the lists of a class: with lists ordered by length, the T - 1 longest are not merged. Two classes on T
+   common lists are still together on one that neither skips.
 3. Links to centers. On each list the class with the longest lists altogether is the center (of near copies that is the
    text they vary). Each class is checked against its most frequent center only; the links found are contracted to groups.
-4. Remaining candidates are classes on a common list that are still in different groups; all of these are checked. Inside a
-   group nothing is left to gain, so a group of thousands of near copies never becomes all its pairs.
+4. Classes that still share a list with a class of another group get finer lists, 3 H + T parts of which linked sets share
+   2 H + T, so that all but the H + 1 shortest are skipped. The members of a list meet in blocks of bounded size, with all
+   their parts; pairs of different groups that agree in as many parts are candidates. Inside a group nothing is left to
+   gain, so thousands of near copies never become all their pairs.
 
 A check is a T-occurrence search in a block of sets against one center: inverted lists over the block, the short ones
 merged with a heap, the long ones probed by binary search for those sets that can still reach the overlap.
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, per_text, rolling
 
-T_LISTS = 3
+FINE = 3
+BLOCK = 512
 SLOTS = 1 << 22
 
 
@@ -79,19 +83,32 @@ def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(bounds)
 
 
-def part_hashes(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
-    """Hashes of the parts of a set for its size class, and for the next one if a linked set can be in it."""
+def differences(percent: int, bounds: np.ndarray, at: int) -> int:
+    """H: most elements in which linked sets of a size class differ, as |a ^ b| <= (|a| + |b|) (100 - p) / (100 + p)."""
+    return int(2 * (bounds[at + 1] - 1) * (100 - percent) // (100 + percent))
+
+
+def lists_shared(percent: int, h: int) -> int:
+    """T: how many of their H + T parts linked sets share at least."""
+    return 3 + (h // 6 if percent < 86 else 0)
+
+
+def part_hashes(s: np.ndarray, percent: int, bounds: np.ndarray, fine: int = 1) -> list[tuple[int, np.ndarray]]:
+    """(H, part hashes) of a set for its size class, and for the next one if a linked set can be in it.
+
+    A hash has the number of its class in the upper byte. Linked sets of a class differ in at most H elements; there are
+    fine * H + T parts, so linked sets share at least (fine - 1) * H + T of them.
+    """
     n = len(s)
     c = int(np.searchsorted(bounds, n, "right")) - 1
     out = []
     for at in (c, c + 1):
         if at > c and 100 * n < percent * bounds[at]:
             break
-        # |a ^ b| <= (|a| + |b|) (100 - p) / (100 + p)
-        h = int(2 * (bounds[at + 1] - 1) * (100 - percent) // (100 + percent))
+        h = differences(percent, bounds, at)
         if h < 1:  # only equal sets link
             continue
-        k = h + T_LISTS
+        k = fine * h + lists_shared(percent, h)
         part = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
         part = (part % np.uint64(k)).astype(np.int64)
         by = np.argsort(part, kind="stable")
@@ -101,9 +118,9 @@ def part_hashes(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
         sums = np.zeros(k, np.uint64)
         present, first = np.unique(part[by], return_index=True)
         sums[present] = np.add.reduceat(mixed, first)
-        sums = (sums + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at + 1)) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append(sums ^ (sums >> np.uint64(32)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        sums = (sums + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((h, (sums ^ (sums >> np.uint64(32))) >> np.uint64(8) | np.uint64(at << 56)))
+    return out
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -206,13 +223,83 @@ def _items(keys: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["key", "items"])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, text: str, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
+    """(key, items) of at least the classes in pairs (a, b), as a table."""
     ends = pairs.select("a").union(pairs.select("b")).select(F.pmod("a", F.lit(SLOTS)).cast("int").alias("slot")).distinct()
     slots = ends.toPandas()["slot"].to_numpy(np.int64)  # at most SLOTS numbers
     marked = np.zeros(SLOTS, np.uint8)
     marked[slots] = 1
-    sets = materialize(_sets(docs, marked, n, text), "sets")
+    return materialize(_sets(docs, marked, n, text), "sets")
+
+
+def _candidates(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in open_ (key, label) with different labels that agree in enough of their finer parts."""
+    bounds = size_classes(percent)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, labels, h, sigs, codes = [], [], [], [], []
+            for key, label, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for most, parts in part_hashes(np.sort(items.values.to_numpy().view(np.uint64)), percent, bounds, FINE):
+                    keys.append(key)
+                    labels.append(label)
+                    h.append(most)
+                    sigs.append(parts.view(np.int64))
+                    # two bytes a part are enough to compare: a chance agreement only adds a candidate
+                    codes.append((parts & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int64()), pa.array(h, pa.int32()), _items(keys, sigs).column(1), pa.array(codes, pa.binary())], names=["key", "label", "h", "parts", "codes"])
+
+    parts = materialize(sets.join(open_, "key").select("key", "label", "items").mapInArrow(cut, "key long, label long, h int, parts array<long>, codes binary"), "parts")
+    on_list = Window.partitionBy("sig")
+    rows = parts.select("key", "label", "h", F.posexplode("parts").alias("pos", "sig")).withColumn("len", F.count("*").over(on_list))
+    turn = F.row_number().over(Window.partitionBy("key", "h").orderBy("len", "sig"))
+    rows = rows.withColumn("turn", turn).where("turn <= h + 1 and len > 1")
+    rows = rows.withColumns({"lo": F.min("label").over(on_list), "hi": F.max("label").over(on_list), "blocks": F.ceil(F.count("*").over(on_list) / BLOCK).cast("int")}).where("lo < hi")
+    rows = materialize(rows.select("sig", F.col("pos").cast("short").alias("pos"), "key", "label", "h", "blocks"), "open")
+    kept = rows.groupBy("key", "h").agg(F.sort_array(F.collect_list("pos")).alias("kept")).join(parts.select("key", "h", "codes"), ["key", "h"])
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = rows.join(kept, ["key", "h"]).select("sig", "pos", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "pos", "kept", "codes", "h")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def pairs() -> pa.RecordBatch:
+            _, lo, hi = held[0][:3]
+            keys, labels, blocks = (np.array([x[i] for x in held], np.int64) for i in (4, 5, 3))
+            codes = np.stack([np.frombuffer(x[8], np.uint16) for x in held])
+            pos, k = held[0][6], codes.shape[1]
+            mine = np.zeros(codes.shape, bool)
+            for i, x in enumerate(held):
+                mine[i, x[7]] = True
+            left = np.flatnonzero(blocks == lo)
+            right = left if lo == hi else np.flatnonzero(blocks == hi)
+            least = k - held[0][9]
+            out = []
+            for i in left.tolist():
+                j = right[keys[right] > keys[i]] if lo == hi else right
+                j = j[labels[j] != labels[i]]
+                if len(j):
+                    same = codes[j] == codes[i]
+                    # a pair counts on the first list that both keep
+                    good = (same.sum(1) >= least) & ((same & mine[j] & mine[i]).argmax(1) == pos)
+                    out += [(min(keys[i], x), max(keys[i], x)) for x in keys[j[good]].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield pairs()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield pairs()
+
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets link."""
     rows = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +339,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
-                sigs.append(part_hashes(s, percent, bounds).view(np.int64))
+                sigs.append(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for _, x in part_hashes(s, percent, bounds))]))
             return [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), _items(keys, sigs).column(1)]
 
         return work
@@ -264,24 +351,24 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 
     on_list = Window.partitionBy("sig")
     lists = base.select(F.explode("sigs").alias("sig"), "key").withColumn("len", F.count("*").over(on_list)).where("len > 1")
-    # the longest list of each class is skipped; weight: how long the lists of a class are altogether
-    own = lists.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("len", "sig")), False).alias("all"))
-    own = own.select("key", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["len"]).alias("weight"), F.slice("all", 2, 1 << 30).alias("rest")).where(F.size("rest") > 0)
+    # of the lists of a set in a size class the longest are skipped; weight: how long all lists of a set are
+    skip = F.array(*(F.lit(lists_shared(percent, differences(percent, bounds, at))) for at in range(len(bounds) - 1)))
+    own = lists.groupBy("key", F.shiftright("sig", 56).alias("class")).agg(F.sort_array(F.collect_set(F.struct("len", "sig")), False).alias("all"))
+    own = own.select("key", "class", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["len"]).alias("weight"), F.slice("all", F.element_at(skip, F.col("class").cast("int") + 1), F.lit(1 << 30)).alias("rest")).where(F.size("rest") > 0)
     short = materialize(own.select("key", "weight", F.explode("rest.sig").alias("sig")), "lists")
     center = F.max_by("key", F.struct("weight", "key")).over(on_list)
     first = short.withColumn("center", center).where("center <> key").groupBy("key", "center").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     first = materialize(first.select(F.col("center").alias("a"), F.col("key").alias("b")), "pairs")
-    links = materialize(_linked(first, docs, n, text, percent), "links")
+    sets = _sets_of(first, docs, n, text)
+    links = materialize(_linked(first, sets, percent), "links")
     label = groups(links)
     open_ = short.select("sig", "key").join(label, short["key"] == label["node"], "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
-    open_ = materialize(open_.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).where("lo < hi").select("sig", "key", "label").distinct(), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    open_ = open_.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).where("lo < hi").select("key", "label").distinct()
+    rest = _candidates(sets, open_, percent)
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs")
-    if not rest.isEmpty():
-        links = links.union(materialize(_linked(rest, docs, n, text, percent), "links"))
-        label = groups(links)
+    more = materialize(_linked(rest, sets, percent), "links")
+    if not more.isEmpty():
+        label = groups(links.union(more))
     named_by = classes.join(label, classes["key"] == label["node"], "left").select("key", "first_id", "label")
     by_label = named_by.where("label is not null").groupBy("label").agg(F.min("first_id").alias("component"))
     final = named_by.join(by_label, "label", "left").select("key", F.coalesce("component", "first_id").alias("component"))

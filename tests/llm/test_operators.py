@@ -104,16 +104,17 @@ def test_divide_skip_equals_counting():
             assert sorted(ngram_join.divide_skip(center, sets, percent)) == want
 
 
-def test_linked_sets_share_parts():
-    rng, bounds = np.random.default_rng(5), ngram_join.size_classes(90)
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_parts(percent):
+    rng, bounds = np.random.default_rng(5), ngram_join.size_classes(percent)
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 62, rng.integers(10, 400)).astype(np.uint64))
-        b = a[rng.random(len(a)) > 0.04]
+        b = a[rng.random(len(a)) > (1 - percent / 100) / 2.2]
         b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, rng.integers(0, 3)).astype(np.uint64))))
-        if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) and len(a) != len(np.intersect1d(a, b)):
-            for fine in (1, 2):
-                x, y = (ngram_join.part_hashes(s, 90, bounds, fine) for s in (a, b))
-                assert any(len(np.intersect1d(p, q)) >= (fine - 1) * h + ngram_join.T_LISTS for h, p in x for g, q in y if g == h)
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and len(a) != len(np.intersect1d(a, b)):
+            for fine in (1, 2, 3):
+                x, y = (ngram_join.part_hashes(s, percent, bounds, fine) for s in (a, b))
+                assert any(len(np.intersect1d(p, q)) >= (fine - 1) * h + ngram_join.lists_shared(percent, h) for h, p in x for g, q in y if g == h)
 
 
 def lm_check(rows, got):
