@@ -251,15 +251,17 @@ def _candidates(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
 
     parts = materialize(sets.join(open_, "key").select("key", "label", "items").mapInArrow(cut, "key long, label long, h int, parts array<long>, codes binary"), "parts")
     on_list = Window.partitionBy("sig")
-    rows = parts.select("key", "label", "h", F.posexplode("parts").alias("pos", "sig")).withColumn("len", F.count("*").over(on_list))
-    turn = F.row_number().over(Window.partitionBy("key", "h").orderBy("len", "sig"))
-    rows = rows.withColumn("turn", turn).where("turn <= h + 1 and len > 1")
+    rows = parts.select("key", "label", "h", F.size("parts").alias("k"), F.posexplode("parts").alias("pos", "sig")).withColumn("len", F.count("*").over(on_list))
+    # lists of one member come first in the order by length; how many a set has follows from the others
+    own = Window.partitionBy("key", "h")
+    rows = rows.where("len > 1").withColumns({"turn": F.row_number().over(own.orderBy("len", "sig")), "many": F.count("*").over(own)})
+    rows = rows.where(F.col("turn") + F.col("k") - F.col("many") <= F.col("h") + 1)
     rows = rows.withColumns({"lo": F.min("label").over(on_list), "hi": F.max("label").over(on_list), "blocks": F.ceil(F.count("*").over(on_list) / BLOCK).cast("int")}).where("lo < hi")
     rows = materialize(rows.select("sig", F.col("pos").cast("short").alias("pos"), "key", "label", "h", "blocks"), "open")
     kept = rows.groupBy("key", "h").agg(F.sort_array(F.collect_list("pos")).alias("kept")).join(parts.select("key", "h", "codes"), ["key", "h"])
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = rows.join(kept, ["key", "h"]).select("sig", "pos", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "pos", "kept", "codes", "h")
+    wide = rows.join(kept, ["key", "h"]).select("sig", "pos", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    wide = wide.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "pos", "kept", "codes", "h")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -295,7 +297,10 @@ def _candidates(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pairs()
 
-    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(meet, "a long, b long").distinct()
+    found = materialize(wide.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(meet, "a long, b long").distinct(), "pairs")
+    discard(parts)
+    discard(rows)
+    return found
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -345,17 +350,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
         return work
 
     named = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    base = materialize(per_text(named, "text", ["row", "id"], "n long, key long, checked long, sigs array<long>", make), "shingled")
+    full = materialize(per_text(named, "text", ["row", "id"], "n long, key long, checked long, sigs array<long>", make), "shingled")
+    base = materialize(full.select("row", "id", "n", "key", "checked"), "classes")
     classes = base.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.min("checked").alias("c0"), F.max("checked").alias("c1"))
     classes = classes.select("key", F.when(F.col("c0") == F.col("c1"), F.col("first_id")).otherwise(F.raise_error(F.lit("two sets have one key"))).alias("first_id"))
 
     on_list = Window.partitionBy("sig")
-    lists = base.select(F.explode("sigs").alias("sig"), "key").withColumn("len", F.count("*").over(on_list)).where("len > 1")
+    lists = full.select(F.explode("sigs").alias("sig"), "key").withColumn("len", F.count("*").over(on_list)).where("len > 1")
     # of the lists of a set in a size class the longest are skipped; weight: how long all lists of a set are
     skip = F.array(*(F.lit(lists_shared(percent, differences(percent, bounds, at))) for at in range(len(bounds) - 1)))
     own = lists.groupBy("key", F.shiftright("sig", 56).alias("class")).agg(F.sort_array(F.collect_set(F.struct("len", "sig")), False).alias("all"))
     own = own.select("key", "class", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["len"]).alias("weight"), F.slice("all", F.element_at(skip, F.col("class").cast("int") + 1), F.lit(1 << 30)).alias("rest")).where(F.size("rest") > 0)
     short = materialize(own.select("key", "weight", F.explode("rest.sig").alias("sig")), "lists")
+    discard(full)
     center = F.max_by("key", F.struct("weight", "key")).over(on_list)
     first = short.withColumn("center", center).where("center <> key").groupBy("key", "center").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     first = materialize(first.select(F.col("center").alias("a"), F.col("key").alias("b")), "pairs")
@@ -367,6 +374,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     rest = _candidates(sets, open_, percent)
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = materialize(_linked(rest, sets, percent), "links")
+    discard(sets)
     if not more.isEmpty():
         label = groups(links.union(more))
     named_by = classes.join(label, classes["key"] == label["node"], "left").select("key", "first_id", "label")
