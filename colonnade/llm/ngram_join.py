@@ -364,9 +364,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     short = materialize(own.select("key", "weight", F.explode("rest.sig").alias("sig")), "lists")
     discard(full)
     center = F.max_by("key", F.struct("weight", "key")).over(on_list)
-    first = short.withColumn("center", center).where("center <> key").groupBy("key", "center").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+    met = short.withColumn("center", center).where("center <> key").groupBy("key", "center").agg(F.count("*").alias("n"))
+    first = met.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     first = materialize(first.select(F.col("center").alias("a"), F.col("key").alias("b")), "pairs")
-    sets = _sets_of(first, docs, n, text)
+    # all classes that meet another on a list, with centers that no class has as its most frequent one: they may be open below
+    sets = _sets_of(met.select(F.col("center").alias("a"), F.col("key").alias("b")), docs, n, text)
     links = materialize(_linked(first, sets, percent), "links")
     label = groups(links)
     open_ = short.select("sig", "key").join(label, short["key"] == label["node"], "left").select("sig", "key", F.coalesce("label", "key").alias("label"))

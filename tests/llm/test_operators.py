@@ -117,6 +117,30 @@ def test_linked_sets_share_parts(percent):
                 assert any(len(np.intersect1d(p, q)) >= (fine - 1) * h + ngram_join.lists_shared(percent, h) for h, p in x for g, q in y if g == h)
 
 
+def test_join_keeps_a_class_that_is_no_ones_center(spark, monkeypatch):
+    # x links with y and z; z is heavy by lists that are skipped, so it is the center of its lists, but x meets y more often
+    rng, percent, real = random.Random(6), 80, ngram_join.part_hashes
+    words = [[f"a{rng.random()}" for _ in range(52)] for _ in range(11)]
+    words += [[*words[0][:12], "y", *words[0][13:]], [*words[0][:38], "z", *words[0][39:]]]
+    texts = [" ".join(w) for w in words]
+    keys = [ngram_join.digest(ngram_join.shingles(t.encode(), 5))[0] for t in texts]
+    bounds = ngram_join.size_classes(percent)
+    at = int(np.searchsorted(bounds, 48, "right")) - 1
+    h = ngram_join.differences(percent, bounds, at)
+    t = ngram_join.lists_shared(percent, h)
+    long_, with_y, with_z = list(range(1, t)), list(range(100, 101 + t)), list(range(200, 200 + t))
+    lists = {k: long_ for k in keys[1:11]} | {keys[0]: with_y + with_z, keys[11]: long_ + with_y, keys[12]: long_ + with_z}
+
+    def placed(s, percent, bounds, fine=1):
+        if fine > 1:
+            return real(s, percent, bounds, fine)
+        return [(h, np.array(lists[ngram_join.digest(s)[0]], np.uint64) | np.uint64(at << 56))]
+
+    monkeypatch.setattr(ngram_join, "part_hashes", placed)
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, percent, keep=["doc_id"])
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 0 if i > 10 else i for i in range(13)}
+
+
 def lm_check(rows, got):
     held = {i: binascii.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for i, (d, _) in enumerate(rows)}
     tokens = [[*WORD.findall(lower(t)), None] for _, t in rows]
