@@ -251,45 +251,47 @@ def _candidates(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
 
     parts = materialize(sets.join(open_, "key").select("key", "label", "items").mapInArrow(cut, "key long, label long, h int, parts array<long>, codes binary"), "parts")
     on_list = Window.partitionBy("sig")
-    rows = parts.select("key", "label", "h", F.size("parts").alias("k"), F.posexplode("parts").alias("pos", "sig")).withColumn("len", F.count("*").over(on_list))
+    rows = parts.select("key", "label", "h", F.size("parts").alias("k"), F.explode("parts").alias("sig")).withColumn("len", F.count("*").over(on_list))
     # lists of one member come first in the order by length; how many a set has follows from the others
     own = Window.partitionBy("key", "h")
     rows = rows.where("len > 1").withColumns({"turn": F.row_number().over(own.orderBy("len", "sig")), "many": F.count("*").over(own)})
     rows = rows.where(F.col("turn") + F.col("k") - F.col("many") <= F.col("h") + 1)
     rows = rows.withColumns({"lo": F.min("label").over(on_list), "hi": F.max("label").over(on_list), "blocks": F.ceil(F.count("*").over(on_list) / BLOCK).cast("int")}).where("lo < hi")
-    rows = materialize(rows.select("sig", F.col("pos").cast("short").alias("pos"), "key", "label", "h", "blocks"), "open")
-    kept = rows.groupBy("key", "h").agg(F.sort_array(F.collect_list("pos")).alias("kept")).join(parts.select("key", "h", "codes"), ["key", "h"])
+    rows = materialize(rows.select("sig", "key", "label", "h", "blocks"), "open")
+    kept = rows.groupBy("key", "h").agg(F.collect_list("sig").alias("kept")).join(parts.select("key", "h", "codes"), ["key", "h"])
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    wide = rows.join(kept, ["key", "h"]).select("sig", "pos", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wide = wide.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "pos", "kept", "codes", "h")
+    wide = rows.join(kept, ["key", "h"]).select("sig", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    wide = wide.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "kept", "codes", "h")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def pairs() -> pa.RecordBatch:
-            _, lo, hi = held[0][:3]
+            sig, lo, hi = held[0][:3]
             keys, labels, blocks = (np.array([x[i] for x in held], np.int64) for i in (4, 5, 3))
-            codes = np.stack([np.frombuffer(x[8], np.uint16) for x in held])
-            pos, k = held[0][6], codes.shape[1]
-            mine = np.zeros(codes.shape, bool)
-            for i, x in enumerate(held):
-                mine[i, x[7]] = True
+            codes = np.stack([np.frombuffer(x[7], np.uint16) for x in held])
+            mine: dict[int, frozenset[int]] = {}
             left = np.flatnonzero(blocks == lo)
             right = left if lo == hi else np.flatnonzero(blocks == hi)
-            least = k - held[0][9]
+            least = codes.shape[1] - held[0][8]
             out = []
+
+            def kept(i: int) -> frozenset[int]:
+                if i not in mine:
+                    mine[i] = frozenset(held[i][6])
+                return mine[i]
+
             for i in left.tolist():
                 j = right[keys[right] > keys[i]] if lo == hi else right
                 j = j[labels[j] != labels[i]]
                 if len(j):
-                    same = codes[j] == codes[i]
-                    # a pair counts on the first list that both keep
-                    good = (same.sum(1) >= least) & ((same & mine[j] & mine[i]).argmax(1) == pos)
-                    out += [(min(keys[i], x), max(keys[i], x)) for x in keys[j[good]].tolist()]
+                    j = j[(codes[j] == codes[i]).sum(1) >= least]
+                    # a pair counts on the first list that both keep, by whole hashes
+                    out += [(min(keys[i], keys[x]), max(keys[i], keys[x])) for x in j.tolist() if min(kept(i) & kept(x)) == sig]
             return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if held and held[0][:3] != row[:3]:
                     yield pairs()
                     held.clear()

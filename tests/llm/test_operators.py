@@ -141,6 +141,39 @@ def test_join_keeps_a_class_that_is_no_ones_center(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 0 if i > 10 else i for i in range(13)}
 
 
+def test_candidates_despite_equal_codes(spark):
+    # x and y differ in the first part only, where both keep lists whose hashes end with the same two bytes
+    rng, percent, bounds = np.random.default_rng(8), 90, ngram_join.size_classes(90)
+    size = int(bounds[13])
+    common = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+    parts = lambda s: ngram_join.part_hashes(np.sort(s), percent, bounds, ngram_join.FINE)
+    ((h, before),) = parts(common)
+    place = lambda s: (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+    first = lambda s: (place(s) % np.uint64(len(before))) == 0
+    more = rng.integers(0, 1 << 62, 60_000).astype(np.uint64)
+    codes, found = {}, None
+    for e in more[first(more)]:
+        sig = int(parts(np.append(common, e))[0][1][0])
+        if sig < np.sort(before[1:])[h - 1]:
+            if sig & 0xFFFF in codes:
+                found = e, codes[sig & 0xFFFF]
+                break
+            codes[sig & 0xFFFF] = e
+    x, y = (np.append(common, e) for e in found)
+    sets = [x, y]
+    for s in (x, y):  # another set keeps the list of the first part too; it shares all others with a third one
+        while True:
+            other = rng.integers(0, 1 << 62, 2 * size).astype(np.uint64)
+            other = other[~first(other)][: size - int(first(s).sum())]
+            ((_, got),) = parts(np.concatenate((s[first(s)], other)))
+            if got[0] <= np.sort(got)[h]:
+                break
+        sets += [np.concatenate((s[first(s)], other)), np.concatenate((more[first(more)][-len(sets) :][: int(first(s).sum())], other))]
+    sets = spark.createDataFrame([(i, np.sort(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "key long, items array<long>")
+    got = ngram_join._candidates(sets, sets.select("key", F.col("key").alias("label")), percent).collect()
+    assert (0, 1) in {tuple(r) for r in got}
+
+
 def lm_check(rows, got):
     held = {i: binascii.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for i, (d, _) in enumerate(rows)}
     tokens = [[*WORD.findall(lower(t)), None] for _, t in rows]
