@@ -477,6 +477,21 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r["doc_id"], r["license"], r["rule"], r["n_hits"], r["first_sentence"]) for r in licenses.scan(df).collect())
+
+
+def test_license_identifiers_and_versions(spark, monkeypatch):
+    names = ["Apache-2.0", "MIT", "GPL-3.0-only", "BSD-3-Clause"]
+    texts = [f"x\n// SPDX-License-Identifier: {n}\ncode" for n in [*names, "LGPL-2.1-only", "MIT-0"]]
+    texts.append(licenses.SENTENCES[15].replace("version 2", "version 3"))
+    assert scanned(spark, texts) == [(i, n, 25 + i, 1, 2) for i, n in enumerate(names)]
+    monkeypatch.setitem(licenses.SENTENCES, 99, licenses.SENTENCES[2].upper())
+    with pytest.raises(ValueError, match="known twice"):
+        licenses.whole()
+
+
 def test_every_known_license_sentence_has_an_anchor():
     for sentence in licenses.SENTENCES.values():
         assert any(a in sentence.lower() for a in licenses.ANCHORS), sentence
