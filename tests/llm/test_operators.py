@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -485,13 +486,40 @@ def scanned(spark, texts):
 def test_license_identifiers_and_versions(spark, monkeypatch):
     names = ["Apache-2.0", "MIT", "GPL-3.0-only", "BSD-3-Clause"]
     texts = [f"x\n// SPDX-License-Identifier: {n}\ncode" for n in [*names, "LGPL-2.1-only", "MIT-0"]]
-    texts.append(licenses.SENTENCES[15].replace("version 2", "version 3"))
+    texts.append(licenses.SENTENCES[15].replace("version 2", "version 9"))
     assert scanned(spark, texts) == [(i, n, 25 + i, 1, 2) for i, n in enumerate(names)]
     monkeypatch.setitem(licenses.SENTENCES, 99, licenses.SENTENCES[2].upper())
     with pytest.raises(ValueError, match="known twice"):
         licenses.whole()
 
 
+def test_license_sentences_over_several_lines(spark):
+    def wrapped(numbers, mark="", width=70, between="\n"):
+        return between.join(textwrap.fill(licenses.SENTENCES[i], width, initial_indent=mark, subsequent_indent=mark) for i in numbers)
+
+    apache = """/*
+ * Copyright 2020 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    bsd = "\n".join([wrapped([17]), "1. " + wrapped([18]), "(2) " + wrapped([19]), "* " + wrapped([20])])
+    texts = [
+        apache, "The MIT License\n\n" + wrapped((10, 11, 12, 13), "# ", between="\n#\n"), bsd, wrapped((14, 16), "// ", 40), "LICENSE\nReleased under the MIT License\nthanks",
+        "a\r\nLicensed under the\r\nMIT License.\r\nb", "Licensed under the Apache License, Version 2.0\nor later", "not licensed under the\nMIT License",
+    ]
+    assert scanned(spark, texts) == [(0, "Apache-2.0", 1, 1, 2), (1, "MIT", 2, 1, 2), (2, "BSD-3-Clause", 3, 1, 1), (3, "GPL-3.0-or-later", 5, 1, 1), (4, "MIT", 12, 1, 2), (5, "MIT", 13, 1, 2), (6, "Apache-2.0", 11, 1, 1)]
+
+
 def test_every_known_license_sentence_has_an_anchor():
     for sentence in licenses.SENTENCES.values():
         assert any(a in sentence.lower() for a in licenses.ANCHORS), sentence
