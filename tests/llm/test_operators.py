@@ -212,6 +212,17 @@ def test_lm_edge_tables(spark):
     assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3) and r["base_score"] == 0 and r["score"] < 0
 
 
+def test_lm_trains_on_all_documents(spark, monkeypatch):
+    def counting(flat, data, setup_, steps, rate, seed):
+        return np.full_like(flat, len(data[0])), 0.0
+
+    monkeypatch.setattr(lm, "train", counting)
+    docs = spark.range(2240).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    pieces = spark.createDataFrame([(7, 5)], "piece int, n long")
+    model = lm.fit(docs, pieces, 2240, lm.Tree(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)), rounds=1)
+    assert model.flat[0] == 2240  # one shard, one block a text
+
+
 def test_lm_gradient_and_distribution():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 600)
