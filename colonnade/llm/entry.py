@@ -37,7 +37,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(pages, path)
-    back = warc.read(spark, path, full=False)
+    back = warc.verified(warc.read(spark, path))
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

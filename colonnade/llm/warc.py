@@ -84,7 +84,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
-    """The records of an archive: header fields, `payload` of every record and, if full, `record` with the exact bytes.
+    """The records of an archive: header fields and, if full, `payload` and `record` with the exact bytes of every record.
 
     Every payload is hashed again; a digest that does not fit its bytes, or a missing payload, raises an error.
     """
@@ -99,6 +99,16 @@ def read(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
     return out.withColumn("record", F.concat(F.col("header"), body, F.encode(F.lit(CRLF + CRLF), "UTF-8"))).drop("actual", "actual_bytes")
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """Records of read() without their bytes, once length and digest of the block after the header are checked in them."""
+    head, size = F.octet_length("header"), F.col("content_length").cast("int")
+    block = F.substring(F.col("record"), head + 1, size)
+    whole = F.octet_length("record").eqNullSafe(head + size + 4)
+    good = whole & F.when(F.col("record_type") == "revisit", size == 0).otherwise(F.sha2(block, 256) == F.col("payload_digest"))
+    out = records.withColumn("payload_digest", F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.lit("damaged record"))))
+    return out.drop("record", "payload", "header")
+
+
 def export(spark: SparkSession, path: str, to: str) -> None:
     """Write the rebuilt records as WARC bytes, one row a record (column `record`), in Parquet for any store."""
     read(spark, path).select("record").write.parquet(to)

@@ -372,6 +372,20 @@ def test_warc_finds_damage(spark):
         warc.read(spark, path).collect()
 
 
+def test_warc_query_checks_rebuilt_records(spark, monkeypatch):
+    real = warc.write
+
+    def damaged(pages, path):
+        real(pages, path)
+        rows = spark.read.parquet(f"{path}/headers").collect()
+        bad = [(r["digest"], bytes(r["header"]).replace(b"Content-Length: ", b"Content-Length: 1")) for r in rows]
+        spark.createDataFrame(bad, "digest string, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="damaged record"):
+        entry.op5_warc(spark, DATA).collect()
+
+
 def test_warc_empty(spark):
     path = f"{shared_dir(spark)}/empty"
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
