@@ -1,24 +1,23 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, and the groups that its links form.
 
-A document is the set of its distinct word n-grams as 64-bit hashes; documents with the same set are one class, found by a
-128-bit digest, and only classes are compared. Two sets link if their Jaccard similarity reaches a threshold. All steps
-are exact:
-
-1. Lists. Linked sets of a size class differ in at most H elements, so if each set is cut into H + T parts by hash, linked
-   sets have at least T equal parts. The hash of a part is its entry in an inverted index, and candidates are classes that
-   are together on T lists. Parts hold several n-grams, so a common phrase or a boilerplate passage makes no list. T is 3,
-   and larger where parts are so small that some are empty by chance, which makes long lists that mean nothing.
-2. DivideSkip over the lists of a class: with lists ordered by length, the T - 1 longest are not merged. Two classes on T
-   common lists are still together on one that neither skips.
-3. Links to centers. On each list the class with the longest lists altogether is the center (of near copies that is the
-   text they vary). Each class is checked against its most frequent center only; the links found are contracted to groups.
-4. Classes that still share a list with a class of another group get finer lists, 3 H + T parts of which linked sets share
-   2 H + T, so that all but the H + 1 shortest are skipped. The members of a list meet in blocks of bounded size, with all
-   their parts; pairs of different groups that agree in as many parts are candidates. Inside a group nothing is left to
-   gain, so thousands of near copies never become all their pairs.
-
-A check is a T-occurrence search in a block of sets against one center: inverted lists over the block, the short ones
-merged with a heap, the long ones probed by binary search for those sets that can still reach the overlap.
+A document is the set of its distinct word n-grams as 64-bit hashes (two n-grams of one hash count as one); documents with
+the same set, by a 128-bit digest, are one class, and only classes are compared. Two sets link if their Jaccard similarity
+reaches a threshold. A set of n elements shares T >= n p / 100 of them with all it links with. All steps are exact:
+
+1. Order. One order of all elements, rarest first: by how many sets hold elements of the same slot of a table of COUNTERS
+   counts over all documents, then by hash. Any order gives the same links; this one keeps lists short.
+2. Short lists. DivideSkip leaves the T - 1 longest lists of a set unmerged, so a set is entered in the inverted index under
+   its n - T + 1 first elements only. Linked sets are together on one of these lists. Entries are sent as arrays, by ranges
+   of elements; lists of one set end there. Of a list that many sets of one task are on, two entries go to its range to show
+   that it lives, the others go straight to the result: no list gathers in a task.
+3. Centers. Of each list the set that is on most lists (of near copies that is the text they vary) is the center. Each set
+   is checked against the centers of its lists, and the links are contracted to groups.
+4. The rest. Linked sets of different groups are both on lists of some center. Where the sets around a center are of more
+   than one group, those outside its largest group are searched among all of them, in cells of bounded size. A cell gives
+   only the links that join groups, so thousands of near copies never become all their pairs.
+
+A check is a T-occurrence search in a block of sets: inverted lists over the block, the short ones merged, the long ones
+probed by binary search for those sets that can still reach the overlap.
 
 Defined results: null text and text without words give an empty set that links with nothing (its group is its own id);
 texts shorter than n words are one shingle; equal sets always link; equal ids and null ids are kept as rows, and a null id
@@ -28,20 +27,25 @@ never names a group unless all ids of the group are null; an empty table gives a
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, materialize, per_text, rolling
+from .common import discard, materialize, rolling
 
-FINE = 3
+BITS = 22
+COUNTERS = 1 << BITS  # slots of the table that orders elements
+CHUNK = 1 << 14
+RANGE = 1 << 20  # entries of the index that a range has on average, and that a task holds
+HOT = 8  # entries of a task on one list, beyond which they go straight to the result
 BLOCK = 512
-SLOTS = 1 << 22
+MARKS = 1 << 27  # slots that mark the sets to fetch
 
 
 class WordIds(dict):
@@ -66,61 +70,31 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(rolling(ids, n)) if len(ids) >= n else rolling(ids, len(ids)) + np.uint64(len(ids))
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """The 128-bit digest of a set as two signed numbers."""
-    d = xxhash.xxh3_128_intdigest(s.tobytes())
-    half = 1 << 63
-    return (d & (2 * half - 1)) - half, (d >> 64) - half
-
-
-def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the size classes: each spans three steps of the size ratio that links allow."""
-    bounds, at = [1], 1.0
-    ratio = (100 / percent) ** 3
-    while bounds[-1] < most:
-        at = max(at * ratio, at + 1)
-        bounds.append(int(np.ceil(at)))
-    return np.array(bounds)
-
-
-def differences(percent: int, bounds: np.ndarray, at: int) -> int:
-    """H: most elements in which linked sets of a size class differ, as |a ^ b| <= (|a| + |b|) (100 - p) / (100 + p)."""
-    return int(2 * (bounds[at + 1] - 1) * (100 - percent) // (100 + percent))
-
-
-def lists_shared(percent: int, h: int) -> int:
-    """T: how many of their H + T parts linked sets share at least."""
-    return 3 + (h // 6 if percent < 86 else 0)
-
-
-def part_hashes(s: np.ndarray, percent: int, bounds: np.ndarray, fine: int = 1) -> list[tuple[int, np.ndarray]]:
-    """(H, part hashes) of a set for its size class, and for the next one if a linked set can be in it.
-
-    A hash has the number of its class in the upper byte. Linked sets of a class differ in at most H elements; there are
-    fine * H + T parts, so linked sets share at least (fine - 1) * H + T of them.
-    """
-    n = len(s)
-    c = int(np.searchsorted(bounds, n, "right")) - 1
-    out = []
-    for at in (c, c + 1):
-        if at > c and 100 * n < percent * bounds[at]:
-            break
-        h = differences(percent, bounds, at)
-        if h < 1:  # only equal sets link
-            continue
-        k = fine * h + lists_shared(percent, h)
-        part = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
-        part = (part % np.uint64(k)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        mixed = s[by] * np.uint64(0x9FB21C651E98DF25)
-        mixed ^= mixed >> np.uint64(28)
-        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-        sums = np.zeros(k, np.uint64)
-        present, first = np.unique(part[by], return_index=True)
-        sums[present] = np.add.reduceat(mixed, first)
-        sums = (sums + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append((h, (sums ^ (sums >> np.uint64(32))) >> np.uint64(8) | np.uint64(at << 56)))
-    return out
+def digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+class Once:
+    """Which keys a task has met, as long as they are not too many; a key met again is work saved, never a result."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.seen, self.most = set(), most
+
+    def first(self, key: bytes) -> bool:
+        if key in self.seen:
+            return False
+        if len(self.seen) < self.most:
+            self.seen.add(key)
+        return True
+
+
+def slots(s: np.ndarray) -> np.ndarray:
+    return ((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def least_overlap(n: int, percent: int) -> int:
+    """T of a set of n elements."""
+    return -(-percent * n // 100)
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -128,46 +102,64 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(center: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Numbers of the sets that link with the center."""
-    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    place = np.searchsorted(center, values)
-    place[place == len(center)] = 0
-    hit = center[place] == values if len(center) else np.zeros(0, bool)
-    place, at = place[hit], at[hit]
-    by = np.lexsort((at, place))
-    place, at = place[by], at[by]
-    lists = [x.tolist() for x in np.split(at, np.flatnonzero(np.diff(place)) + 1)] if len(at) else []
-    lists.sort(key=len)
-    need = [needed(len(center), len(s), percent) for s in sets]
-    least = min(need, default=1)
-    n_long = min(max(0, least - 1), len(lists))
-    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    out, last, count = [], -1, 0
-
-    def settle(i: int, count: int) -> None:
+def short_lists(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
+    """The elements under which a set is entered: all but the last T - 1 in the order (slot's rank, hash)."""
+    return s[np.argsort(order[slots(s)], kind="stable")[: len(s) - least_overlap(len(s), percent) + 1]]
+
+
+class Index:
+    """Inverted lists over a block of sets."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.percent, self.sizes = percent, np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(values, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[by]
+        self.known, self.start = np.unique(values[by], return_index=True)
+        self.end = np.append(self.start[1:], len(values))
+
+    def search(self, query: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Numbers of the allowed sets that link with the query: DivideSkip."""
+        at = np.minimum(np.searchsorted(self.known, query), max(0, len(self.known) - 1))
+        at = at[self.known[at] == query] if len(self.known) else at[:0]
+        least = least_overlap(len(query), self.percent)
+        if len(at) < least or not len(query):
+            return at[:0]
+        at = at[np.argsort(self.end[at] - self.start[at], kind="stable")]
+        lists = [self.owners[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        short, long_ = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
+        count = merged(short, len(self.sizes))
+        need = -(-self.percent * (len(query) + self.sizes) // (100 + self.percent))
         left = len(long_)
+        open_ = np.flatnonzero((count > 0) & allowed & (need <= np.minimum(self.sizes, len(query))) & (count + left >= need))
+        count, need = count[open_], need[open_]
         for one in reversed(long_):
-            if count >= need[i] or count + left < need[i]:
+            if not len(open_):
                 break
-            k = bisect_left(one, i)
-            count += k < len(one) and one[k] == i
+            place = np.searchsorted(one, open_)
+            count += one[np.minimum(place, len(one) - 1)] == open_
             left -= 1
-        if count >= need[i]:
-            out.append(i)
-
-    for i in heapq.merge(*short):
-        if i != last:
-            if count:
-                settle(last, count)
-            last, count = i, 0
-        count += 1
-    if count:
-        settle(last, count)
+            can = count + left >= need
+            if not can.all():
+                open_, count, need = open_[can], count[can], need[can]
+        return open_
+
+
+def merged(lists: list[np.ndarray], n: int) -> np.ndarray:
+    """How many of the lists each of n sets is on: by a heap over their heads if they are few and short, else in one pass."""
+    if sum(map(len, lists)) > 64:
+        return np.bincount(np.concatenate(lists), minlength=n)
+    out = np.zeros(n, np.int64)
+    for i in heapq.merge(*(x.tolist() for x in lists)):
+        out[i] += 1
     return out
 
 
+def divide_skip(center: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Numbers of the sets that link with the center."""
+    return Index(sets, percent).search(center, np.ones(len(sets), bool)).tolist()
+
+
 def groups(edges: DataFrame, limit: int = 40) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): label is the least node that links reach. Large-star and small-star steps."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -192,195 +184,289 @@ def groups(edges: DataFrame, limit: int = 40) -> DataFrame:
     raise RuntimeError("links did not contract")
 
 
-def _sets(docs: DataFrame, keys: np.ndarray, n: int, text: str) -> DataFrame:
-    """(key, items) of the classes whose slot is marked in keys."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(keys))
+def _items(items: list[np.ndarray]) -> pa.ListArray:
+    values = pa.array(np.concatenate(items).view(np.int64) if items else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, items)]), pa.int32()), values)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, seen = np.unpackbits(sent.value), set()
-        for batch in batches:
-            found, items = [], []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(t or b"", n)
-                if len(s):
-                    key = digest(s)[0]
-                    if marked[key % SLOTS] and key not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
-                        found.append(key)
-                        items.append(s.view(np.int64))
-                        if len(found) >= 2000:
-                            yield _items(found, items)
-                            found, items = [], []
-            yield _items(found, items)
-
-    return docs.select(text).mapInArrow(run, "key long, items array<long>").groupBy("key").agg(F.first("items").alias("items"))
 
+def _set(item: pa.ListScalar) -> np.ndarray:
+    return item.values.to_numpy().view(np.uint64)
 
-def _items(keys: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(len(x) for x in items)])
-    values = pa.array(np.concatenate(items) if items else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["key", "items"])
 
+def _shingled(named: DataFrame, n: int) -> DataFrame:
+    """row, id, n (size of the set) and key of each document; and, in rows with a chunk, counts of the slots of sets."""
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in named.select("row", "id").schema), *T._parse_datatype_string("n long, key binary, chunk int, counts binary")])
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
-    """(key, items) of at least the classes in pairs (a, b), as a table."""
-    ends = pairs.select("a").union(pairs.select("b")).select(F.pmod("a", F.lit(SLOTS)).cast("int").alias("slot")).distinct()
-    slots = ends.toPandas()["slot"].to_numpy(np.int64)  # at most SLOTS numbers
-    marked = np.zeros(SLOTS, np.uint8)
-    marked[slots] = 1
-    return materialize(_sets(docs, marked, n, text), "sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, once, kinds = np.zeros(COUNTERS, np.uint32), Once(), None
+        for batch in batches:
+            kinds = batch.column(0).type, batch.column(1).type
+            sizes, keys, new = [], [], []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                s = shingles(t or b"", n)
+                sizes.append(len(s))
+                keys.append(digest(s) if len(s) else None)
+                if len(s) and once.first(keys[-1]):
+                    new.append(slots(s))
+                    if len(new) >= 1000:
+                        np.add.at(counts, np.concatenate(new), np.uint32(1))
+                        new.clear()
+            if new:
+                np.add.at(counts, np.concatenate(new), np.uint32(1))
+            m = len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
+        if kinds:
+            chunks, packed = _packed({i: x for i, x in enumerate(counts.reshape(-1, CHUNK)) if x.any()})
+            m = len(chunks)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), chunks, packed], names=schema.names)
+
+    return materialize(named.select("row", "id", "text").mapInArrow(run, schema), "classes")
+
+
+def _packed(sums: dict[int, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array(list(sums), pa.int32()), pa.array([pack(x.tobytes()) for x in sums.values()], pa.binary())
+
+
+def _order(shingled: DataFrame) -> np.ndarray:
+    """Rank of each slot: eight steps for a doubling of its count. COUNTERS bytes at any size of the input."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
+                sums[chunk] = np.minimum(sums[chunk] + x.astype(np.uint64), 0xFFFFFFFF).astype(np.uint32) if chunk in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays(list(_packed(sums)), names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    parts = shingled.where("chunk is not null").select("chunk", "counts").mapInArrow(add, schema)
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in parts.repartition(32, "chunk").mapInArrow(add, schema).collect():  # at most COUNTERS / CHUNK rows
+        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint32)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(np.round(8 * np.log2(1.0 + x)), 255)
+    return out
 
 
-def _candidates(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in open_ (key, label) with different labels that agree in enough of their finer parts."""
-    bounds = size_classes(percent)
+def _lists(docs: DataFrame, order: np.ndarray, n: int, percent: int, ranges: int, text: str) -> DataFrame:
+    """(sig, key): the entries of all short lists that more than one set is on. An entry may be there more than once."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
+    schema = "part int, straight boolean, sigs binary, keys binary"
+
+    def rows(part: list[int], straight: bool, sigs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([straight] * len(part)), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["part", "straight", "sigs", "keys"])
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, once = sent.value, Once()
+        sigs, keys, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            names = np.frombuffer(b"".join(keys), "V16")
+            sig, key = np.concatenate(sigs), np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
+            by = np.argsort(sig, kind="stable")
+            sig, key = sig[by], key[by]
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            turn = np.arange(len(sig)) - np.repeat(first, np.diff(np.append(first, len(sig))))
+            many = np.repeat(np.diff(np.append(first, len(sig))) > HOT, np.diff(np.append(first, len(sig))))
+            aside = many & (turn > 1)
+            go, stay = np.flatnonzero(~aside), np.flatnonzero(aside)
+            of = ((sig[go] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            yield rows(of[cuts].tolist(), False, np.split(sig[go], cuts[1:]), np.split(names[key[go]], cuts[1:]))
+            for a in range(0, len(stay), 1 << 16):
+                some = stay[a : a + (1 << 16)]
+                yield rows([int(sig[some[0]] % np.uint64(ranges))], True, [sig[some]], [names[key[some]]])
+            sigs.clear()
+            keys.clear()
+            held = 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, labels, h, sigs, codes = [], [], [], [], []
-            for key, label, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for most, parts in part_hashes(np.sort(items.values.to_numpy().view(np.uint64)), percent, bounds, FINE):
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                s = shingles(t or b"", n)
+                if len(s) and once.first(key := digest(s)):
+                    sigs.append(short_lists(s, order, percent))
                     keys.append(key)
-                    labels.append(label)
-                    h.append(most)
-                    sigs.append(parts.view(np.int64))
-                    # two bytes a part are enough to compare: a chance agreement only adds a candidate
-                    codes.append((parts & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int64()), pa.array(h, pa.int32()), _items(keys, sigs).column(1), pa.array(codes, pa.binary())], names=["key", "label", "h", "parts", "codes"])
-
-    parts = materialize(sets.join(open_, "key").select("key", "label", "items").mapInArrow(cut, "key long, label long, h int, parts array<long>, codes binary"), "parts")
-    on_list = Window.partitionBy("sig")
-    rows = parts.select("key", "label", "h", F.size("parts").alias("k"), F.explode("parts").alias("sig")).withColumn("len", F.count("*").over(on_list))
-    # lists of one member come first in the order by length; how many a set has follows from the others
-    own = Window.partitionBy("key", "h")
-    rows = rows.where("len > 1").withColumns({"turn": F.row_number().over(own.orderBy("len", "sig")), "many": F.count("*").over(own)})
-    rows = rows.where(F.col("turn") + F.col("k") - F.col("many") <= F.col("h") + 1)
-    rows = rows.withColumns({"lo": F.min("label").over(on_list), "hi": F.max("label").over(on_list), "blocks": F.ceil(F.count("*").over(on_list) / BLOCK).cast("int")}).where("lo < hi")
-    rows = materialize(rows.select("sig", "key", "label", "h", "blocks"), "open")
-    kept = rows.groupBy("key", "h").agg(F.collect_list("sig").alias("kept")).join(parts.select("key", "h", "codes"), ["key", "h"])
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    wide = rows.join(kept, ["key", "h"]).select("sig", "key", "label", "h", "kept", "codes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wide = wide.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", "kept", "codes", "h")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+                    held += len(sigs[-1])
+                    if held >= RANGE:
+                        yield from flush()
+        if held:
+            yield from flush()
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sigs, keys = None, [], []
+
+        def out(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(sig), 1 << 16):
+                names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k := key[a : a + (1 << 16)]), [None, pa.py_buffer(k.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)].view(np.int64)), names.cast(pa.binary())], names=["sig", "key"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if sigs:
+                sig, key = np.concatenate(sigs), np.concatenate(keys)
+                by = np.argsort(sig, kind="stable")
+                sig, key = sig[by], key[by]
+                same = sig[1:] == sig[:-1]
+                at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+                sig, key = sig[at], key[at]
+                half = key.view(np.uint64).reshape(-1, 2)
+                by = np.lexsort((half[:, 1], half[:, 0], sig))
+                sig, key, half = sig[by], key[by], half[by]
+                same = sig[1:] == sig[:-1]
+                other = np.append(True, ~same | (half[1:] != half[:-1]).any(1)) if len(sig) else np.zeros(0, bool)
+                sig, key = sig[other], key[other]
+                same = sig[1:] == sig[:-1]
+                at = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(sig) else []
+                yield from out(sig[at], key[at])
+                sigs.clear()
+                keys.clear()
 
-        def pairs() -> pa.RecordBatch:
-            sig, lo, hi = held[0][:3]
-            keys, labels, blocks = (np.array([x[i] for x in held], np.int64) for i in (4, 5, 3))
-            codes = np.stack([np.frombuffer(x[7], np.uint16) for x in held])
-            mine: dict[int, frozenset[int]] = {}
-            left = np.flatnonzero(blocks == lo)
-            right = left if lo == hi else np.flatnonzero(blocks == hi)
-            least = codes.shape[1] - held[0][8]
-            out = []
-
-            def kept(i: int) -> frozenset[int]:
-                if i not in mine:
-                    mine[i] = frozenset(held[i][6])
-                return mine[i]
-
-            for i in left.tolist():
-                j = right[keys[right] > keys[i]] if lo == hi else right
-                j = j[labels[j] != labels[i]]
-                if len(j):
-                    j = j[(codes[j] == codes[i]).sum(1) >= least]
-                    # a pair counts on the first list that both keep, by whole hashes
-                    out += [(min(keys[i], keys[x]), max(keys[i], keys[x])) for x in j.tolist() if min(kept(i) & kept(x)) == sig]
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            for p, straight, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, "V16")
+                if straight:
+                    yield from out(x, y)
+                    continue
+                if p != part:
+                    yield from settle()
+                    part = p
+                sigs.append(x)
+                keys.append(y)
+        yield from settle()
+
+    sent_rows = docs.select(text).mapInArrow(enter, schema).repartition(ranges, "part").sortWithinPartitions("part")
+    return materialize(sent_rows.mapInArrow(live, "sig long, key binary"), "lists")
+
+
+def _sets(keys: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
+    """(key, items) of at least the classes in keys, as a table. The marks that select them take MARKS bits at any size."""
+    slot = F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(MARKS))
+    marks = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 15).cast("int").alias("i")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
+    table = np.zeros((MARKS >> 15, 4096), np.uint8)
+    for r in marks.collect():  # at most MARKS / 32,768 rows
+        table[r["i"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, once = sent.value, Once()
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield pairs()
-                    held.clear()
-                held.append(row)
-        if held:
-            yield pairs()
+            found, items, held = [], [], 0
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                s = shingles(t or b"", n)
+                if len(s):
+                    key = digest(s)
+                    at = int.from_bytes(key[:4], "big") % MARKS
+                    if table[at >> 3] >> (at & 7) & 1 and once.first(key):
+                        found.append(key)
+                        items.append(s)
+                        held += len(s)
+                        if held >= RANGE:
+                            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), _items(items)], names=["key", "items"])
+                            found, items, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), _items(items)], names=["key", "items"])
+
+    found = docs.select(text).mapInArrow(run, "key binary, items array<long>")
+    return materialize(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "sets")
 
-    found = materialize(wide.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    discard(parts)
-    discard(rows)
-    return found
 
+def _blocks(name: str, count: str) -> Column:
+    """The block of a set among those that `count` of them make."""
+    return F.pmod(F.xxhash64(name), F.ceil(F.col(count) / BLOCK)).cast("int")
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link."""
-    rows = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+
+def _in_groups(rows: DataFrame, by: list[str], found: Callable[[list[tuple]], list[tuple[bytes, bytes]]]) -> DataFrame:
+    """Links (a, b) that found() gives for the rows of each value of the columns `by`, which come first; all rows of one are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            blocks: dict[int, tuple[np.ndarray, list[int], list[np.ndarray]]] = {}
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x, y = batch.column(2), batch.column(3)
-            for i in range(len(a)):
-                if a[i] not in blocks:
-                    blocks[a[i]] = np.sort(x[i].values.to_numpy().view(np.uint64)), [], []
-                blocks[a[i]][1].append(b[i])
-                blocks[a[i]][2].append(y[i].values.to_numpy().view(np.uint64))
-            out = [(c, keys[i]) for c, (center, keys, sets_) in blocks.items() for i in divide_skip(center, sets_, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            plain = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, row in enumerate(zip(*plain, strict=True)):
+                if held and held[0][: len(by)] != row[: len(by)]:
+                    yield _links(found(held))
+                    held.clear()
+                held.append((*row, _set(batch.columns[-1][i])))
+        if held:
+            yield _links(found(held))
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _to_centers(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (center, key) of the pairs (center, key) in met, searched in blocks of the sets around a center."""
+    size = met.groupBy("center").agg(F.count("*").alias("size"))
+    around = met.join(size, "center").join(sets, "key").select("center", _blocks("key", "size").alias("block"), F.lit(False).alias("is_center"), "key", "items")
+    middle = size.join(sets, size["center"] == sets["key"]).select("center", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"), F.lit(True).alias("is_center"), "key", "items")
+
+    def found(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        (center,) = (r for r in rows if r[2])
+        rest = [r for r in rows if not r[2]]
+        return [(center[3], rest[i][3]) for i in divide_skip(center[4], [r[4] for r in rest], percent)]
+
+    return _in_groups(around.union(middle), ["center", "block"], found)
+
+
+def _around_centers(met: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between sets around one center that are in different groups: enough of them to join all groups that link."""
+    named = met.join(label, met["key"] == label["node"], "left").select("center", "key", F.coalesce("label", "key").alias("label"))
+    many = named.groupBy("center", "label").agg(F.count("*").alias("n"))
+    state = many.groupBy("center").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("main")).where("size > largest")
+    state = state.select("center", "main", "size", (F.col("size") - F.col("largest")).alias("others"))
+    rows = named.join(state, "center").withColumn("aside", F.col("label") != F.col("main")).join(sets, "key")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1))
+    asks = rows.where("aside").select("center", _blocks("key", "others").alias("q"), every("size").alias("d"), F.lit(True).alias("asks"), "aside", "key", "label", "items")
+    told = rows.select("center", every("others").alias("q"), _blocks("key", "size").alias("d"), F.lit(False).alias("asks"), "aside", "key", "label", "items")
+
+    def found(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        queries, data = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        numbers = {x: i for i, x in enumerate({r[6]: 0 for r in rows})}
+        root = np.arange(len(numbers))
+        if len(root) < 2 or not data:
+            return []
+        keys, of = np.array([r[5] for r in data], object), np.array([numbers[r[6]] for r in data])
+        aside = np.array([r[4] for r in data])
+        index, out = Index([r[7] for r in data], percent), []
+        for r in queries:
+            own = root[numbers[r[6]]]
+            allowed = (root[of] != own) & ~(aside & (keys < r[5]))  # of two sets that both ask the lesser key does
+            if allowed.any():
+                for i in index.search(r[7], allowed).tolist():
+                    if root[of[i]] != root[numbers[r[6]]]:
+                        out.append((r[5], data[i][5]))
+                        root[root == root[of[i]]] = root[numbers[r[6]]]
+        return out
+
+    return _in_groups(asks.union(told), ["center", "q", "d"], found)
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns in keep, n_shingles, set_key (equal for equal sets) and component_id of every document."""
     kept = docs.columns if keep is None else keep
-    bounds = size_classes(percent)
-
-    def make():
-        seen: set[int] = set()
-
-        def work(texts: list[bytes]) -> list[pa.Array]:
-            sizes, keys, checks, sigs = [], [], [], []
-            for t in texts:
-                s = shingles(t, n)
-                sizes.append(len(s))
-                key, check = digest(s) if len(s) else (None, None)
-                keys.append(key)
-                checks.append(check)
-                if key is None or key in seen:
-                    sigs.append(np.zeros(0, np.int64))
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                sigs.append(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for _, x in part_hashes(s, percent, bounds))]))
-            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), _items(keys, sigs).column(1)]
-
-        return work
-
-    named = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    full = materialize(per_text(named, "text", ["row", "id"], "n long, key long, checked long, sigs array<long>", make), "shingled")
-    base = materialize(full.select("row", "id", "n", "key", "checked"), "classes")
-    classes = base.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.min("checked").alias("c0"), F.max("checked").alias("c1"))
-    classes = classes.select("key", F.when(F.col("c0") == F.col("c1"), F.col("first_id")).otherwise(F.raise_error(F.lit("two sets have one key"))).alias("first_id"))
-
-    on_list = Window.partitionBy("sig")
-    lists = full.select(F.explode("sigs").alias("sig"), "key").withColumn("len", F.count("*").over(on_list)).where("len > 1")
-    # of the lists of a set in a size class the longest are skipped; weight: how long all lists of a set are
-    skip = F.array(*(F.lit(lists_shared(percent, differences(percent, bounds, at))) for at in range(len(bounds) - 1)))
-    own = lists.groupBy("key", F.shiftright("sig", 56).alias("class")).agg(F.sort_array(F.collect_set(F.struct("len", "sig")), False).alias("all"))
-    own = own.select("key", "class", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["len"]).alias("weight"), F.slice("all", F.element_at(skip, F.col("class").cast("int") + 1), F.lit(1 << 30)).alias("rest")).where(F.size("rest") > 0)
-    short = materialize(own.select("key", "weight", F.explode("rest.sig").alias("sig")), "lists")
-    discard(full)
-    center = F.max_by("key", F.struct("weight", "key")).over(on_list)
-    met = short.withColumn("center", center).where("center <> key").groupBy("key", "center").agg(F.count("*").alias("n"))
-    first = met.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    first = materialize(first.select(F.col("center").alias("a"), F.col("key").alias("b")), "pairs")
-    # all classes that meet another on a list, with centers that no class has as its most frequent one: they may be open below
-    sets = _sets_of(met.select(F.col("center").alias("a"), F.col("key").alias("b")), docs, n, text)
-    links = materialize(_linked(first, sets, percent), "links")
+    spark = docs.sparkSession
+    base = _shingled(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text")), n)
+    order = _order(base)
+    base = base.where("chunk is null")
+    entries = base.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // RANGE))
+    lists = _lists(docs, order, n, percent, ranges, text)
+    weight = lists.groupBy("key").agg(F.count("*").alias("weight"))
+    center = lists.join(weight, "key").groupBy("sig").agg(F.max_by("key", F.struct("weight", "key")).alias("center"))
+    met = materialize(lists.join(center, "sig").where("key <> center").select("center", "key").distinct(), "met")
+    discard(lists)
+    sets = _sets(met.select("key").union(met.select("center")).distinct(), docs, n, text)
+    links = materialize(_to_centers(met, sets, percent), "links")
     label = groups(links)
-    open_ = short.select("sig", "key").join(label, short["key"] == label["node"], "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
-    open_ = open_.withColumn("lo", F.min("label").over(on_list)).withColumn("hi", F.max("label").over(on_list)).where("lo < hi").select("key", "label").distinct()
-    rest = _candidates(sets, open_, percent)
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets, percent), "links")
+    more = materialize(_around_centers(met, label, sets, percent), "links")
     discard(sets)
+    discard(met)
     if not more.isEmpty():
         label = groups(links.union(more))
+    classes = base.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"))
     named_by = classes.join(label, classes["key"] == label["node"], "left").select("key", "first_id", "label")
     by_label = named_by.where("label is not null").groupBy("label").agg(F.min("first_id").alias("component"))
     final = named_by.join(by_label, "label", "left").select("key", F.coalesce("component", "first_id").alias("component"))

@@ -105,74 +105,38 @@ def test_divide_skip_equals_counting():
             assert sorted(ngram_join.divide_skip(center, sets, percent)) == want
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_parts(percent):
-    rng, bounds = np.random.default_rng(5), ngram_join.size_classes(percent)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 1 << 62, rng.integers(10, 400)).astype(np.uint64))
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_short_list(percent):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        order = rng.integers(0, 4, ngram_join.COUNTERS).astype(np.uint8)  # any order will do
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
         b = a[rng.random(len(a)) > (1 - percent / 100) / 2.2]
         b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, rng.integers(0, 3)).astype(np.uint64))))
-        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and len(a) != len(np.intersect1d(a, b)):
-            for fine in (1, 2, 3):
-                x, y = (ngram_join.part_hashes(s, percent, bounds, fine) for s in (a, b))
-                assert any(len(np.intersect1d(p, q)) >= (fine - 1) * h + ngram_join.lists_shared(percent, h) for h, p in x for g, q in y if g == h)
-
-
-def test_join_keeps_a_class_that_is_no_ones_center(spark, monkeypatch):
-    # x links with y and z; z is heavy by lists that are skipped, so it is the center of its lists, but x meets y more often
-    rng, percent, real = random.Random(6), 80, ngram_join.part_hashes
-    words = [[f"a{rng.random()}" for _ in range(52)] for _ in range(11)]
-    words += [[*words[0][:12], "y", *words[0][13:]], [*words[0][:38], "z", *words[0][39:]]]
-    texts = [" ".join(w) for w in words]
-    keys = [ngram_join.digest(ngram_join.shingles(t.encode(), 5))[0] for t in texts]
-    bounds = ngram_join.size_classes(percent)
-    at = int(np.searchsorted(bounds, 48, "right")) - 1
-    h = ngram_join.differences(percent, bounds, at)
-    t = ngram_join.lists_shared(percent, h)
-    long_, with_y, with_z = list(range(1, t)), list(range(100, 101 + t)), list(range(200, 200 + t))
-    lists = {k: long_ for k in keys[1:11]} | {keys[0]: with_y + with_z, keys[11]: long_ + with_y, keys[12]: long_ + with_z}
-
-    def placed(s, percent, bounds, fine=1):
-        if fine > 1:
-            return real(s, percent, bounds, fine)
-        return [(h, np.array(lists[ngram_join.digest(s)[0]], np.uint64) | np.uint64(at << 56))]
-
-    monkeypatch.setattr(ngram_join, "part_hashes", placed)
-    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, percent, keep=["doc_id"])
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 0 if i > 10 else i for i in range(13)}
-
-
-def test_candidates_despite_equal_codes(spark):
-    # x and y differ in the first part only, where both keep lists whose hashes end with the same two bytes
-    rng, percent, bounds = np.random.default_rng(8), 90, ngram_join.size_classes(90)
-    size = int(bounds[13])
-    common = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
-    parts = lambda s: ngram_join.part_hashes(np.sort(s), percent, bounds, ngram_join.FINE)
-    ((h, before),) = parts(common)
-    place = lambda s: (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
-    first = lambda s: (place(s) % np.uint64(len(before))) == 0
-    more = rng.integers(0, 1 << 62, 60_000).astype(np.uint64)
-    codes, found = {}, None
-    for e in more[first(more)]:
-        sig = int(parts(np.append(common, e))[0][1][0])
-        if sig < np.sort(before[1:])[h - 1]:
-            if sig & 0xFFFF in codes:
-                found = e, codes[sig & 0xFFFF]
-                break
-            codes[sig & 0xFFFF] = e
-    x, y = (np.append(common, e) for e in found)
-    sets = [x, y]
-    for s in (x, y):  # another set keeps the list of the first part too; it shares all others with a third one
-        while True:
-            other = rng.integers(0, 1 << 62, 2 * size).astype(np.uint64)
-            other = other[~first(other)][: size - int(first(s).sum())]
-            ((_, got),) = parts(np.concatenate((s[first(s)], other)))
-            if got[0] <= np.sort(got)[h]:
-                break
-        sets += [np.concatenate((s[first(s)], other)), np.concatenate((more[first(more)][-len(sets) :][: int(first(s).sum())], other))]
-    sets = spark.createDataFrame([(i, np.sort(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "key long, items array<long>")
-    got = ngram_join._candidates(sets, sets.select("key", F.col("key").alias("label")), percent).collect()
-    assert (0, 1) in {tuple(r) for r in got}
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            assert len(np.intersect1d(ngram_join.short_lists(a, order, percent), ngram_join.short_lists(b, order, percent)))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_join_of_a_large_loose_group(spark, monkeypatch, n, percent):
+    # variants of one text that link with some of the others only, and more of them than a cell holds
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(n)
+    base, rows = [f"w{rng.randrange(300)}" for _ in range(120)], []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(40)}"
+        rows.append((1000 - i, " ".join(text[: rng.choice([120, 120, 118, 112, 105])])))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, keep=["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_join(rows, n, percent)
+
+
+def test_join_of_lists_that_many_sets_of_a_task_are_on(spark):
+    # one rare passage in many short texts: more entries of a task on its lists than go to a range
+    rows = [(i, f"q1 q2 q3 q4 q5 q6 q7 a{i} b{i}") for i in range(40)] + [(40 + i, f"q1 q2 q3 q4 q5 q6 q7 a{i} c{i}") for i in range(40)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 70, keep=["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_join(rows, 3, 70)
 
 
 def lm_check(rows, got):
