@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import decontam, langid, mixing, ngram_join, quality
-from colonnade.llm.common import materialize, table
+from colonnade.llm.common import discard, materialize, table
 
 ORACLE_SQL = None
 LEAST_SCORE = 0.5
@@ -35,14 +35,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose five-word shingles reach a Jaccard similarity of 0.8 that with the smallest id stays.
 
-    Rows that repeat an id differ by a hash of all their columns; of equal rows one stays.
+    Rows that repeat an id differ by a 128-bit hash of all their columns; of equal rows one stays. Rows without words form no
+    group: each stays. Null ids come after all others.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h"))
-    named = docs.select(row.alias("row"), "text")
-    groups = ngram_join.join(named, 5, 80, id_col="row", keep=["row"])
-    stay = groups.where(F.col("row") == F.col("component_id")).select(F.xxhash64("row").alias("stays")).distinct()
-    rows = docs.select(F.xxhash64(row).alias("stays"), F.struct("*").alias("doc"))
-    return rows.join(stay, "stays", "left_semi").groupBy("stays").agg(F.first("doc").alias("doc")).select("doc.*")
+    names = [F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(1), *docs.columns).alias("h2")]
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), *names)
+    groups = ngram_join.join(docs.select(row.alias("row"), "text"), 5, 80, id_col="row", keep=["row"])
+    stay = groups.where(F.col("row") == F.col("component_id")).select("row.h1", "row.h2")
+    rows = docs.select(*names, F.struct("*").alias("doc")).join(stay, ["h1", "h2"], "left_semi")
+    return rows.groupBy("h1", "h2").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +63,11 @@ STAGES = [("language", language), ("quality", quality_rules), ("near copies", ne
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next stage."""
+    """All stages over documents; each result but the last is written, and deleted when the next one is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        if i:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
