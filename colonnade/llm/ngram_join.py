@@ -6,10 +6,11 @@ reaches a threshold. A set of n elements shares T >= n p / 100 of them with all
 
 1. Order. One order of all elements, rarest first: by how many sets hold elements of the same slot of a table of COUNTERS
    counts over all documents, then by hash. Any order gives the same links; this one keeps lists short.
-2. Short lists. DivideSkip leaves the T - 1 longest lists of a set unmerged, so a set is entered in the inverted index under
-   its n - T + 1 first elements only. Linked sets are together on one of these lists. Entries are sent as arrays, by ranges
-   of elements; lists of one set end there. Of a list that many sets of one task are on, two entries go to its range to show
-   that it lives, the others go straight to the result: no list gathers in a task.
+2. Short lists. DivideSkip leaves the longest lists of a set unmerged. In the inverted index a set is entered under its
+   n - T + 1 + E first elements, E a third of n - T, so that linked sets are together on E + 1 lists. Entries are sent as
+   arrays, by ranges of elements; lists of one set end there. Of a list that many sets of one task are on, two entries go to
+   its range to show that it lives, the others go straight to the result: no list gathers in a task. Sets on fewer than
+   E + 1 lists with others link with nothing. The others skip the last E of their lists; linked sets keep a common one.
 3. Centers. Of each list the set that is on most lists (of near copies that is the text they vary) is the center. Each set
    is checked against the centers of its lists, and the links are contracted to groups.
 4. The rest. Linked sets of different groups are both on lists of some center. Where the sets around a center are of more
@@ -48,26 +49,64 @@ BLOCK = 512
 MARKS = 1 << 27  # slots that mark the sets to fetch
 
 
-class WordIds(dict):
-    """64-bit hashes of words, computed once for each."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_IDS = WordIds()
+# fixed values of the word hash: a number for each byte after A-Z are lower-cased, and the base of its powers
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], np.uint64) * ~_BLANK
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of them."""
+    global _powers
+    while len(_powers[0]) < n:
+        more = len(_powers[0])
+        step = [np.uint64(pow(x, more, 1 << 64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers = tuple(np.concatenate((x, x * y)) for x, y in zip(_powers, step, strict=True))
+    return _powers
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts that lie one after another, and where the words of each text begin."""
+    word = ~_BLANK[data]
+    joined = word[1:] & word[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    joined[inner - 1] = False
+    start = np.flatnonzero(word & ~np.append(False, joined)[: len(word)])
+    end = np.flatnonzero(word & ~np.append(joined, False)[: len(word)]) + 1
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h, np.searchsorted(start, bounds)
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each text, ASCII-lower-cased; null is an empty text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 18), "right")) - 1)
+        ids, at = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        runs = rolling(ids, n)
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if y - x >= n:
+                s = np.sort(runs[x : y - n + 1])
+                yield s[np.append(True, s[1:] != s[:-1])]
+            elif y > x:
+                yield rolling(ids[x:y], y - x) + np.uint64(y - x)
+            else:
+                yield ids[:0]
+        a = b
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of the ASCII-lower-cased text."""
-    words = text.lower().split()
-    ids = np.fromiter(map(_IDS.__getitem__, words), np.uint64, len(words))
-    if not len(ids):
-        return ids
-    return np.unique(rolling(ids, n)) if len(ids) >= n else rolling(ids, len(ids)) + np.uint64(len(ids))
+    return next(shingle_sets(pa.array([text], pa.binary()), n))
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -77,7 +116,7 @@ def digest(s: np.ndarray) -> bytes:
 class Once:
     """Which keys a task has met, as long as they are not too many; a key met again is work saved, never a result."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         self.seen, self.most = set(), most
 
     def first(self, key: bytes) -> bool:
@@ -102,9 +141,15 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def spare(n: int, percent: int) -> int:
+    """E: by how many lists a set of n elements is entered under more than it needs to."""
+    return (n - least_overlap(n, percent)) // 3
+
+
 def short_lists(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The elements under which a set is entered: all but the last T - 1 in the order (slot's rank, hash)."""
-    return s[np.argsort(order[slots(s)], kind="stable")[: len(s) - least_overlap(len(s), percent) + 1]]
+    """The elements under which a set is entered: the first ones in the order (slot's rank, hash)."""
+    n = len(s)
+    return s[np.argsort(order[slots(s)], kind="stable")[: n - least_overlap(n, percent) + 1 + spare(n, percent)]]
 
 
 class Index:
@@ -202,8 +247,7 @@ def _shingled(named: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             kinds = batch.column(0).type, batch.column(1).type
             sizes, keys, new = [], [], []
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                s = shingles(t or b"", n)
+            for s in shingle_sets(batch.column(2), n):
                 sizes.append(len(s))
                 keys.append(digest(s) if len(s) else None)
                 if len(s) and once.first(keys[-1]):
@@ -250,7 +294,7 @@ def _order(shingled: DataFrame) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, order: np.ndarray, n: int, percent: int, ranges: int, text: str) -> DataFrame:
-    """(sig, key): the entries of all short lists that more than one set is on. An entry may be there more than once."""
+    """(rank, sig, key): the entries of all short lists that more than one set is on. An entry may be there more than once."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
     schema = "part int, straight boolean, sigs binary, keys binary"
 
@@ -283,8 +327,7 @@ def _lists(docs: DataFrame, order: np.ndarray, n: int, percent: int, ranges: int
             held = 0
 
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(t or b"", n)
+            for s in shingle_sets(batch.column(0), n):
                 if len(s) and once.first(key := digest(s)):
                     sigs.append(short_lists(s, order, percent))
                     keys.append(key)
@@ -300,7 +343,8 @@ def _lists(docs: DataFrame, order: np.ndarray, n: int, percent: int, ranges: int
         def out(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(sig), 1 << 16):
                 names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k := key[a : a + (1 << 16)]), [None, pa.py_buffer(k.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)].view(np.int64)), names.cast(pa.binary())], names=["sig", "key"])
+                some = sig[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value[slots(some)].astype(np.int16)), pa.array(some.view(np.int64)), names.cast(pa.binary())], names=["rank", "sig", "key"])
 
         def settle() -> Iterator[pa.RecordBatch]:
             if sigs:
@@ -336,7 +380,7 @@ def _lists(docs: DataFrame, order: np.ndarray, n: int, percent: int, ranges: int
         yield from settle()
 
     sent_rows = docs.select(text).mapInArrow(enter, schema).repartition(ranges, "part").sortWithinPartitions("part")
-    return materialize(sent_rows.mapInArrow(live, "sig long, key binary"), "lists")
+    return materialize(sent_rows.mapInArrow(live, "rank smallint, sig long, key binary"), "lists")
 
 
 def _sets(keys: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
@@ -352,8 +396,7 @@ def _sets(keys: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
         table, once = sent.value, Once()
         for batch in batches:
             found, items, held = [], [], 0
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(t or b"", n)
+            for s in shingle_sets(batch.column(0), n):
                 if len(s):
                     key = digest(s)
                     at = int.from_bytes(key[:4], "big") % MARKS
@@ -451,13 +494,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     base = _shingled(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text")), n)
     order = _order(base)
     base = base.where("chunk is null")
-    entries = base.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
+    entries = base.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 75 + 1), F.lit(0))).first()[0]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // RANGE))
     lists = _lists(docs, order, n, percent, ranges, text)
-    weight = lists.groupBy("key").agg(F.count("*").alias("weight"))
-    center = lists.join(weight, "key").groupBy("sig").agg(F.max_by("key", F.struct("weight", "key")).alias("center"))
-    met = materialize(lists.join(center, "sig").where("key <> center").select("center", "key").distinct(), "met")
+    classes = base.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.max("n").alias("n"))
+    own = lists.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rank", "sig"))).alias("all")).withColumn("weight", F.size("all"))
+    own = own.join(classes.select("key", F.expr(f"(n - ({percent} * n + 99) div 100) div 3").cast("int").alias("spare")), "key").where("weight > spare")
+    short = materialize(own.select("key", "weight", F.explode(F.slice("all", F.lit(1), F.col("weight") - F.col("spare")).getField("sig")).alias("sig")), "lists")
     discard(lists)
+    center = short.groupBy("sig").agg(F.max_by("key", F.struct("weight", "key")).alias("center"))
+    met = materialize(short.join(center, "sig").where("key <> center").select("center", "key").distinct(), "met")
+    discard(short)
     sets = _sets(met.select("key").union(met.select("center")).distinct(), docs, n, text)
     links = materialize(_to_centers(met, sets, percent), "links")
     label = groups(links)
@@ -466,7 +513,6 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     discard(met)
     if not more.isEmpty():
         label = groups(links.union(more))
-    classes = base.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"))
     named_by = classes.join(label, classes["key"] == label["node"], "left").select("key", "first_id", "label")
     by_label = named_by.where("label is not null").groupBy("label").agg(F.min("first_id").alias("component"))
     final = named_by.join(by_label, "label", "left").select("key", F.coalesce("component", "first_id").alias("component"))
