@@ -3,9 +3,10 @@
 Each page is parsed once per pass into a light element tree. The first pass hashes the subtrees of boilerplate candidates
 (elements outside paragraphs and headings of the article) and Spark counts, for each host, on how many pages each hash
 occurs. Counts are combined before the shuffle and only hashes at or over the threshold are kept. The second pass deletes
-those subtrees, elements whose tag, role or class says that they are menus, headers, footers, sidebars, notices,
+those subtrees, elements whose tag, role, class or id says that they are menus, headers, footers, sidebars, notices,
 adverts, forms or reader comments, and scripts and styles; what remains is the text. If a page has an article or main
-element, text outside it is left out.
+element, text outside it is left out, and inside a class or id counts only if it says nothing else, so that a section named
+"related-work" stays. An article's header stays too, as it has the title.
 
 An article's own paragraphs are never deleted because they recur: many pages may hold the same passage.
 
@@ -36,29 +37,48 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
-# Words of a class or id that mark what is not the article.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|subscribe|newsletter|signup|login|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+# Words of a class or id that mark what is not the article, and words that only say where or what kind of box it is.
+MARKS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer header masthead "
+    "cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup login comment comments replies reply respond disqus share sharing social related recommended widget "
+    "widgets pagination pager toolbar skip".split()
+)
+BOXES = frozenset("area bar bars block bottom box button buttons center column container content form global inline inner items left link links list main outer page panel primary right row secondary section site slot thread tools top unit wrap wrapper".split())
+WORDS = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s/>\"'=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|[\"'=/]")
 SPACE = re.compile(r"\s+")
 
 
+def marked(value: str, inside: bool) -> bool:
+    """Whether a class or id says that its element is not the article.
+
+    In an article a name does if all its words are such marks, boxes or numbers; elsewhere one mark is enough.
+    """
+    for name in value.lower().split():
+        words = WORDS.findall(name)
+        known = [w in MARKS for w in words]
+        if any(known) and (not inside or all(k or w in BOXES or w.isdigit() for w, k in zip(words, known, strict=True))):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "drop")
+    __slots__ = ("tag", "attrs", "kids", "template")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids, self.drop = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.template = tag, attrs, [], False
 
-    def unwanted(self) -> bool:
-        """Whether tag, role or class say that this is not the article."""
-        if self.drop is None:
-            self.drop = self.tag in DROPPED
-            if not self.drop and self.attrs and self.tag not in ("html", "body", "article", "main"):
-                for m in ATTR.finditer(self.attrs):
-                    name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                    if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and MARKED.search(value):
-                        self.drop = True
-        return self.drop
+    def unwanted(self, inside: bool) -> bool:
+        """Whether tag, role or class say that this is not the article; inside: it is in one."""
+        if self.template or self.tag in DROPPED and not (inside and self.tag == "header"):
+            return True
+        if self.attrs and self.tag not in ("html", "body", "article", "main"):
+            for m in ATTR.finditer(self.attrs):
+                name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and marked(value, inside):
+                    return True
+        return False
 
 
 def tree(page: str) -> Node:
@@ -122,25 +142,27 @@ def tree(page: str) -> Node:
 
 def candidates(root: Node) -> Iterator[tuple[int, Node]]:
     """(hash, element) of subtrees that may be template: not the article, its ancestors, nor blocks of running text in it."""
-
-    def digest(node: Node, inside: bool) -> tuple[int, bool]:
+    order, stack = [], [(root, False)]
+    while stack:  # parents before children
+        node, inside = stack.pop()
+        order.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
+        stack += [(kid, inside) for kid in node.kids if not isinstance(kid, str)]
+    done: dict[int, tuple[bytes, bool]] = {}
+    for node, inside in reversed(order):
         h, holds = xxhash.xxh3_64(), node.tag in ("article", "main")
         h.update(f"<{node.tag} {node.attrs}>".encode("utf-8", "surrogatepass"))
         for kid in node.kids:
             if isinstance(kid, str):
                 h.update(SPACE.sub(" ", kid).encode("utf-8", "surrogatepass"))
             else:
-                k, below = digest(kid, inside or holds)
+                k, below = done.pop(id(kid))
                 holds |= below
-                h.update(k.to_bytes(8, "little"))
+                h.update(k)
         value = h.intdigest()
         if not holds and node.tag not in NEVER and not (inside and node.tag in LISTS):
-            found.append((value - (1 << 63), node))
-        return value, holds
-
-    found: list[tuple[int, Node]] = []
-    digest(root, False)
-    return iter(found)
+            yield value - (1 << 63), node
+        done[id(node)] = value.to_bytes(8, "little"), holds
 
 
 # Elements that are never template by themselves: page frames, running text and what is inline in it.
@@ -149,87 +171,57 @@ NEVER = frozenset("#root html body head p h1 h2 h3 h4 h5 h6 blockquote pre a b i
 LISTS = frozenset("ul ol dl li dd dt table tbody thead tr td th figure".split())
 
 
-def _nested(root: Node, limit: int = 400) -> bool:
-    """Whether the tree is deeper than recursion should go."""
-    level, depth = [root], 0
-    while level:
-        level = [k for n in level for k in n.kids if not isinstance(k, str)]
-        depth += 1
-        if depth > limit:
-            return True
-    return False
-
-
-def _flatten(root: Node) -> Node:
-    """A very deep tree as a list of its texts and blocks."""
-    out, stack = Node("#root"), [(root, 0)]
-    while stack:
-        node, i = stack.pop()
-        if i < len(node.kids):
-            stack.append((node, i + 1))
-            kid = node.kids[i]
-            if isinstance(kid, str):
-                out.kids.append(kid)
-            elif not kid.unwanted():
-                if kid.tag in BLOCK:
-                    out.kids.append(Node("hr"))
-                stack.append((kid, 0))
-    return out
-
-
-def parsed(page: str) -> Node:
-    root = tree(page)
-    return _flatten(root) if _nested(root) else root
-
-
 def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page, blocks joined by an empty line.
 
     If without the template nothing is left, as on copies of one page, the template is not deleted.
     """
     if template:
-        gone = [(node, node.unwanted()) for h, node in candidates(root) if h in template]
-        for node, _ in gone:
-            node.drop = True
+        gone = [node for h, node in candidates(root) if h in template]
+        for node in gone:
+            node.template = True
         said = text_of(root)
         if said or not gone:
             return said
-        for node, drop in gone:
-            node.drop = drop
+        for node in gone:
+            node.template = False
 
-    def articles(node: Node) -> list[Node]:
-        out = []
-        for kid in node.kids:
-            if not isinstance(kid, str) and not kid.unwanted():
-                out += [kid] if kid.tag in ("article", "main") else articles(kid)
-        return out
+    tops, stack = [], [root]
+    while stack:
+        for kid in reversed(stack.pop().kids):
+            if not isinstance(kid, str) and not kid.unwanted(False):
+                stack.append(kid)
+        while stack and stack[-1].tag in ("article", "main"):
+            tops.append(stack.pop())
 
     blocks: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
         if run:
-            said = SPACE.sub(" ", unescape("".join(run)).replace(" ", " ")).strip()
+            said = SPACE.sub(" ", unescape("".join(run)).replace("\u00a0", " ")).strip()
             if said:
                 blocks.append(said)
             run.clear()
 
-    def walk(node: Node) -> None:
-        for kid in node.kids:
+    for top in tops or [root]:
+        stack = [(top, 0)]
+        while stack:
+            node, i = stack.pop()
+            if i == len(node.kids):
+                if node.tag in BLOCK:
+                    flush()
+                continue
+            stack.append((node, i + 1))
+            kid = node.kids[i]
             if isinstance(kid, str):
                 run.append(kid)
             elif kid.tag == "br":
                 run.append(" ")
-            elif not kid.unwanted():
+            elif not kid.unwanted(bool(tops)):
                 if kid.tag in BLOCK:
                     flush()
-                    walk(kid)
-                    flush()
-                else:
-                    walk(kid)
-
-    for top in articles(root) or [root]:
-        walk(top)
+                stack.append((kid, 0))
         flush()
     return "\n\n".join(blocks)
 
@@ -255,7 +247,7 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05, keep:
 
         for batch in batches:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {value for value, _ in candidates(parsed(page or ""))}
+                own = {value for value, _ in candidates(tree(page or ""))}
                 for value in (*own, PAGE):
                     seen[h, value] = seen.get((h, value), 0) + 1
             if len(seen) > 200_000:
@@ -265,14 +257,17 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05, keep:
     counts = pages.select(host, "html").mapInArrow(hashes, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == PAGE))
     counts = materialize(counts, "subtrees")
     totals = counts.where(F.col("subtree") == PAGE).select("host", F.col("n").alias("pages"))
-    template = counts.where(F.col("subtree") != PAGE).join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template"))
     # at least a share of a host's pages each: a bounded list for each host
+    template = counts.where(F.col("subtree") != PAGE).join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template"))
+    template = materialize(template, "template")
+    size = template.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0]
     joined = pages.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).alias("kept"), "html", host)
-    joined = joined.join(template, "host", "left").select("kept", "html", "template")
+    # beyond a size that is safe to broadcast, Spark shuffles pages by host and splits hot hosts, as both sides are plain reads
+    joined = joined.join(F.broadcast(template) if size <= BROADCAST else template, "host", "left").select("kept", "html", "template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [text_of(parsed(page or ""), frozenset(t or ())) for page, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            said = [text_of(tree(page or ""), frozenset(t or ())) for page, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array([len(x) for x in said], pa.int64())], names=["kept", "text", "n_chars"])
 
     schema = joined.select("kept").schema.add("text", "string").add("n_chars", "long")
@@ -280,5 +275,7 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05, keep:
     return out.select(*(F.col(f"kept.c{i}").alias(c) for i, c in enumerate(kept)), "text", "n_chars")
 
 
+#: Numbers in a list of templates that are broadcast at most.
+BROADCAST = 2_000_000
 #: Counts the pages of a host; no subtree hashes to it but by accident.
 PAGE = (1 << 63) - 1

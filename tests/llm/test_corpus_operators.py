@@ -7,6 +7,7 @@ import math
 import random
 import re
 import textwrap
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -524,10 +525,66 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html_text():
-    assert html.text_of(html.parsed(PAGE)) == "A & B\n\nOne two\n\nThree four <tag> é&unknown;\n\ni\n\nj\n\nshared passage"
-    assert html.text_of(html.parsed("just text &amp; more")) == "just text & more"
-    assert html.text_of(html.parsed("")) == "" and html.text_of(html.parsed("<p>a<p>b</div>c")) == "a\n\nbc"
-    assert html.text_of(html.parsed("<div>" * 5000 + "deep" + "</div>" * 5000)) == "deep"
+    assert html.text_of(html.tree(PAGE)) == "A & B\n\nOne two\n\nThree four <tag> é&unknown;\n\ni\n\nj\n\nshared passage"
+    assert html.text_of(html.tree("just text &amp; more")) == "just text & more"
+    assert html.text_of(html.tree("")) == "" and html.text_of(html.tree("<p>a<p>b</div>c")) == "a\n\nbc"
+    assert html.text_of(html.tree("<div>" * 5000 + "deep" + "</div>" * 5000)) == "deep"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p title="hidden treasure">Kept text</p></article>', "Kept text"), ('<article><p>a <a href="/x/hidden/y">b</a> <a href="/p?id=nav">c</a></p></article>', "a b c"),
+    ('<article><div data-id="sidebar">kept</div><div id=sidebar>gone</div></article>', "kept"), ('<article><section id="related-work"><h2>Related work</h2></section></article>', "Related work"),
+    ("<article><div class='x comment-list'>gone</div><p hidden>gone</p><p aria-hidden=true>gone</p><p aria-hidden=false>kept</p></article>", "kept"),
+    ("<article><header><h1>Title</h1></header><p>a</p><footer>gone</footer></article>", "Title\n\na"), ("<p>a</p><div class='site-header'>gone</div><div class='my-sidebar-x'>gone</div>", "a"),
+    ("<article>a</article>" + "<div>" * 450 + "menu" + "</div>" * 450, "a"), ("<div>" * 3000 + "<article><p>a</p>b</article>" + "</div>" * 3000 + "c", "a\n\nb"), ("<p class=a/b id=nav>gone</p>x", "x"),
+])
+def test_html_attributes_and_depth(page, want):
+    assert html.text_of(html.tree(page)) == want
+    assert len(list(html.candidates(html.tree(page)))) < 4000
+
+
+class PlainText(HTMLParser):
+    """The main text of well-formed pages by the standard library's parser, without templates."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.off, self.blocks, self.run = 0, 0, [], []
+
+    def flush(self):
+        said = " ".join("".join(self.run).split())
+        self.blocks += [said] * bool(said)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside += 1
+        if self.inside and tag == "br":
+            self.run.append(" ")
+        elif self.off or tag in ("nav", "footer", "aside", "form", "script", "style") or dict(attrs).get("class") == "ad":
+            self.off += 1
+        elif tag not in ("a", "b"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.off -= self.off > 0
+        if tag not in ("a", "b"):
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.run.append(data)
+
+
+def test_html_equals_another_parser(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in entry.op10_html_text(spark, DATA).collect()}
+    for r in pages.collect():
+        if r["html"] and "<article" in r["html"]:
+            p = PlainText()
+            p.feed(r["html"])
+            p.close()
+            assert got[r["page_id"]] == "\n\n".join(p.blocks), r["html"][:600]
 
 
 def test_html_template(spark):
