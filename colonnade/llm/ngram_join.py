@@ -442,7 +442,8 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _to_centers(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (center, key) of the pairs (center, key) in met, searched in blocks of the sets around a center."""
-    size = met.groupBy("center").agg(F.count("*").alias("size"))
+    # as a table, so that Spark can split the sets of one center in the join
+    size = materialize(met.groupBy("center").agg(F.count("*").alias("size")), "sizes")
     around = met.join(size, "center").join(sets, "key").select("center", _blocks("key", "size").alias("block"), F.lit(False).alias("is_center"), "key", "items")
     middle = size.join(sets, size["center"] == sets["key"]).select("center", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"), F.lit(True).alias("is_center"), "key", "items")
 
@@ -456,10 +457,10 @@ def _to_centers(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _around_centers(met: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between sets around one center that are in different groups: enough of them to join all groups that link."""
-    named = met.join(label, met["key"] == label["node"], "left").select("center", "key", F.coalesce("label", "key").alias("label"))
+    named = materialize(met.join(label, met["key"] == label["node"], "left").select("center", "key", F.coalesce("label", "key").alias("label")), "met")
     many = named.groupBy("center", "label").agg(F.count("*").alias("n"))
     state = many.groupBy("center").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("main")).where("size > largest")
-    state = state.select("center", "main", "size", (F.col("size") - F.col("largest")).alias("others"))
+    state = materialize(state.select("center", "main", "size", (F.col("size") - F.col("largest")).alias("others")), "sizes")
     rows = named.join(state, "center").withColumn("aside", F.col("label") != F.col("main")).join(sets, "key")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1))
     asks = rows.where("aside").select("center", _blocks("key", "others").alias("q"), every("size").alias("d"), F.lit(True).alias("asks"), "aside", "key", "label", "items")
