@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +19,14 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir; where it is unset and Spark is local, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='colonnade-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -95,3 +98,45 @@ def rolling(ids: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarr
         out = (out * np.uint64(base)) + ids[i : i + size]
         out ^= out >> np.uint64(29)
     return out
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts that lie one after another, and where each begins and the last ends; null is an empty text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), bounds
+
+
+# fixed values of the word hash: a number for each byte after A-Z are lower-cased, and the base of its powers
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], np.uint64) * ~_BLANK
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of them."""
+    global _powers
+    while len(_powers[0]) < n:
+        more = len(_powers[0])
+        step = [np.uint64(pow(x, more, 1 << 64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers = tuple(np.concatenate((x, x * y)) for x, y in zip(_powers, step, strict=True))
+    return _powers
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts that lie one after another, where the words of each text begin, and the place of each word."""
+    word = ~_BLANK[data]
+    joined = word[1:] & word[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    joined[inner - 1] = False
+    start = np.flatnonzero(word & ~np.append(False, joined)[: len(word)])
+    end = np.flatnonzero(word & ~np.append(joined, False)[: len(word)]) + 1
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h, np.searchsorted(start, bounds), start, end

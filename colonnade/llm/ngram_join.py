@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, rolling
+from .common import discard, materialize, rolling, text_bytes, word_hashes
 
 BITS = 22
 COUNTERS = 1 << BITS  # slots of the table that orders elements
@@ -49,50 +49,13 @@ BLOCK = 512
 MARKS = 1 << 27  # slots that mark the sets to fetch
 
 
-# fixed values of the word hash: a number for each byte after A-Z are lower-cased, and the base of its powers
-_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], np.uint64) * ~_BLANK
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least n of them."""
-    global _powers
-    while len(_powers[0]) < n:
-        more = len(_powers[0])
-        step = [np.uint64(pow(x, more, 1 << 64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-        _powers = tuple(np.concatenate((x, x * y)) for x, y in zip(_powers, step, strict=True))
-    return _powers
-
-
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of texts that lie one after another, and where the words of each text begin."""
-    word = ~_BLANK[data]
-    joined = word[1:] & word[:-1]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
-    joined[inner - 1] = False
-    start = np.flatnonzero(word & ~np.append(False, joined)[: len(word)])
-    end = np.flatnonzero(word & ~np.append(joined, False)[: len(word)]) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h, np.searchsorted(start, bounds)
-
-
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each text, ASCII-lower-cased; null is an empty text."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    data, bounds = text_bytes(texts)
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 18), "right")) - 1)
-        ids, at = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        ids, at, _, _ = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
         runs = rolling(ids, n)
         for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if y - x >= n:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontam, entry, html, langid, licenses, lm, mixing, ngram_join, quality, token_counts, warc
+from colonnade.llm import attention, decontam, entry, html, langid, licenses, lm, mixing, ngram_join, quality, token_counts, warc
 from colonnade.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
@@ -154,13 +154,13 @@ def lm_check(rows, got):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("hot", [200_000, 40])
+@pytest.mark.parametrize("hot", [400_000, 40])
 def test_lm_base_equals_brute_force(spark, documents, hot):
     rows = [(r[0], r[1]) for r in odd_docs()] + [tuple(r) for r in documents.select("doc_id", "text").limit(60).collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     from colonnade.llm.common import bucket
 
-    got = lm.score_texts(df, bucket(F.col("doc_id"), 7) == 2, hot=hot, steps=20, rounds=1)
+    got = lm.score_texts(df, bucket(F.col("doc_id"), 7) == 2, hot=hot, warm=20)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     got = got.collect()
     lm_check(rows, [tuple(r)[:6] for r in got])
@@ -177,62 +177,68 @@ def test_lm_edge_tables(spark):
     assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3) and r["base_score"] == 0 and r["score"] < 0
 
 
-def test_lm_trains_on_all_documents(spark, monkeypatch):
-    def counting(flat, data, setup_, steps, rate, seed):
-        return np.full_like(flat, len(data[0])), 0.0
+def test_lm_scores_do_not_depend_on_the_order_of_rows(spark, documents):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    from colonnade.llm.common import bucket
 
-    monkeypatch.setattr(lm, "train", counting)
-    docs = spark.range(2240).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    pieces = spark.createDataFrame([(7, 5)], "piece int, n long")
-    model = lm.fit(docs, pieces, 2240, lm.Tree(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)), rounds=1)
-    assert model.flat[0] == 2240  # one shard, one block a text
+    both = []
+    for some in (rows, random.Random(1).sample(rows, len(rows)), rows):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(len(both) + 2)
+        both.append({r["doc_id"]: r["score"] for r in lm.score_texts(df, bucket(F.col("doc_id"), 7) == 2, hot=500, warm=40).collect()})
+    for other in both[1:]:
+        assert all(math.isclose(x, other[k], rel_tol=1e-5) for k, x in both[0].items())
 
 
-def test_lm_gradient_and_distribution():
+def test_attention_gradient_distribution_and_windows():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, 600)
-    start = rng.random(600) < 0.4
-    ready = lm.setup(counts, 10, start)
-    flat = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)).astype(np.float64)
-    inputs, target, ok, before, _ = lm.blocks([rng.integers(0, 600, n) for n in (5, 40, 17)], ready)
-    args = (inputs, inputs[np.arange(len(inputs)) - 1], before, ready.cls[target], ok)
-    _, g = lm.gradient(flat, *args)
-    for i in [*rng.integers(0, lm.SIZE, 30), *np.argsort(-np.abs(g))[:30]]:
+    net = attention.Net(30, 9, 4, 5)
+    flat = net.initial(np.full(9, 1 / 9)).astype(np.float64)
+    n = np.array([3, 1, 9, 4])
+    one, two, target = (rng.integers(0, k, int(n.sum())) for k in (30, 30, 9))
+    data = net.blocks(n, one, two, target)
+    assert len(data[0]) == 6 and data[3].sum() == n.sum()
+    at = np.arange(6)
+    _, g = net.gradient(flat, data, at)
+    for i in [*rng.integers(0, net.size, 30), *np.argsort(-np.abs(g))[:30]]:
         up, down = flat.copy(), flat.copy()
         up[i] += 1e-5
         down[i] -= 1e-5
-        assert abs((lm.gradient(up, *args)[0] - lm.gradient(down, *args)[0]) / 2e-5 - g[i]) < 1e-4
-    # the probabilities of every next piece and the end sum to 1, whatever stands before
-    for prefix in ([], [3], list(rng.integers(0, 600, 37))):
-        p = [lm.score(flat.astype(np.float32), ready, [np.array([*prefix, x], np.int64)])[0][len(prefix)] for x in range(600)]
-        p.append(lm.score(flat.astype(np.float32), ready, [np.array(prefix, np.int64)])[0][len(prefix)])
-        assert abs(sum(p) - 1) < 1e-3
-
-
-def test_lm_windows_score_each_piece_once():
-    rng = np.random.default_rng(1)
-    ready = lm.setup(rng.integers(0, 50, 600), 10, rng.random(600) < 0.4)
-    flat = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    many = [rng.integers(0, 600, n) for n in (0, 1, 15, 16, 17, 100)]
-    together = lm.score(flat, ready, many)[0]
-    alone = np.concatenate([lm.score(flat, ready, [x])[0] for x in many])
-    assert len(together) == sum(len(x) + 1 for x in many) and np.allclose(together, alone, rtol=1e-4)
-
-
-def test_tree_mixture_is_a_distribution():
-    rng = np.random.default_rng(4)
-    words = [rng.integers(0, 6, rng.integers(1, 5)) for _ in range(40)]
-    tree = lm.Tree(np.concatenate(words), np.array([len(w) for w in words]), rng.integers(1, 9, 40))
-    for before in ([1], [1, 2], [5, 0, 3]):
-        total, end = 0.0, None
-        for x in range(6):
-            w = np.array([*before, x])
-            at = len(before) - 1
-            a, b, c, d = (y[at] for y in tree.mixed(tree.raw(w, np.array([len(w)]))))
-            end = b
-            total += d
-            weight = 1 - c
-        assert -1e-9 <= end <= 1 and total <= weight + 1e-6
+        assert abs((net.gradient(up, data, at)[0] - net.gradient(down, data, at)[0]) / 2e-5 - g[i]) < 1e-4
+    # each target is scored once, alike alone and with others, and the classes of any place sum to 1
+    flat = flat.astype(np.float32)
+    together = net.log10(flat, data, step=2)
+    alone = np.concatenate([net.log10(flat, net.blocks(np.array([len(x)]), x, y, z)) for x, y, z in zip(*(np.split(v, np.cumsum(n)[:-1]) for v in (one, two, target)), strict=True)])
+    assert len(together) == n.sum() and np.allclose(together, alone, atol=1e-5)
+    for last in (0, 3, 5, 8):
+        p = [10 ** net.log10(flat, net.blocks(np.array([9]), one[4:13], two[4:13], np.where(np.arange(9) == last, c, target[4:13])))[last] for c in range(9)]
+        assert abs(sum(p) - 1) < 1e-4
+    # what comes later changes nothing
+    changed = one.copy()
+    changed[4 + 6] = (changed[4 + 6] + 1) % 30
+    assert np.allclose(net.log10(flat, net.blocks(n, changed, two, target))[: 4 + 6], together[: 4 + 6], atol=1e-5)
+
+
+def test_lm_spellings_are_a_distribution(spark, documents):
+    rng = np.random.default_rng(3)
+    top = np.arange(5)
+    code = lm.codes(rng.integers(0, 9, 400), 200, top, rng.integers(0, 50, (400, 5)).astype(float))
+    model = lm.Model(code, lm.WORDS.initial(np.ones(lm.CLASSES)), lm.SPELLING.initial(np.ones(lm.PIECE_CLASSES)), np.zeros(lm.CLASSES), np.zeros(lm.CLASSES))
+    # all pieces that may follow two others, and the end after them: those of longer spellings count as what is left
+    ids = np.array([[3, 7, x] for x in range(400)]).ravel()
+    cls = np.full(401, 70)
+    *data, share, ends = code.spelling(cls, np.append(ids, [3, 7]), np.array([3] * 400 + [2]))
+    each = lm.SPELLING.log10(model.spelling, tuple(data)) + share
+    p = [10 ** each[e - 1] for e in ends[:-1]] + [10 ** each[ends[-1]]]
+    assert abs(sum(p) - 1) < 1e-3
+
+
+def test_lm_learns(spark):
+    from colonnade.llm.common import bucket
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = lm.score_texts(docs, bucket(F.col("doc_id"), 7) == 2).groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()
+    got = {r["held_out"]: (r["score"], r["base"]) for r in got}
+    assert got[False][0] > got[False][1] and got[True][0] > -4.6
 
 
 def test_token_counts_equal_the_library(documents):
