@@ -10,8 +10,9 @@ benchmark are left out of R where enough others remain, which the bound allows.
 The benchmark goes to the executors in blocks of a fixed number of characters, each block against all documents, so that
 what is broadcast is bounded however large the benchmark is.
 
-Defined results: null or empty documents and items match nothing; an item with fewer than q characters matches nothing;
-where q-grams would not bound the budget, the budget shrinks to what they bound (at least exact matches are found); of
+q is 8; short items, of which k edits could destroy all q-grams of 8, have q-grams of 4 and the same budget.
+
+Defined results: null or empty documents and items match nothing; an item with fewer than 4 characters matches nothing; of
 several places of an item in a document the one with the fewest edits, then the first, is returned; repeated documents or
 items give repeated rows; null ids are kept.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import discard, materialize, per_text
 
 Q = 8
 _BASE = 0x9E3779B97F4A7C15
@@ -44,42 +45,59 @@ def normalise(text: str) -> np.ndarray:
     return np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
 
 
-def grams(a: np.ndarray) -> np.ndarray:
+def grams(a: np.ndarray, q: int = Q) -> np.ndarray:
     """64-bit hashes of the q-grams, in order."""
-    n = len(a) - Q + 1
+    n = len(a) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    b = a.astype(np.uint64)
-    # by doubling: 2, 4, then 8 characters
-    h = b[:-1] * _BASE1 + b[1:]
-    h = h[:-2] * _BASE2 + h[2:]
-    h = h[:-4] * _BASE4 + h[4:]
+    h = a.astype(np.uint64)
+    if q == 8:  # by doubling: 2, 4, then 8 characters
+        h = h[:-1] * _BASE1 + h[1:]
+        h = h[:-2] * _BASE2 + h[2:]
+        h = h[:-4] * _BASE4 + h[4:]
+    else:
+        h = sum(h[i : i + n] * np.uint64(pow(_BASE, q - 1 - i, 1 << 64)) for i in range(q))
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def gram_size(m: int, k: int) -> int:
+    """q for an item of m characters and k edits: 8, or 4 where the lemma would leave no common q-gram of 8, or 0 for under 4 characters."""
+    return next((q for q in (8, 4) if m - q + 1 - k * q >= 1), 0)
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, which are kept apart by their q."""
 
-    def __init__(self, items: list[tuple[object, str]], budget: float = 0.1, common: int = 8) -> None:
-        self.ids, self.texts, self.k, self.need = [], [], [], []
-        hashes, places, owners = [], [], []
+    def __init__(self, items: list[tuple[object, str]], budget: float = 0.1) -> None:
         texts = [(i, normalise(t or "")) for i, t in items]
-        texts = [(i, a) for i, a in texts if len(a) >= Q]
-        every = [grams(a) for _, a in texts]
+        sizes = [gram_size(len(a), int(len(a) * budget)) for _, a in texts]
+        self.parts = [Part([x for x, size in zip(texts, sizes, strict=True) if size == q], q, budget) for q in sorted({*sizes} - {0})]
+
+    def find(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(item id, edits, start, end) of each item in a text, places in the normalised text."""
+        a = normalise(text) if self.parts else None
+        return [x for part in self.parts for x in part.find(a)]
+
+
+class Part:
+    """The q-grams of items of one q."""
+
+    def __init__(self, texts: list[tuple[object, np.ndarray]], q: int, budget: float, common: int = 8) -> None:
+        self.q, self.ids, self.texts, self.k, self.need = q, [], [], [], []
+        hashes, places, owners = [], [], []
+        every = [grams(a, q) for _, a in texts]
         known, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
         for (i, a), g in zip(texts, every, strict=True):
-            k = min(int(len(a) * budget), (len(g) - 1) // Q)
+            k = int(len(a) * budget)
             rare = np.flatnonzero(n[np.searchsorted(known, g)] <= common)
-            use = rare if len(rare) >= k * Q + 12 else np.arange(len(g))
+            use = rare if len(rare) >= k * q + 12 else np.arange(len(g))
             hashes.append(g[use])
             places.append(use)
             owners.append(np.full(len(use), len(self.ids)))
             self.ids.append(i)
             self.texts.append(a)
             self.k.append(k)
-            self.need.append(len(use) - k * Q)
-        if not self.ids:
-            return
+            self.need.append(len(use) - k * q)
         h, p, o = np.concatenate(hashes), np.concatenate(places), np.concatenate(owners)
         by = np.argsort(h, kind="stable")
         h, self.place, self.owner = h[by], p[by].astype(np.int64), o[by].astype(np.int64)
@@ -89,12 +107,8 @@ class Index:
         self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
         self.step = 2 * self.k + 1
 
-    def find(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item id, edits, start, end) of each item in a text, places in the normalised text."""
-        if not self.ids:
-            return []
-        a = normalise(text)
-        g = grams(a)
+    def find(self, a: np.ndarray) -> list[tuple[object, int, int, int]]:
+        g = grams(a, self.q)
         at = np.flatnonzero(self.may[g >> np.uint64(64 - _BITS)])
         if not len(at):
             return []
@@ -173,20 +187,20 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, k: int) -> tup
     return int(d[t]), max(0, int(start[t])), min(len(doc), end)
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about block_chars characters, each read when it is needed."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[object, str]]]]:
+    """How many blocks of about block_chars characters the items make; and these, each read when it is needed."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     turn = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for block in range(blocks):
-        yield [(r[0], r[1]) for r in benchmark.where(turn == block).select("item_id", "text").collect()]
+    return blocks, ([(r[0], r[1]) for r in benchmark.where(turn == block).select("item_id", "text").collect()] for block in range(blocks))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars: int = 16_000_000, name: str = "n_items") -> DataFrame:
     """The columns of docs and how many benchmark items each document holds."""
     spark, columns, out = docs.sparkSession, docs.columns, docs
     marks = []
-    for i, items in enumerate(_blocks(benchmark, block_chars)):
+    blocks, read = _blocks(benchmark, block_chars)
+    for i, items in enumerate(read):
         sent = spark.sparkContext.broadcast(items)
 
         def make(sent=sent):
@@ -195,6 +209,12 @@ def flag(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars
 
         marks.append(f"_{name}_{i}")
         out = per_text(out, "text", None, f"{marks[-1]} long", make)
+        if blocks > 1:  # one block is in memory at a time
+            out = materialize(out, "flagged")
+            if i:
+                discard(before)
+            before = out
+            sent.unpersist()
     return out.select(*(F.col(f"`{c}`") for c in columns), sum((F.col(m) for m in marks), F.lit(0)).alias(name))
 
 
@@ -204,7 +224,8 @@ def find(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars
     item_type = benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("matched", T.StringType())])
     out = None
-    for items in _blocks(benchmark, block_chars):
+    blocks, read = _blocks(benchmark, block_chars)
+    for items in read:
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -219,6 +240,9 @@ def find(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], types[i]) for i in range(6)], names=schema.names)
 
         one = docs.select(id_col, "text").mapInArrow(run, schema)
+        if blocks > 1:  # one block is in memory at a time
+            one = materialize(one, "found")
+            sent.unpersist()
         out = one if out is None else out.unionByName(one)
     return out
 

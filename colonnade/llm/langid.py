@@ -129,19 +129,21 @@ def train(x: np.ndarray, langs: list[str]) -> Model | None:
     return top
 
 
-def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
-    """Learn from rows with text and lang: at most per_language documents of each language (a documented bound).
+def fit(docs: DataFrame, per_language: int = 600, languages: int = 200, rows: int = 24_000) -> Model | None:
+    """Learn from rows with text and lang: a sample of about `rows` documents at most, about per_language of each language.
 
-    docs: columns doc_id, text, lang, already without held-out rows. Rows are chosen by a hash of the id, and the whole
-    text of each is used.
+    docs: columns doc_id, text, lang, already without held-out rows. Only the most frequent `languages` values of lang are
+    learned (ties by name). All three are documented bounds of the labelled sample; rows are chosen by a hash of id and text,
+    equal ones count once, and the whole text of each is used.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == k, int(1_000_000 * min(1.0, 1.2 * per_language / n))) for k, n in sorted(counts.items())))
-    order = F.xxhash64("doc_id", F.lit(11))
-    sample = known.where(F.pmod(order, F.lit(1_000_000)) < share).withColumn("turn", order)
+    each = min(per_language, max(1, rows // len(counts)))
+    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, 1.2 * each / n)))))
+    order = F.xxhash64("doc_id", "text", F.lit(11))
+    sample = known.where(F.pmod(order, F.lit(1_000_000)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).withColumn("turn", order)
 
     def make():
         def work(texts: list[bytes]) -> list[pa.Array]:
@@ -150,16 +152,16 @@ def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
 
         return work
 
-    got = per_text(sample, "text", ["turn", "doc_id", "lang"], "x binary", make).where("x is not null").limit(4 * per_language * len(counts)).collect()
+    got = per_text(sample, "text", ["turn", "lang"], "x binary", make).where("x is not null").groupBy("lang", "turn").agg(F.min("x").alias("x")).collect()
     by: dict[str, int] = {}
-    rows = []
-    for r in sorted(got, key=lambda r: (r["lang"], r["turn"], str(r["doc_id"]), r["x"])):
+    chosen = []
+    for r in sorted(got, key=lambda r: (r["lang"], r["turn"])):
         by[r["lang"]] = by.get(r["lang"], 0) + 1
-        if by[r["lang"]] <= per_language:
-            rows.append(r)
-    if not rows:
+        if by[r["lang"]] <= each:
+            chosen.append(r)
+    if not chosen:
         return None
-    return train(np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32), [r["lang"] for r in rows])
+    return train(np.array([np.frombuffer(r["x"], np.float16) for r in chosen], np.float32), [r["lang"] for r in chosen])
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -194,12 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
         return DecisionList([])
     part = min(1.0, max_rows / total)
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)).groupBy("id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.limit(2 * max_rows)  # the share is random; this only makes the bound certain
     sample = docs.select(F.col(id_col).alias("id"), F.col("text")).join(F.broadcast(chosen), "id")
-    rows = with_statistics(sample, ["id", "quality"]).select("id", "quality", *(F.expr(e).alias(k) for k, e in FEATURES.items())).limit(4 * max_rows).toPandas()
+    rows = with_statistics(sample, ["id", "quality"]).select("id", "quality", F.struct(*(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items())).alias("x"))
+    # of documents with one id the least in its features, so that neither order nor repeats matter
+    rows = rows.groupBy("id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).select("id", "quality", "x.*").orderBy("id").toPandas()
     if rows.empty:
         return DecisionList([])
-    rows = rows.sort_values(["id", *FEATURES]).drop_duplicates("id")
     return learn({k: rows[k].to_numpy(float) for k in FEATURES}, (rows["quality"] == 0).to_numpy(), **settings)
 
 

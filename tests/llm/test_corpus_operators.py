@@ -394,7 +394,7 @@ def edit_distance_within(item, text):
 
 def test_decontamination_equals_brute_force(spark, documents):
     rng = random.Random(4)
-    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(12).collect()] + [(100, None), (101, "tiny"), (102, "")]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(12).collect()] + [(100, None), (101, "zq"), (102, ""), (103, "qx wvz"), (104, "short exam item"), (105, "what is the cube of 12"), (106, "the sum of 17 and 25 equals 42")]
     docs = [(r["doc_id"], r["text"]) for r in documents.where("n_chars < 1500").limit(40).collect()]
     for j in range(40):
         item = list(rng.choice(bench[:12])[1])
@@ -402,13 +402,14 @@ def test_decontamination_equals_brute_force(spark, documents):
             at = rng.randrange(len(item))
             item[at : at + rng.randrange(2)] = rng.choice(["", "x", "é", "qq"])
         docs.append((1000 + j, f"some words before {''.join(item)} and after"))
+    docs += [(3000, "aaa qx wvz bbb"), (3001, "one sh0rt exam item here"), (3002, "two sh0rt exam itm here"), (3003, "so wha is the cub of 12 again"), (3004, "the sam of 17 end 25 equal 42 !"), (3005, "the sam of 17 end 25 equal 4 !")]
     docs += [(None, bench[0][1]), (2000, bench[1][1].upper()), (2001, None), (2002, "")]
     want = set()
     for d, t in docs:
         for i, b in bench:
             a, x = decontam.normalise(t or ""), decontam.normalise(b or "")
-            if len(x) >= decontam.Q and len(a):
-                k = min(int(len(x) * 0.1), (len(x) - decontam.Q) // decontam.Q)
+            if len(x) >= 4 and len(a):
+                k = len(x) // 10
                 e = edit_distance_within(x, a)
                 if e <= k:
                     want.add((d, i, e))
@@ -449,6 +450,32 @@ def test_mixing(spark):
         assert g.source_size.iloc[0] == g["size"].sum()
 
 
+def test_mixing_equals_sorting(spark, documents):
+    docs = documents.select("doc_id", "text", "source")
+    docs = docs.union(docs.where("doc_id % 5 = 0"))
+    rows = docs.select("doc_id", F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("size"), mixing._uniform(F.lit(20), F.col("doc_id"), F.col("source"), F.col("text")).alias("u")).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    want = collections.Counter()
+    for source, size, target in mixing.targets(list(sizes.items())):
+        own = [r for r in rows if r["source"] == source]
+        whole = min(3, int(target / size + 1e-12)) if size else 0
+        rest = max(0.0, target - whole * size)
+        power = sum(r["size"] ** 1.25 for r in own)
+
+        def rank(r, rest=rest, power=power):
+            p = min(max(rest / power * r["size"] ** 0.25, 1e-12), 1 - 1e-9)
+            return (r["u"] / (1 - r["u"])) / (p / (1 - p)), r["size"]
+
+        upto = 0
+        for r in sorted(own, key=rank):
+            upto += r["size"]
+            extra = rest > 0 and whole < 3 and (upto <= rest or upto - rest < rest - (upto - r["size"]))
+            want[r["doc_id"], (whole + extra) * r["size"]] += 1
+    assert want == collections.Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs, keep=["doc_id"]).collect())
+
+
 def test_mixing_edges(spark, odd):
     out = mixing.mix(odd, keep=["doc_id"])
     got = out.collect()
