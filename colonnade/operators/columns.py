@@ -117,14 +117,14 @@ def graph_tracks(counts: DataFrame, reference: DataFrame | None = None) -> DataF
     if reference is None:
         at = counts.withColumn("cmp", majority_state())
     else:
-        at = counts.join(F.broadcast(reference.select("doc_id", "col", F.col("base").alias("cmp"))), ["doc_id", "col"], "left")
+        at = counts.join(reference.select("doc_id", "col", F.col("base").alias("cmp")), ["doc_id", "col"], "left")
     return at.select("doc_id", "col", identity(F.col("cmp")).alias("identity"), conservation(F.col("cmp")).alias("conservation"))
 
 
 def reference_coords(rows: DataFrame, reference: int) -> DataFrame:
     """doc_id, col, is_base and pos (how many reference bases up to here) of every column of documents with this row."""
     ref = rows.where(F.col("idx") == reference)
-    every = R.widths(rows).where("width > 0").join(F.broadcast(ref.select("doc_id", "start", "data")), "doc_id").select("doc_id", "start", "data", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    every = R.widths(rows).where("width > 0").join(ref.select("doc_id", "start", "data"), "doc_id").select("doc_id", "start", "data", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
     is_base = F.coalesce(R.at(F.col("col")) != S.GAP, F.lit(False))
     w = Window.partitionBy("doc_id").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     return every.select("doc_id", "col", is_base.alias("is_base")).withColumn("pos", F.sum(F.col("is_base").cast("int")).over(w).cast("int"))
@@ -171,7 +171,7 @@ def resize(fixed: Column, left: Column, d: Column) -> tuple[Column, Column]:
 def row_identity(rows: DataFrame, reference: int) -> DataFrame:
     """Share of equal cells among the columns that a row and the reference cover, gap against gap left out."""
     ref = rows.where(F.col("idx") == reference).select("doc_id", F.col("start").alias("rs"), F.col("data").alias("rd"))
-    both = rows.join(F.broadcast(ref), "doc_id")
+    both = rows.join(ref, "doc_id")
     a, b = F.greatest("start", "rs"), F.least(R.end(), F.col("rs") + F.length("rd"))
     x = F.split(F.substring("data", a - F.col("start") + 1, F.greatest(b - a, F.lit(0))), "")
     y = F.split(F.substring("rd", a - F.col("rs") + 1, F.greatest(b - a, F.lit(0))), "")
@@ -198,7 +198,7 @@ def row_track(rows: DataFrame, bin_width: int, reference: int) -> DataFrame:
     Bins without a covered column are left out.
     """
     ref = R.cells(rows.where(F.col("idx") == reference)).select("doc_id", "col", F.col("base").alias("ref"))
-    both = R.cells(rows).join(F.broadcast(ref), ["doc_id", "col"], "left")
+    both = R.cells(rows).join(ref, ["doc_id", "col"], "left")
     differs = ~F.col("base").eqNullSafe(F.col("ref"))
     base = F.min(F.when(differs & (F.col("base") != S.GAP), F.struct("col", "base")))["base"]
     gap = F.bool_or(differs & (F.col("base") == S.GAP))

@@ -186,7 +186,7 @@ def sample(reads: DataFrame, sources: list[tuple[list[str], int]], seed: int, pa
         rows += [(f, p - offset) for p in picks if offset <= p < offset + n for f in files]
         offset += n
     wanted = reads.sparkSession.createDataFrame(rows, "file string, read_no long")  # at most 1,000
-    return reads.join(F.broadcast(wanted), ["file", "read_no"], "left_semi")
+    return reads.join(wanted, ["file", "read_no"], "left_semi")
 
 
 def fingerprint(path: str) -> tuple[int, str]:

@@ -120,14 +120,14 @@ def slice_rows(rows: DataFrame, c0: int, c1: int, only: DataFrame | None = None)
     """
     each = cells(rows, c0, c1).where(F.col("base") != S.GAP)
     if only is not None:
-        each = each.join(F.broadcast(only.select("doc_id", "col")), ["doc_id", "col"], "left_semi")
+        each = each.join(only.select("doc_id", "col"), ["doc_id", "col"], "left_semi")
     columns = each.select("doc_id", "col").distinct().withColumn("new", F.row_number().over(Window.partitionBy("doc_id").orderBy("col")) - 1)
     placed = each.join(columns, ["doc_id", "col"])
     packed = placed.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("new", "base"))).alias("cells"))
-    first, last = F.col("cells")[0]["new"], F.element_at("cells", -1)["new"]
-    filled = F.map_from_entries("cells")
-    data = F.array_join(F.transform(F.sequence(first, last), lambda i: F.coalesce(F.try_element_at(F.col("filled"), i), F.lit(S.GAP))), "")
-    packed = packed.withColumn("filled", filled).select("doc_id", "idx", first.cast("int").alias("start"), data.alias("data"))
+    # each base after the gaps between it and the base before it
+    gaps = lambda x, i: F.when(i == 0, "").otherwise(F.repeat(F.lit(S.GAP), x["new"] - F.element_at("cells", i)["new"] - 1))
+    data = F.array_join(F.transform("cells", lambda x, i: F.concat(gaps(x, i), x["base"])), "")
+    packed = packed.select("doc_id", "idx", F.col("cells")[0]["new"].cast("int").alias("start"), data.alias("data"))
     return packed.join(rows.select("doc_id", "idx", "name", "description", "meta"), ["doc_id", "idx"]).select("doc_id", "idx", "name", "description", "start", "data", "meta")
 
 

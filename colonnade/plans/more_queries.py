@@ -13,6 +13,7 @@ from ..operators import library as B
 from ..operators import mapper as M
 from ..operators import reads as E
 from ..sources import fasta, genbank
+from ..sources.shared import shared_dir
 from . import fixtures as X
 from .queries import NORM, docs, table
 from .registry import query
@@ -256,10 +257,7 @@ def h33(spark, d):
 def s19(spark, d):
     from uuid import uuid4
 
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    lib = B.Library(spark, f"{at}/library-{uuid4().hex}")
+    lib = B.Library(spark, f"{shared_dir(spark)}/library-{uuid4().hex}")
     id_ = lib.insert_document("all", "Alignment", X.rows(spark, d).where("idx % 2 = 0"), 0)
     info, rows, _ = lib.load(id_)
     return rows.select("idx", "name", "start", "data", F.lit(info["width"]).alias("width"))

@@ -264,6 +264,36 @@ def test_locations():
     assert [genbank.parse_location(t) for t in ("", "0..3", "5..2", "join(1..2", "foo(1)")] == [None] * 5
 
 
+def test_genbank_features():
+    text = """skipped
+LOCUS\tX1 40 bp DNA
+DEFINITION\ta thing
+            of two lines.
+VERSION     X1.1
+FEATURES             Location/Qualifiers
+     source\t1..40
+                     /organism="a ""b"" c
+                     /not a key"
+                     /pseudo
+     CDS             join(1..5,
+                     7..9)
+                     /translation="MK
+                     LV"
+                     /note=no quotes
+                     here
+                     /product="open
+ORIGIN
+        1 acgt acgtn
+LOCUS       Y2 7 aa
+"""
+    one, two = genbank.parse(text)
+    assert [(f["key"], f["location"], [(q["key"], q["value"]) for q in f["qualifiers"]]) for f in one["features"]] == [
+        ("source", "1..40", [("organism", 'a "b" c /not a key'), ("pseudo", "")]),
+        ("CDS", "join(1..5,7..9)", [("translation", "MKLV"), ("note", "no quotes here"), ("product", "open")]),
+    ]
+    assert (one["locus"], one["definition"], one["version"], one["sequence"]) == ("X1", "a thing of two lines", "X1.1", "ACGTACGTN") and two["locus"] == "Y2" and two["features"] == []
+
+
 def test_mapper_recovers_planted_changes():
     import random
 
