@@ -74,7 +74,7 @@ class Library:
         out.close()
         self.at = now
 
-    def update(self, name: str, where: Column, **values) -> None:
+    def update(self, name: str, where: Column, /, **values) -> None:
         """Set columns of the records that match."""
         t = self.table(name)
         self.edit({name: t.select(*((F.when(where, values[c] if isinstance(values[c], Column) else F.lit(values[c])).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in t.columns))})

@@ -215,6 +215,11 @@ def check_set(files: list[tuple[str, int, int | None, str]]) -> list[str]:
     return [check(*f) for f in files]
 
 
+def link_problems(files: DataFrame, by: str) -> DataFrame:
+    """How many files (status) of each set are missing and how many have changed."""
+    return files.groupBy(by).agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "changed").alias("changed"))
+
+
 def relink(files: list[tuple[str, int, int | None, str]], index: int, path: str) -> dict[str, str]:
     """New paths for a moved file and those of its old folder that are found beside it with the same contents."""
     old, new = os.path.dirname(files[index][0]), os.path.dirname(path)

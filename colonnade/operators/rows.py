@@ -131,6 +131,22 @@ def slice_rows(rows: DataFrame, c0: int, c1: int, only: DataFrame | None = None)
     return packed.join(rows.select("doc_id", "idx", "name", "description", "meta"), ["doc_id", "idx"]).select("doc_id", "idx", "name", "description", "start", "data", "meta")
 
 
+def pick_columns(rows: DataFrame, only: DataFrame) -> DataFrame:
+    """The cells of each row in the columns (doc_id, col) of only, side by side: doc_id, idx, data."""
+    each = cells(rows).join(only.select("doc_id", "col"), ["doc_id", "col"], "left_semi")
+    return each.groupBy("doc_id", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "base"))), lambda x: x["base"]), "").alias("data"))
+
+
+def first_column() -> Column:
+    """First column of a feature with parts (start, end) in order; null without parts."""
+    return F.array_min(F.transform("parts", lambda p: p["start"]))
+
+
+def last_column() -> Column:
+    """The column after the last one of a feature."""
+    return F.array_max(F.transform("parts", lambda p: p["end"]))
+
+
 def slice_columns(rows: DataFrame, c0: int, c1: int) -> DataFrame:
     """Alignment column of every column of the slice."""
     each = cells(rows, c0, c1).where(F.col("base") != S.GAP).select("doc_id", "col").distinct()

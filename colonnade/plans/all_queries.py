@@ -1,3 +1,3 @@
-"""Imports every module that registers queries."""
+"""All queries over the test tables."""
 
-from . import more_queries, queries  # noqa: F401
+from . import edit_queries, more_queries, queries  # noqa: F401

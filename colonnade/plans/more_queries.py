@@ -112,7 +112,7 @@ def _files(spark, d):
     k = F.col("o_orderkey")
     kind = F.when(k % 3 == 0, F.concat(F.lit("S"), (k / 12).cast("int"), F.lit("_L00"), (k / 6).cast("int") % 2 + 1, F.lit("_R"), (k / 3).cast("int") % 2 + 1, F.lit("_001.fastq.gz")))
     kind = kind.when(k % 3 == 1, F.concat(F.lit("SRR"), (k / 6).cast("int"), F.lit("_"), (k / 3).cast("int") % 2 + 1, F.lit(".fq"))).otherwise(F.concat(F.lit("FAX_pass_x_"), k, F.lit(".fastq")))
-    return table(spark, d, "orders").where(k % 4 == k % 4).select(F.concat(F.lit("/data/d"), k % 3, F.lit("/"), kind).alias("path")).distinct()
+    return table(spark, d, "orders").select(F.concat(F.lit("/data/d"), k % 3, F.lit("/"), kind).alias("path")).distinct()
 
 
 @query("R01_R03_J06_J07_propose")
@@ -130,7 +130,8 @@ def u08(spark, d):
 
 @query("C28_link_problems", "SELECT o_custkey AS k, count_if(o_orderstatus = 'F') AS missing, count_if(o_orderstatus = 'P') AS changed FROM orders GROUP BY o_custkey")
 def c28(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("missing"), F.count_if(F.col("o_orderstatus") == "P").alias("changed"))
+    status = F.when(F.col("o_orderstatus") == "F", "missing").when(F.col("o_orderstatus") == "P", "changed").otherwise("ok")
+    return E.link_problems(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), status.alias("status")), "k")
 
 
 # ---- records ---------------------------------------------------------------------------------------------------------
@@ -230,18 +231,11 @@ def folders(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent_id"), F.lit(False).alias("collapsed"))
 
 
-@query("U04_C35_folder_subtree", "WITH RECURSIVE f AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS parent FROM supplier), t AS (SELECT id FROM f WHERE id = 2 UNION ALL SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT id FROM t")
+@query("U04_folder_subtree", "WITH RECURSIVE f AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS parent FROM supplier), t AS (SELECT id FROM f WHERE id = 2 UNION ALL SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT id FROM t")
 def u04(spark, d):
     return B.subtree(folders(spark, d), 2)
 
 
-@query("O11_folder_order", "SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY lower(s_name), s_suppkey) AS INTEGER) AS ord FROM supplier")
-def o11(spark, d):
-    from pyspark.sql import Window
-
-    return folders(spark, d).select("id", F.row_number().over(Window.orderBy(F.lower("name"), "id")).alias("ord"))
-
-
 @query("W04_W05_lanes")
 def w04(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 120).cast("int").alias("start"), (F.col("o_orderkey") % 120 + 20).cast("int").alias("end"))

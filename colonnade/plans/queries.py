@@ -196,8 +196,7 @@ def m09c(spark, d):
 def m10(spark, d):
     r = X.rows(spark, d)
     only = R.cells(r.where("idx = 0")).where((F.col("base") != "-") & (F.col("col") % 3 == 0)).select("doc_id", "col")
-    each = R.cells(r).join(only, ["doc_id", "col"], "left_semi")
-    return each.groupBy("idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "base"))), lambda x: x["base"]), "").alias("data"))
+    return R.pick_columns(r, only).select("idx", "data")
 
 
 @query("M11_base_window", "SELECT segment, CAST(min(col) AS INTEGER) AS c0, CAST(max(col) + 1 AS INTEGER) AS c1 FROM cells JOIN rows USING (idx) WHERE base <> '-' AND segment IS NOT NULL GROUP BY segment")
