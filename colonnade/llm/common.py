@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 # A word is a run of characters outside space and U+0009..U+000D. bytes.split() uses the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-MASK = (1 << 64) - 1
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, of which a JVM and a Python worker hold several at once, where the session has not.
+
+    The default counts rows, and 10,000 long texts are a hundred MB. A longer text is a batch of its own.
+    """
+    if spark.conf.get(BATCH_BYTES) == spark.newSession().conf.get(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,6 +79,7 @@ def per_text(df: DataFrame, text: str, keep: list[str] | None, schema: str, make
     keep: columns that stay (None: all, in their order; names may repeat those of the added columns only if keep leaves
     them out). make() is called once a task and returns a function from the texts of a batch to the added arrays.
     """
+    small_batches(df.sparkSession)
     kept = df.select(*(df.columns if keep is None else keep))
     added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = [T.StructField("kept", T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept.schema)])), *added.fields]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, per_text
+from .common import discard, materialize, per_text, small_batches
 
 Q = 8
 _BASE = 0x9E3779B97F4A7C15
@@ -221,6 +221,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars
 def find(docs: DataFrame, benchmark: DataFrame, budget: float = 0.1, block_chars: int = 16_000_000, id_col: str = "doc_id") -> DataFrame:
     """doc_id, item_id, edits, start, end, matched: one row for each benchmark item in each document."""
     spark = docs.sparkSession
+    small_batches(spark)
     item_type = benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("matched", T.StringType())])
     out = None
