@@ -346,8 +346,12 @@ def meta_from_json(text: Column) -> Column:
     return F.coalesce(F.transform(got, lambda m: F.struct(m[0].alias("key"), m[1].alias("value"))), F.array().cast(META))
 
 
-def position_note(ends: list[int], width: int) -> str:
-    n = sum(e > width for e in ends)
-    return "" if not n else f"{n} track{'s' if n > 1 else ''} past the new end"
-
-
+def position_note(ends: list[int], width: int, one: str = "annotation") -> str:
+    """What the tracks that end at `ends` do when their sequence is edited and becomes `width` long."""
+    n, gone = len(ends), sum(e > width for e in ends)
+    has, its = (f"1 {one}", "its position is") if n == 1 else (f"{n} {one}s", "their positions are")
+    note = f"This document has {has}; {its} not shifted when bases are inserted or removed."
+    if gone:
+        who = "It extends" if n == 1 else "1 of them extends" if gone == 1 else f"{gone} of them extend"
+        note += f" {who} past the new end and will be removed."
+    return note

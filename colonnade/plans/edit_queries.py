@@ -176,7 +176,7 @@ def x18(spark, d):
     return _in_order(out, "id", "name", "color")
 
 
-@query("W09_position_note", "SELECT count(*) AS n, count_if(o_orderkey % 100 + 10 > 60) || ' tracks past the new end' AS note FROM orders")
+@query("W09_position_note", "SELECT count(*) AS n, 'This document has ' || count(*) || ' annotations; their positions are not shifted when bases are inserted or removed. ' || count_if(o_orderkey % 100 + 10 > 60) || ' of them extend past the new end and will be removed.' AS note FROM orders")
 def w09(spark, d):
     ends = [r[0] for r in table(spark, d, "orders").select((F.col("o_orderkey") % 100 + 10).cast("int")).collect()]
     return spark.createDataFrame([(len(ends), B.position_note(ends, 60))], "n long, note string")
