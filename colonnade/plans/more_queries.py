@@ -115,7 +115,13 @@ def _files(spark, d):
     return table(spark, d, "orders").select(F.concat(F.lit("/data/d"), k % 3, F.lit("/"), kind).alias("path")).distinct()
 
 
-@query("R01_R03_J06_J07_propose")
+@query(
+    "R01_R03_J06_J07_propose",
+    """WITH f AS (SELECT DISTINCT o_orderkey % 3 AS d, CASE o_orderkey % 3 WHEN 0 THEN 'S' || o_orderkey // 12 WHEN 1 THEN 'SRR' || o_orderkey // 6 ELSE 'FAX_pass_x' END AS name, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey // 6 % 2 + 1 ELSE 0 END AS lane, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey // 3 % 2 + 1 END AS mate, o_orderkey AS k FROM orders),
+    g AS (SELECT *, CASE d WHEN 0 THEN name || '_L00' || lane || '_R' || mate || '_001.fastq.gz' WHEN 1 THEN name || '_' || mate || '.fq' ELSE name || '_' || k || '.fastq' END AS file, count(DISTINCT mate) OVER (PARTITION BY d, name, lane) = 2 AS whole FROM f),
+    h AS (SELECT *, bool_and(whole) OVER (PARTITION BY d, name) AS paired FROM g)
+    SELECT '/data/d' || d AS dir, name, CASE WHEN paired THEN 'Paired' ELSE 'Single' END AS layout, CAST(count(*) AS INTEGER) AS n, string_agg(CASE WHEN paired THEN 'R' || mate ELSE 'Single' END || ':' || file, ',' ORDER BY CASE WHEN paired THEN lane ELSE 0 END, CASE WHEN paired THEN mate ELSE 0 END, file) AS files FROM h GROUP BY d, name, paired""",
+)
 def r01(spark, d):
     p = E.propose(_files(spark, d))
     return p.select("dir", "name", "layout", F.size("files").alias("n"), F.array_join(F.transform("files", lambda f: F.concat(f["role"], F.lit(":"), S.file_name(f["path"]))), ",").alias("files"))
@@ -236,7 +242,13 @@ def u04(spark, d):
     return B.subtree(folders(spark, d), 2)
 
 
-@query("W04_W05_lanes")
+@query(
+    "W04_W05_lanes",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, o_orderkey AS id, CAST(o_orderkey % 120 AS INTEGER) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 120, o_orderkey) AS i FROM orders),
+    r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS id, [0, 0, 0, 0, 0, 0, 0, 0] AS free, 0 AS lane FROM o
+      UNION ALL SELECT doc_id, i, id, list_transform(free, lambda f, j: CASE WHEN j = lane + 1 THEN greatest(f, s + 20) ELSE f END), lane FROM (SELECT r.doc_id, o.i, o.id, o.s, free, CASE WHEN list_min(free) <= s THEN CAST(list_position(list_transform(free, lambda f: f <= s), true) AS INTEGER) - 1 ELSE 7 END AS lane FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1))
+    SELECT doc_id, id, lane FROM r WHERE i > 0""",
+)
 def w04(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 120).cast("int").alias("start"), (F.col("o_orderkey") % 120 + 20).cast("int").alias("end"))
     return B.lanes(o)

@@ -453,9 +453,20 @@ def q01w(spark, d):
     return Q.windows(X.rows(spark, d), MOTIF, 1).drop("doc_id")
 
 
-@query("Q03_Q04_best_placement")
+_PLACED = [("fwd", X.REFERENCE[20:38]), ("rev", Q.revcomp(X.REFERENCE[70:88])), ("none", "ACCAAAACCAAAAC")]
+_STRANDS = ", ".join(f"('{n}', '{s}', false), ('{n}', '{Q.revcomp(s)}', true)" for n, s in _PLACED)
+
+
+@query(
+    "Q03_Q04_best_placement",
+    f"""WITH p AS (SELECT idx, start, replace(data, '-', '') AS u, list_filter(range(length(data)), lambda x: data[x + 1] <> '-') AS cols FROM rows), o AS (SELECT * FROM (VALUES {_STRANDS}) t(name, s, reverse)),
+    e AS (SELECT idx, start, u, cols, name, s, reverse, unnest(range(length(u) - length(s) + 1)) AS i FROM p CROSS JOIN o),
+    h AS (SELECT *, CAST(length(list_filter(range(length(s)), lambda j: u[i + j + 1] <> s[j + 1])) AS INTEGER) AS m FROM e)
+    SELECT idx::BIGINT AS doc_id, name, CAST(start + cols[i + 1] AS INTEGER) AS c0, CAST(start + cols[i + length(s)] + 1 AS INTEGER) AS c1, reverse, m AS mismatches, CAST(count(*) OVER (PARTITION BY idx, name, m) - 1 AS INTEGER) AS others FROM h
+    QUALIFY m <= 3 AND row_number() OVER (PARTITION BY idx, name ORDER BY m, i, reverse) = 1""",
+)
 def q04(spark, d):
-    oligos = spark.createDataFrame([("fwd", X.REFERENCE[20:38]), ("rev", Q.revcomp(X.REFERENCE[70:88])), ("none", "ACCAAAACCAAAAC")], "name string, oligo string")
+    oligos = spark.createDataFrame(_PLACED, "name string, oligo string")
     rows = X.rows(spark, d)
     return Q.best_placement(rows.select(F.col("idx").cast("long").alias("doc_id"), "start", "data"), oligos, 3)
 
