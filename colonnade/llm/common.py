@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,27 @@ def binaries(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
+SLICE = 1 << 22  # bytes of a text that are split into words at a time
+
+
+def word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, whose only blanks are spaces, in lists of about SLICE bytes; a longer word is whole."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > SLICE:
+            end = text.rfind(b" ", at, at + SLICE) + 1 or text.find(b" ", at + SLICE) + 1 or end
+        if words := text[at:end].split():
+            yield words
+        at = end
+
+
+def lowered(blank: Iterable[int]) -> bytes:
+    """Table for bytes.translate() that lower-cases A-Z and then turns the given bytes into spaces."""
+    blank = set(blank)
+    return bytes(0x20 if b in blank else b for b in bytes(range(256)).lower())
+
+
 def per_text(df: DataFrame, text: str, keep: list[str] | None, schema: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:
     """Add columns computed from the bytes of a text column in Arrow batches.
 
