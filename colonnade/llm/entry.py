@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, lm, mixing, ngram_join, quality, simhash, token_counts, warc
+from . import decontam, html, langid, licenses, lm, mixing, ngram_join, quality, resampling, simhash, token_counts, warc
 from .common import bucket, shared_dir, table
 
 
@@ -67,6 +67,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, keep=["page_id", "url"])
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.sample(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.join(docs, 3, keep=["doc_id"])
@@ -82,5 +87,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op7_decontamination, op8_mixing, op9_license_scan, op10_html_text, op13_simhash)}
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_license_scan": licenses.oracle()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op7_decontamination, op8_mixing, op9_license_scan, op10_html_text, op12_resampling, op13_simhash)}
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_license_scan": licenses.oracle(), "op12_resampling": resampling.oracle()}
