@@ -54,7 +54,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that no later result reads."""
-    spark, path = df.sparkSession, df._colonnade_path
+    remove(df.sparkSession, df._colonnade_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

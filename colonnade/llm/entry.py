@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, lm, mixing, ngram_join, quality, resampling, simhash, token_counts, warc
-from .common import bucket, shared_dir, table
+from . import decontam, html, langid, lexical, licenses, lm, mixing, ngram_join, quality, resampling, simhash, token_counts, warc
+from .common import bucket, remove, shared_dir, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, keep=["page_id", "url"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lexical.new_path(spark)
+    lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    found = lexical.search(spark, path, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    remove(spark, path)
+    return found
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resampling.sample(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -87,5 +95,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op7_decontamination, op8_mixing, op9_license_scan, op10_html_text, op12_resampling, op13_simhash)}
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_license_scan": licenses.oracle(), "op12_resampling": resampling.oracle()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_token_counts, op4_quality_rules, op5_warc, op6_language_id, op7_decontamination, op8_mixing, op9_license_scan, op10_html_text, op11_lexical_search, op12_resampling, op13_simhash)}
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_license_scan": licenses.oracle(), "op11_lexical_search": lexical.oracle(), "op12_resampling": resampling.oracle()}
