@@ -67,6 +67,17 @@ def s11(spark, d):
     return fastq.read_fastq_bytes(spark, path).select("head", "seq", "qual")
 
 
+@query("S11_S12_H23_block_gzip_ranges", READS_SQL + " SELECT read_no, true AS in_order, head, seq, qual FROM reads")
+def s11_ranges(spark, d):
+    """Written as block-gzip files, and read by a task a range; reads are numbered in each file."""
+    path = _place(spark, "blocks")
+    fastq.write_fastq(reads(spark, d).repartitionByRange(4, "read_no").sortWithinPartitions("read_no"), path, member=4096)
+    back = fastq.read_fastq(spark, path, range_bytes=8192)
+    key = F.split_part("head", F.lit(":"), F.lit(5)).cast("long")
+    first = back.groupBy("file").agg(F.min(key).alias("first"))
+    return back.join(first, "file").select(key.alias("read_no"), (key - F.col("first") == F.col("read_no")).alias("in_order"), "head", "seq", "qual")
+
+
 @query("R09_R10_R11_read_rows", READS_SQL + f", n AS (SELECT read_no, file, head, {NORM.format('seq')} AS s FROM reads) SELECT CAST(read_no AS INTEGER) AS idx, split_part(head, ' ', 1) AS name, trim(s, '-') AS data, 'Mate=R' || file[7] || ';File=' || file AS meta FROM n")
 def r11(spark, d):
     r = reads(spark, d)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import rows as R
+from .blocks import RANGE_BYTES, Format, Line, Record, between, index, ranges_of
 
 
 def description_meta(desc: Column) -> Column:
@@ -85,23 +86,15 @@ def pasted_document(records: DataFrame, name: str, description: str) -> DataFram
 
 
 def split_delimited(line: str, delimiter: str) -> list[str]:
-    """Fields of a line: quotes switch quoting on and off anywhere; two inside quotes are one."""
-    out, now, quoted, i = [], [], False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"':
-            if quoted and line[i + 1 : i + 2] == '"':
-                now.append('"')
-                i += 1
-            else:
-                quoted = not quoted
-        elif c == delimiter and not quoted:
-            out.append("".join(now).strip())
-            now = []
-        else:
-            now.append(c)
-        i += 1
-    return [*out, "".join(now).strip()]
+    """Fields of a line. Text between quotes, wherever they stand, keeps its delimiters; two quotes inside quotes are one."""
+    fields, pieces = [""], line.split('"')
+    for i, piece in enumerate(pieces):
+        inside = i % 2 == 1
+        doubled = not inside and not piece and 0 < i < len(pieces) - 1  # nothing between the end of one quoted piece and the next
+        first, *more = [piece] if inside else ['"'] if doubled else piece.split(delimiter)
+        fields[-1] += first
+        fields += more
+    return [f.strip() for f in fields]
 
 
 def table_delimiter(header: str) -> str:
@@ -158,7 +151,50 @@ def read_fasta_bytes(spark: SparkSession, path: str) -> DataFrame:
     each = files.mapInArrow(run, "path string, idx int, text string")
     text = F.regexp_replace("text", "\r", "")
     head = F.substring_index(text, "\n", 1)
-    seq = S.normalize(F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, "^[^\n]*\n", "")).otherwise(""))
+    body = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, "^[^\n]*\n", "")).otherwise("")
+    return _shaped(each.withColumns({"head": head, "body": body}))
+
+
+def _shaped(each: DataFrame) -> DataFrame:
+    """Rows of records (path, idx, head, body)."""
     start, data = R.from_gapped(F.col("seq"))
     desc = F.trim(F.regexp_replace("head", r"^\S*", ""))
-    return each.withColumns({"head": head, "seq": seq}).select(F.xxhash64("path").alias("doc_id"), "idx", F.regexp_extract("head", r"^\S*", 0).alias("name"), desc.alias("description"), start.alias("start"), data.alias("data"), description_meta(desc).alias("meta"))
+    return each.withColumn("seq", S.normalize(F.col("body"))).select(F.xxhash64("path").alias("doc_id"), "idx", F.regexp_extract("head", r"^\S*", 0).alias("name"), desc.alias("description"), start.alias("start"), data.alias("data"), description_meta(desc).alias("meta"))
+
+
+def _marked(lines: Iterator[Line], file: str = "") -> Iterator[Record]:
+    """(place, header, sequence, "") of records of lines; text before the first mark belongs to none."""
+    at, head, held = 0, None, []
+    for place, line in lines:
+        if line.startswith(">"):
+            if head is not None:
+                yield at, head, "".join(held), ""
+            at, head, held = place, line[1:].rstrip("\r"), []
+        elif head is None and line.startswith("@"):
+            raise ValueError(f"{file} is a FASTQ file")
+        else:
+            held.append(line.rstrip("\r"))
+    if head is not None:
+        yield at, head, "".join(held), ""
+
+
+FASTA = Format(">", _marked, lambda lines: True)
+
+
+def read_fasta_ranges(spark: SparkSession, files: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """read_fasta() for block-gzip files: each is read by many tasks, in ranges that an index has proved. A file must have a sequence."""
+    ranges = ranges_of(index(spark, files, FASTA, range_bytes))
+    filled = {r["file"] for r in ranges if r["records"]}
+    if empty := sorted(set(files) - filled):
+        raise ValueError(f"{empty[0]} has no sequences")
+    ranges = [r for r in ranges if r["records"]]
+    sent = spark.sparkContext.broadcast([(r["file"], r["first"], r["after"], r["base"]) for r in ranges])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                path, first, after, base = sent.value[i]
+                for idx, (head, seq, _) in enumerate(between(path, first, after, FASTA), base):
+                    yield pa.RecordBatch.from_pylist([{"path": path, "idx": idx, "head": head, "body": seq}], schema=pa.schema([("path", pa.string()), ("idx", pa.int32()), ("head", pa.string()), ("body", pa.string())]))
+
+    return _shaped(spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, "path string, idx int, head string, body string"))

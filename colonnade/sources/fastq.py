@@ -1,67 +1,89 @@
-"""FASTQ reads as a Python data source: one partition a file, wrapped records, gzip by its first bytes."""
+"""FASTQ reads as a Python data source: files and ranges of files, wrapped records, gzip and block-gzip by their first bytes."""
 
 from __future__ import annotations
 
 import gzip
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .blocks import END, END_OF_FILE, PROOF, RANGE_BYTES, SEQUENCE, TEXT, Format, Line, Record, between, compressed, index, ranges_of, size_and_kind
+
 SCHEMA = "file string, read_no long, head string, seq string, qual string"
 
 
-def parse(lines: Iterator[str], file: str = "") -> Iterator[tuple[str, str, str]]:
-    """(header, sequence, quality) of each record; sequence and quality may be wrapped. Errors name the line."""
-    number, line = 0, next(lines, None)
+def records(lines: Iterator[Line], file: str = "", unit: str = "byte", strict: bool = False) -> Iterator[Record]:
+    """(place, header, sequence, quality) of each record of (place, line); sequence and quality may be wrapped. Errors name the place.
+
+    strict refuses sequences with characters that no sequence has: for lines of which it is not known where records begin.
+    """
+    place = 0
+
+    def following() -> tuple[int, str | None]:
+        nonlocal place
+        at, line = next(lines, (place + (unit == "line"), None))
+        place = at
+        return at, line if line is None else line.rstrip("\r")
 
     def fail(what: str) -> ValueError:
-        return ValueError(f"{file} line {number}: {what}".strip())
+        return ValueError(f"{file} {unit} {place >> 16 if unit == 'byte' else place}: {what}".strip())
 
-    while line is not None:
-        number += 1
-        line = line.rstrip("\r\n")
+    while True:
+        at, line = following()
+        if line is None:
+            return
         if not line:
-            line = next(lines, None)
             continue
         if not line.startswith("@"):
             raise fail("a record must start with @")
         head, seq = line[1:], []
         while True:
-            line = next(lines, None)
-            number += 1
+            _, line = following()
             if line is None:
                 raise fail("the record ends without +")
-            line = line.rstrip("\r\n")
             if line.startswith("+"):
                 break
+            if strict and not SEQUENCE.fullmatch(line):
+                raise fail("no sequence")
             seq.append(line)
         want, qual, got = sum(map(len, seq)), [], 0
         while not qual or got < want:
-            line = next(lines, None)
-            number += 1
+            _, line = following()
             if line is None:
                 if want == 0:
-                    qual.append("")
                     break
                 raise fail("the record ends within its qualities")
-            line = line.rstrip("\r\n")
             qual.append(line)
             got += len(line)
         if got != want:
             raise fail(f"{want} bases but {got} qualities")
-        yield head, "".join(seq), "".join(qual)
-        line = next(lines, None)
+        yield at, head, "".join(seq), "".join(qual)
+
 
+def parse(lines: Iterator[str], file: str = "") -> Iterator[tuple[str, str, str]]:
+    """(header, sequence, quality) of each record of lines; errors name the line."""
+    for _, *record in records(((i, x.rstrip("\r\n")) for i, x in enumerate(lines, 1)), file, "line"):
+        yield tuple(record)
+
+
+def in_order(lines: Iterator[Line]) -> bool:
+    """Whether the first records of lines are whole: that tells a header from a line of qualities that begins with its mark."""
+    try:
+        for _ in islice(records(lines, strict=True), PROOF):
+            pass
+    except ValueError:
+        return False
+    return True
 
-def _open(data) -> Iterator[str]:
-    start = data.peek(2)[:2] if hasattr(data, "peek") else b""
-    stream = gzip.GzipFile(fileobj=data) if start == b"\x1f\x8b" else data
-    for line in stream:
-        yield line.decode("utf-8", "replace")
+
+FASTQ = Format("@", records, in_order)
 
 
 def files_in(path: str, depth: int = 3) -> list[str]:
@@ -77,22 +99,35 @@ def files_in(path: str, depth: int = 3) -> list[str]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], limit: int | None) -> None:
-        self.paths, self.limit = paths, limit
+    """A partition is a range of the index, or a file where there is none."""
+
+    def __init__(self, paths: list[str], limit: int | None, index: str | None) -> None:
+        self.limit = limit
+        ranges = ranges_of(index) if index else [{"file": p, "first": 0, "after": END_OF_FILE, "base": 0} for p in paths]
+        self.ranges = [(r["file"], r["first"], r["after"], r["base"]) for r in ranges if r.get("records") != 0 and (limit is None or r["base"] < limit)]
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition(r) for r in self.ranges]
 
-    def read(self, partition: InputPartition):
-        with open(partition.value, "rb") as data:
-            for i, (head, seq, qual) in enumerate(parse(_open(data), partition.value)):
-                if self.limit is not None and i >= self.limit:
-                    return
-                yield partition.value, i, head, seq, qual
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        path, first, after, base = partition.value
+        rows, held = [], 0
+        for i, record in enumerate(between(path, first, after, FASTQ), base):
+            if self.limit is not None and i >= self.limit:
+                break
+            rows.append((path, i, *record))
+            held += len(record[1])
+            if len(rows) >= 10_000 or held >= 1 << 22:
+                yield _batch(rows)
+                rows, held = [], 0
+        yield _batch(rows)
 
 
 class FastqSource(DataSource):
-    """spark.read.format("fastq").load(path): local or mounted files; option limit stops early in each file."""
+    """spark.read.format("fastq").load(path): files of local or mounted folders, or URIs that pyarrow opens.
+
+    Options: limit stops early in each file; index is the table of ranges that blocks.index() has written for these files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -102,16 +137,58 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        paths = [f for p in self.options["path"].split(",") for f in files_in(p.removeprefix("file://"))]
         limit = self.options.get("limit")
-        return _Reader(paths, int(limit) if limit else None)
+        return _Reader(paths_in(self.options["path"]), int(limit) if limit else None, self.options.get("index"))
+
 
+def paths_in(path: str) -> list[str]:
+    return [f for p in path.split(",") for f in ([p] if "://" in p and not p.startswith("file://") else files_in(p.removeprefix("file://")))]
 
-def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Reads by the data source, for mounted folders."""
+
+def read_fastq(spark: SparkSession, path: str, limit: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Reads by the data source. Files that are longer than range_bytes are indexed first and then read by many tasks, block-gzip ones too."""
     spark.dataSource.register(FastqSource)
     reader = spark.read.format("fastq")
-    return (reader.option("limit", limit) if limit else reader).load(path)
+    if limit:
+        return reader.option("limit", limit).load(path)
+    files = paths_in(path)
+    if any(size > range_bytes and kind != "gzip" for size, kind in map(size_and_kind, files)):
+        reader = reader.option("index", index(spark, files, FASTQ, range_bytes))
+    return reader.load(path)
+
+
+def write_fastq(reads: DataFrame, path: str, member: int = TEXT - 256) -> None:
+    """Block-gzip files of reads in a folder, one a partition, in the order of its rows; names are of the partition's number.
+
+    A task writes under a name of its own and renames at its end, so an attempt that fails or is repeated leaves no part of a file.
+    """
+    store, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    store.create_dir(at, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        task = TaskContext.get()
+        own = f"{at}/.{task.partitionId()}-{task.taskAttemptId()}"
+        n = 0
+
+        def texts() -> Iterator[bytes]:
+            nonlocal n
+            for batch in batches:
+                for head, seq, qual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    n += 1
+                    yield f"@{head}\n{seq}\n+\n{qual}\n".encode()
+
+        with store.open_output_stream(own, compression=None) as out:
+            for block in compressed(texts(), member):
+                out.write(block)
+            out.write(END)
+        if n:
+            store.move(own, f"{at}/part-{task.partitionId():05d}.fastq.gz")
+        else:
+            store.delete_file(own)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    reads.select("head", "seq", "qual").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def read_fastq_bytes(spark: SparkSession, path: str) -> DataFrame:
