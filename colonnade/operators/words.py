@@ -73,8 +73,11 @@ def slot(words: np.ndarray) -> np.ndarray:
     return (words ^ words >> np.uint64(BITS) ^ words >> np.uint64(2 * BITS)) & np.uint64((1 << BITS) - 1)
 
 
-def words(sequences: DataFrame, k: int, sent=None) -> DataFrame:
-    """(id, pos, word) of the words of (id, seq); sent: a broadcast bitmap of those that are wanted."""
+def words(sequences: DataFrame, k: int, sent=None, most: int = 0) -> DataFrame:
+    """(id, pos, word) of the words of (id, seq).
+
+    sent: a broadcast bitmap of those that are wanted; most: words that a sequence has more often are left out of it (0: none).
+    """
     kind = sequences.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +87,12 @@ def words(sequences: DataFrame, k: int, sent=None) -> DataFrame:
                     bit = slot(word)
                     there = sent.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
                     who, word, pos = who[there], word[there], pos[there]
+                if most and len(word):
+                    by = np.lexsort((word, who))
+                    new = np.flatnonzero(np.append(True, (word[by][1:] != word[by][:-1]) | (who[by][1:] != who[by][:-1])))
+                    n = np.diff(np.append(new, len(by)))
+                    kept = np.sort(by[np.repeat(n <= most, n)])
+                    who, word, pos = who[kept], word[kept], pos[kept]
                 for a in range(0, len(word), ROWS):
                     some = slice(a, a + ROWS)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who[some])), pa.array(pos[some].astype(np.int32)), pa.array(word[some].astype(np.int64))], names=["id", "pos", "word"])
@@ -92,14 +101,18 @@ def words(sequences: DataFrame, k: int, sent=None) -> DataFrame:
 
 
 class WordTable:
-    """An index of the words of (id, seq), written to the shared folder. Words with more than max_occurrences positions in all are left out (0: none)."""
+    """An index of the words of (id, seq), written to the shared folder.
+
+    Words with more than max_occurrences positions in all are left out (0: none), and those with more than `most` in one
+    sequence are left out of that.
+    """
 
-    def __init__(self, targets: DataFrame, k: int, max_occurrences: int = 0) -> None:
+    def __init__(self, targets: DataFrame, k: int, max_occurrences: int = 0, most: int = 0) -> None:
         self.k, self.spark = k, targets.sparkSession
         kind = targets.schema["id"].dataType.simpleString()
         at = f"{shared_dir(self.spark)}/words-{uuid.uuid4().hex}"
         order = ["word", "id", "pos"]
-        each = words(targets, k).repartitionByRange(*order).sortWithinPartitions(*order)
+        each = words(targets, k, most=most).repartitionByRange(*order).sortWithinPartitions(*order)
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Runs of one word, of at most BLOCK rows; a run ends with its batch."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import columns as C
 from ..operators import library as B
+from ..operators import many_targets
 from ..operators import mapper as M
 from ..operators import reads as E
 from ..sources import fasta, genbank
@@ -210,6 +211,34 @@ def p02(spark, d):
     return contig.select("idx", "start", "data", F.array_join(F.transform("meta", lambda m: F.concat(m["key"], F.lit("="), m["value"])), ";").alias("meta"))
 
 
+_GENOME = "translate(array_to_string(list_transform(range(20), lambda i: md5('g' || n_nationkey || ':' || i)), ''), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_TURNED = "translate(reverse(s), 'ACGT', 'TGCA')"
+
+
+@query(
+    "P02_P03_P04_map_to_many",
+    f"""WITH g AS (SELECT n_nationkey AS target, {_GENOME} AS genome FROM nation),
+    q AS (SELECT c_custkey AS id, c_nationkey AS target, CAST(c_custkey * 37 % 400 AS INTEGER) AS t_start, CAST(60 + c_custkey % 150 AS INTEGER) AS n FROM customer),
+    s AS (SELECT id, target, t_start, n, substr(genome, t_start + 1, n) AS s, list_filter(range(12, n - 12), lambda i: i % 30 = id % 30) AS changed FROM q JOIN g USING (target))
+    SELECT id, CAST(target AS BIGINT) AS target, t_start, id % 3 = 0 AS reverse, array_to_string(list_transform(range(n), lambda i: CASE WHEN list_contains(changed, i) THEN translate(s[i + 1], 'ACGT', 'CGTA') ELSE s[i + 1] END), '') AS aligned,
+    CAST(n - len(changed) AS INTEGER) AS matches, CAST(len(changed) AS INTEGER) AS mismatches, 0 AS gaps FROM s""",
+)
+def p03(spark, d):
+    """Pieces of 25 genomes with a change every 30 bases, a third of them reversed; each finds its genome and place."""
+    digits = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.md5(F.concat(F.lit("g"), n, F.lit(":"), i))), "")
+    bases = F.translate(digits(F.col("n_nationkey")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    genomes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), bases.alias("seq"))
+    c = F.col("c_custkey")
+    cut = table(spark, d, "customer").select(c.alias("id"), F.col("c_nationkey").alias("n"), (c * 37 % 400).cast("int").alias("a"), (60 + c % 150).cast("int").alias("size"))
+    own = cut.join(genomes.select(F.col("id").alias("n"), "seq"), "n").select("id", F.substring("seq", F.col("a") + 1, F.col("size")).alias("s"))
+    letter = lambda i: F.substring("s", i + 1, F.lit(1))
+    changed = F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda i: F.when((i >= 12) & (i < F.length("s") - 12) & (i % 30 == F.col("id") % 30), F.translate(letter(i), "ACGT", "CGTA")).otherwise(letter(i)))
+    text = F.array_join(changed, "")
+    queries = own.select("id", F.when(F.col("id") % 3 == 0, S.revcomp(text)).otherwise(text).alias("seq"))
+    found = many_targets.map_to_many(queries, genomes, M.Params.preset("Highest", min_aligned=20))
+    return found.select("id", "target", "t_start", "reverse", "aligned", "matches", "mismatches", "gaps")
+
+
 @query(
     "P15_next_target",
     """WITH r AS (SELECT col, base FROM cells WHERE idx = 0), m AS (SELECT c.*, r.base, CASE WHEN n_a + n_c + n_g + n_t + n_gap = 0 THEN CASE WHEN r.base <> '-' THEN r.base WHEN n_other > 0 THEN 'N' END

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
@@ -19,3 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         key = spark.sparkContext.applicationId
         at = _LOCAL[key] = _LOCAL.get(key) or f"file://{tempfile.mkdtemp(prefix='colonnade-')}"
     return at.rstrip("/")
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: it is computed once, and lost executors lose nothing."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
