@@ -13,6 +13,7 @@ from ..operators import library as B
 from ..operators import many_targets
 from ..operators import mapper as M
 from ..operators import reads as E
+from ..operators import rows as R
 from ..sources import fasta, genbank
 from ..sources.shared import shared_dir
 from . import fixtures as X
@@ -239,6 +240,38 @@ def p03(spark, d):
     return found.select("id", "target", "t_start", "reverse", "aligned", "matches", "mismatches", "gaps")
 
 
+_REF = "".join(hashlib.md5(f"c{i}".encode()).hexdigest() for i in range(10)).translate(str.maketrans("0123456789abcdef", "ACGT" * 4))
+_CUT = 160  # where some reads have five bases more, which fit neither neighbour
+_MORE = "".join(next(b for b in "ACGT" if b not in (_REF[_CUT], _REF[_CUT - 1])) + x for x in ("C", "G", ""))
+
+
+@query(
+    "P01_P14_P19_contig",
+    f"""WITH q AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 100 AS INTEGER) AS a, CAST(120 + c_custkey % 100 AS INTEGER) AS n FROM customer),
+    c AS (SELECT id, a, n, a + n >= 200 AND a <= 120 AND id % 4 = 0 AS more, list_filter(range(12, n - 12), lambda i: i % 30 = id % 30 AND abs(a + i - {_CUT}) > 14) AS changed FROM q),
+    s AS (SELECT *, array_to_string(list_transform(range(n), lambda i: CASE WHEN list_contains(changed, i) THEN translate(substr('{_REF}', CAST(a + i + 1 AS INTEGER), 1), 'ACGT', 'CGTA') ELSE substr('{_REF}', CAST(a + i + 1 AS INTEGER), 1) END), '') AS s FROM c)
+    SELECT 0 AS idx, 0 AS start, '{_REF[:_CUT]}{"-" * len(_MORE)}{_REF[_CUT:]}' AS data, NULL AS direction, NULL AS mismatches
+    UNION ALL SELECT CAST(id + 1 AS INTEGER), a, CASE WHEN a + n > {_CUT} THEN substr(s, 1, {_CUT} - a) || CASE WHEN more THEN '{_MORE}' ELSE '{"-" * len(_MORE)}' END || substr(s, {_CUT} - a + 1) ELSE s END, CASE WHEN id % 3 = 0 THEN 'Reverse' ELSE 'Forward' END, CAST(len(changed) AS VARCHAR) FROM s""",
+)
+def p14(spark, d):
+    """Pieces of one reference with changed and inserted bases, mapped with all rounds: rows of the contig, insertions in columns of their own."""
+    c = F.col("c_custkey")
+    q = table(spark, d, "customer").select(c.alias("id"), (c * 37 % 100).cast("int").alias("a"), (120 + c % 100).cast("int").alias("n"))
+    base = lambda i: F.substring(F.lit(_REF), F.col("a") + i + 1, F.lit(1))
+    turned = lambda i: (i >= 12) & (i < F.col("n") - 12) & (i % 30 == F.col("id") % 30) & (F.abs(F.col("a") + i - _CUT) > 14)
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(turned(i), F.translate(base(i), "ACGT", "CGTA")).otherwise(base(i))), "")
+    at = _CUT - F.col("a")
+    more = (F.col("a") + F.col("n") >= 200) & (F.col("a") <= 120) & (F.col("id") % 4 == 0)
+    text = F.when(more, F.concat(F.substring(text, F.lit(1), at), F.lit(_MORE), F.substring(text, at + 1, F.col("n")))).otherwise(text)
+    reads_ = q.select("id", text.alias("t")).select("id", F.when(F.col("id") % 3 == 0, S.revcomp(F.col("t"))).otherwise(F.col("t")).alias("data"))
+    none = F.array().cast(R.META)
+    made = reads_.select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") + 1).cast("int").alias("idx"), F.lit("r").alias("name"), F.lit("").alias("description"), F.lit(0).alias("start"), "data", none.alias("meta"))
+    first = spark.createDataFrame([(1, 0, "ref", "", 0, _REF, [])], R.ROWS)
+    contig, _, _ = M.map_to_reference(first.unionByName(made), 0, M.Params.preset("High", fine_tuning=2))
+    value = lambda key: F.when(F.col("idx") > 0, R.meta_value(key))
+    return contig.select("idx", "start", "data", value("Direction").alias("direction"), value("Mismatches").alias("mismatches"))
+
+
 @query(
     "P15_next_target",
     """WITH r AS (SELECT col, base FROM cells WHERE idx = 0), m AS (SELECT c.*, r.base, CASE WHEN n_a + n_c + n_g + n_t + n_gap = 0 THEN CASE WHEN r.base <> '-' THEN r.base WHEN n_other > 0 THEN 'N' END
