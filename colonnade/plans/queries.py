@@ -13,6 +13,7 @@ from ..operators import oligo as O
 from ..operators import rows as R
 from ..operators import search as Q
 from ..operators import words as K
+from ..sources import fasta
 from . import fixtures as X
 from .registry import query
 
@@ -472,6 +473,41 @@ def q04(spark, d):
     return Q.best_placement(rows.select(F.col("idx").cast("long").alias("doc_id"), "start", "data"), oligos, 3)
 
 
+_LISTED = f"""WITH k AS (SELECT n_nationkey AS k, n_name, substr('{X.REFERENCE}', CAST(n_nationkey * 4 + 1 AS INTEGER), 18) AS s FROM nation),
+    l AS (SELECT CAST(k AS INTEGER) AS n, s, CASE k % 5 WHEN 0 THEN '' WHEN 3 THEN 'taken' WHEN 4 THEN 'twice' ELSE n_name END AS name, k % 5 = 1 AS reverse,
+      CASE WHEN k % 5 = 2 THEN 'Empty' WHEN k % 5 = 3 THEN 'NameExists' WHEN k % 5 = 4 AND k > 4 THEN 'Duplicate' WHEN k = 20 THEN 'NotFound' ELSE 'Placed' END AS outcome FROM k),
+    o AS (SELECT *, CASE WHEN name = '' THEN 'Oligo ' || (3 + row_number() OVER (PARTITION BY name ORDER BY n)) ELSE name END AS named FROM l)"""
+
+
+def _listed(spark, d):
+    """FASTA text of 25 oligos of the reference: nameless, named (reversed, with a mismatch), empty, with a taken name, with one name."""
+    k = F.col("n_nationkey")
+    s = F.substring(F.lit(X.REFERENCE), k.cast("int") * 4 + 1, F.lit(18))
+    off = F.concat(F.substring(s, F.lit(1), F.lit(8)), F.translate(F.substring(s, F.lit(9), F.lit(1)), "ACGT", "CGTA"), F.substring(s, F.lit(10), F.lit(9)))
+    name = F.when(k % 5 == 0, "").when(k % 5 == 3, "taken").when(k % 5 == 4, "twice").otherwise(F.col("n_name"))
+    oligo = F.when(k == 20, F.repeat(F.lit("ACACGG"), 6)).when(k % 5 == 1, S.revcomp(off)).when(k % 5 == 2, "").otherwise(s)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.concat(F.lit(">"), name, F.lit("\n"), oligo).alias("t")))), lambda x: x["t"]), "\n")
+    pasted = fasta.pasted(table(spark, d, "nation").groupBy(F.lit(1).alias("id")).agg(text.alias("text"))).orderBy("n").collect()  # a list that a user types
+    listed = [(f"{r['name']} {r['description']}".strip(), r["seq"]) for r in pasted]
+    template = X.rows(spark, d).where("idx = 0").select("doc_id", "start", "data")
+    return Q.serial_outcomes(listed, ["taken", "Oligo 3"], template, 3), template
+
+
+@query("Q05_Q06_serial_outcomes", _LISTED + " SELECT n, named AS name, outcome, CASE WHEN outcome = 'Placed' THEN n * 4 END AS c0, CASE WHEN outcome = 'Placed' THEN n * 4 + 18 END AS c1, CASE WHEN outcome = 'Placed' THEN reverse END AS reverse FROM o")
+def q05(spark, d):
+    return _listed(spark, d)[0]
+
+
+@query("Q07_not_placed", _LISTED + " SELECT count_if(outcome = 'NotFound') AS not_found, count_if(outcome NOT IN ('Placed', 'NotFound')) AS skipped FROM o")
+def q07(spark, d):
+    return Q.not_placed(_listed(spark, d)[0])
+
+
+@query("Q08_serial_annotations", _LISTED + " SELECT n, named AS name, CASE WHEN reverse THEN 'Reverse primer' ELSE 'Forward primer' END AS kind, n * 4 AS start_col, n * 4 + 18 AS end_col, CASE WHEN reverse THEN translate(reverse(s), 'ACGT', 'TGCA') ELSE s END AS note FROM o WHERE outcome = 'Placed'")
+def q08(spark, d):
+    return Q.serial_annotations(*_listed(spark, d))
+
+
 _KM = "SELECT idx, i AS pos, substr(u, CAST(i + 1 AS INTEGER), 9) AS kmer FROM (SELECT idx, replace(data, '-', '') AS u, unnest(range(length(replace(data, '-', '')) - 8)) AS i FROM rows) WHERE regexp_matches(substr(u, CAST(i + 1 AS INTEGER), 9), '^[ACGT]+$')"
 
 

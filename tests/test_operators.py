@@ -149,11 +149,52 @@ def test_placement(spark):
 
 def test_serial_annotations(spark):
     t = spark.createDataFrame([(1, 0, "GATTACAGGCCTTAGACC")], "doc_id long, start int, data string")
-    out = Q.serial_annotations([("", "GATTACA"), ("p", "GATTACA"), ("q", "GGTCTAA"), ("q", "ACAGG"), ("x", ""), ("y", "TTTTTTTTTTT")], [("old", 9, 12, "Region")], t, 0)
-    assert [o[:2] for o in out] == [("Oligo 2", "Placed"), ("p", "Duplicate"), ("q", "Placed"), ("q", "NameExists"), ("x", "Empty"), ("y", "NotFound")]
+    listed = [("", "GATTACA"), ("p", "GATTACA"), ("q", "GGTCTAA"), ("q", "ACAGG"), ("x", ""), ("y", "TTTTTTTTTTT"), ("old", "GATT"), ("", "ACAGG"), ("y", "GATT")]
+    out = Q.serial_outcomes(listed, ["old", "Oligo 2"], t, 0)
+    rows = [tuple(r) for r in out.orderBy("n").collect()]
+    assert [r[1:3] for r in rows] == [("Oligo 3", "Placed"), ("p", "Placed"), ("q", "Placed"), ("q", "Duplicate"), ("x", "Empty"), ("y", "NotFound"), ("old", "NameExists"), ("Oligo 4", "Placed"), ("y", "Duplicate")]
+    assert rows[2][3:] == (11, 18, True) and rows[5][3:] == (None, None, None)
+    assert tuple(Q.not_placed(out).first()) == (1, 4)
+    notes = {r["name"]: (r["kind"], r["note"]) for r in Q.serial_annotations(out, t).collect()}
+    assert notes == {"Oligo 3": ("Forward primer", "GATTACA"), "p": ("Forward primer", "GATTACA"), "q": ("Reverse primer", "GGTCTAA"), "Oligo 4": ("Forward primer", "ACAGG")}
     assert Q.jump("12 - 7") == (7, 12) and Q.jump("x") is None
 
 
+@pytest.mark.parametrize("most", [0, 2, 3])
+def test_seeded_places_equal_a_full_scan(spark, monkeypatch, most):
+    import random
+
+    rng = random.Random(most)
+    made = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    base = made(300)
+    texts = [base, base[:100] + "N" * 30 + base[100:200] + "---" + base[200:], made(250, "ACGTACGTACGTRYN"), made(90, "RYSWKM"), "ACG", "", base[::-1] + base, "".join("R" if i % 41 == 0 else b for i, b in enumerate(base))]
+    templates = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "doc_id long, start int, data string")
+    oligos = {}
+    for i in range(80):
+        a, n = rng.randrange(280), rng.choice([4, 9, 16, 20, 25, 60])
+        o = list(base[a : a + n])
+        for _ in range(rng.randrange(4)):
+            o[rng.randrange(len(o))] = rng.choice("ACGTACGTRYNB")
+        oligos[f"o{i}"] = Q.revcomp("".join(o)) if i % 3 == 0 else "".join(o)
+    oligos |= {"none": "", "gap": base[:10] + "-" + base[10:20], "palindrome": "GAATTC", "n": "N" * 6}
+    listed = spark.createDataFrame(list(oligos.items()), "name string, oligo string")
+    for strand in ("both", "plus", "minus"):
+        want = []
+        for doc, text in enumerate(texts):
+            masks, at = Q._bases(text.encode())
+            for name, o in oligos.items():
+                o = o.replace("-", "")
+                if not o or len(o) > len(masks):
+                    continue
+                use = Q.strands(o) if strand == "both" else [(o, False)] if strand == "plus" else [(Q.revcomp(o), True)]
+                wrong = {(int(m), i, reverse) for one, reverse in use for i, m in enumerate(Q.mismatches(masks, one, True))}
+                least, i, reverse = min(wrong)
+                if least <= most:
+                    want.append((doc, name, doc % 3 + int(at[i]), doc % 3 + int(at[i + len(o) - 1]) + 1, reverse, least, sum(w[0] == least for w in wrong) - 1))
+        monkeypatch.setattr(Q, "OLIGOS", rng.choice([10_000, 30]))
+        assert sorted(map(tuple, Q.best_placement(templates, listed, most, strand).collect())) == sorted(want) and len(want) > 30
+
+
 def test_kmers_and_anchors(spark):
     t = spark.createDataFrame([(0, "GATTATT")], "id int, seq string")
     q = spark.createDataFrame([(1, "TTAT")], "id int, seq string")
