@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from . import rows as R
+from .ranks import numbered, running
 
 COUNTS = ["n_a", "n_c", "n_g", "n_t", "n_gap", "n_other"]
 STATES = ["A", "C", "G", "T", "-"]
@@ -126,8 +127,8 @@ def reference_coords(rows: DataFrame, reference: int) -> DataFrame:
     ref = rows.where(F.col("idx") == reference)
     every = R.widths(rows).where("width > 0").join(ref.select("doc_id", "start", "data"), "doc_id").select("doc_id", "start", "data", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
     is_base = F.coalesce(R.at(F.col("col")) != S.GAP, F.lit(False))
-    w = Window.partitionBy("doc_id").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    return every.select("doc_id", "col", is_base.alias("is_base")).withColumn("pos", F.sum(F.col("is_base").cast("int")).over(w).cast("int"))
+    flags = every.select("doc_id", "col", is_base.alias("is_base"))
+    return running(flags, ["doc_id"], [F.col("col")], F.col("is_base").cast("long"), "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def reference_range(coords: DataFrame, c0: int, c1: int) -> DataFrame:
@@ -151,16 +152,16 @@ def column_of(coords: DataFrame, pos: int) -> DataFrame:
 
 def column_map(flags: DataFrame) -> DataFrame:
     """doc_id, col, shown, disp (shown columns before col) of (doc_id, col, keep); nothing kept shows all."""
-    some = F.max(F.col("keep").cast("int")).over(Window.partitionBy("doc_id")) == 1
-    shown = flags.withColumn("shown", F.col("keep") | ~some)
-    w = Window.partitionBy("doc_id").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    return shown.select("doc_id", "col", "shown", F.coalesce(F.sum(F.col("shown").cast("int")).over(w), F.lit(0)).cast("int").alias("disp"))
+    some = flags.groupBy("doc_id").agg(F.bool_or("keep").alias("some"))
+    shown = flags.join(some, "doc_id").select("doc_id", "col", (F.col("keep") | ~F.col("some")).alias("shown"))
+    return running(shown, ["doc_id"], [F.col("col")], F.col("shown").cast("long"), "disp", -1).withColumn("disp", F.col("disp").cast("int"))
 
 
 def hidden_before(mapped: DataFrame) -> DataFrame:
     """Shown columns, and whether columns are hidden between each and the one shown before it."""
-    w = Window.partitionBy("doc_id").orderBy("col")
-    return mapped.where("shown").select("doc_id", "disp", "col", (F.col("col") - F.coalesce(F.lag("col").over(w), F.lit(-1)) > 1).alias("hidden_before"))
+    shown = mapped.where("shown").select("doc_id", "disp", "col")
+    after = shown.select("doc_id", (F.col("col") + 1).alias("col"), F.lit(True).alias("follows"))
+    return shown.join(after, ["doc_id", "col"], "left").select("doc_id", "disp", "col", (F.col("follows").isNull() & (F.col("col") > 0)).alias("hidden_before"))
 
 
 def resize(fixed: Column, left: Column, d: Column) -> tuple[Column, Column]:
@@ -187,8 +188,7 @@ def binned(track: DataFrame, value: str, bin_width: int, how: str) -> DataFrame:
 
 def islands(columns: DataFrame, by: str) -> DataFrame:
     """Stretches of consecutive values: doc_id, first, last, n."""
-    w = Window.partitionBy("doc_id").orderBy(by)
-    new = columns.withColumn("new", (F.col(by) - F.lag(by).over(w) != 1).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    new = numbered(columns, ["doc_id"], [F.col(by)], "number").withColumn("island", F.col(by) - F.col("number"))
     return new.groupBy("doc_id", "island").agg(F.min(by).alias("first"), F.max(by).alias("last"), F.count("*").alias("n")).drop("island")
 
 

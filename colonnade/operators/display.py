@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from . import rows as R
+from .ranks import numbered, running
 
 
 def natural_key(s: Column) -> Column:
@@ -32,8 +33,8 @@ def sort_order(rows: DataFrame, key: str, reference: int | None = None, descendi
     value = natural_key(F.col("name")) if key == "Name" else R.ungapped_len() if key == "Length" else F.array(*(N.base_rank(R.at(F.lit(c))) for c in columns or []))
     first = F.col("idx") != F.lit(-1 if reference is None else reference)
     keyed = rows.select("doc_id", "idx", first.alias("rest"), F.when(first, value).alias("key"))
-    w = Window.partitionBy("doc_id").orderBy("rest", F.desc("key") if descending else F.asc("key"), "idx")
-    return keyed.select("doc_id", "idx", (F.row_number().over(w) - 1).cast("int").alias("new_idx"))
+    placed = numbered(keyed, ["doc_id"], [F.col("rest"), F.desc("key") if descending else F.asc("key"), F.col("idx")], "new_idx")
+    return placed.select("doc_id", "idx", F.col("new_idx").cast("int").alias("new_idx"))
 
 
 def default_descending(key: str) -> bool:
@@ -55,7 +56,7 @@ class Options:
 def build(rows: DataFrame, options: Options, reference: int | None = None, identity: DataFrame | None = None) -> DataFrame:
     """Display items of each document in order: doc_id, ord, kind (group or row), label, row, n, folded.
 
-    One window by document orders rows; collapsing and grouping are aggregations on its number.
+    One numbering by document orders rows; collapsing and grouping are aggregations on it.
     """
     wanted = options.name_filter.strip().lower()
     some = rows if reference is None else rows.where(F.col("idx") != reference)
@@ -69,22 +70,20 @@ def build(rows: DataFrame, options: Options, reference: int | None = None, ident
     }.get(options.sort, lambda: natural_key(F.coalesce(R.meta_value(options.sort.removeprefix("meta:")), F.lit(""))))()
     label = F.coalesce(R.meta_value(options.group_by), F.lit("(none)")) if options.group_by else F.lit(None).cast("string")
     keyed = some.select("doc_id", "idx", "start", "data", label.alias("label"), key.alias("key"))
-    w = Window.partitionBy("doc_id", "label").orderBy(F.desc("key") if options.descending else F.asc("key"), "idx")
-    numbered = keyed.withColumn("rank", F.row_number().over(w))
+    placed = numbered(keyed, ["doc_id", "label"], [F.desc("key") if options.descending else F.asc("key"), F.col("idx")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     if options.collapse:
-        items = numbered.groupBy("doc_id", "label", "start", "data").agg(F.min("rank").alias("rank"), F.min_by("idx", "rank").alias("row"), F.count("*").alias("n"))
+        items = placed.groupBy("doc_id", "label", "start", "data").agg(F.min("rank").alias("rank"), F.min_by("idx", "rank").alias("row"), F.count("*").alias("n"))
     else:
-        items = numbered.select("doc_id", "label", "rank", F.col("idx").alias("row"), F.lit(1).cast("long").alias("n"))
+        items = placed.select("doc_id", "label", "rank", F.col("idx").alias("row"), F.lit(1).cast("long").alias("n"))
     items = items.select("doc_id", F.lit("row").alias("kind"), "label", "rank", "row", "n", F.lit(False).alias("folded"))
     if options.group_by:
         folded = F.col("label").isin(*options.folded) if options.folded else F.lit(False)
-        heads = numbered.groupBy("doc_id", "label").agg(F.count("*").alias("n")).select("doc_id", F.lit("group").alias("kind"), "label", F.lit(0).alias("rank"), F.lit(None).cast("int").alias("row"), "n", folded.alias("folded"))
+        heads = placed.groupBy("doc_id", "label").agg(F.count("*").alias("n")).select("doc_id", F.lit("group").alias("kind"), "label", F.lit(0).alias("rank"), F.lit(None).cast("int").alias("row"), "n", folded.alias("folded"))
         items = heads.unionByName(items.where(~folded))
-    order = Window.partitionBy("doc_id").orderBy(natural_key(F.coalesce("label", F.lit(""))), "label", "rank")
-    return items.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), "kind", "label", "row", "n", "folded")
+    out = numbered(items, ["doc_id"], [natural_key(F.coalesce("label", F.lit(""))), F.col("label"), F.col("rank")], "ord")
+    return out.select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "label", "row", "n", "folded")
 
 
 def group_prefix(items: DataFrame) -> DataFrame:
     """Items with the number of group headers up to each."""
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("groups", F.sum((F.col("kind") == "group").cast("int")).over(w))
+    return running(items, ["doc_id"], [F.col("ord")], (F.col("kind") == "group").cast("long"), "groups")

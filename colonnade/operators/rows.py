@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence as S
+from .ranks import numbered
 
 META = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
 ROWS = T.StructType(
@@ -121,7 +122,7 @@ def slice_rows(rows: DataFrame, c0: int, c1: int, only: DataFrame | None = None)
     each = cells(rows, c0, c1).where(F.col("base") != S.GAP)
     if only is not None:
         each = each.join(only.select("doc_id", "col"), ["doc_id", "col"], "left_semi")
-    columns = each.select("doc_id", "col").distinct().withColumn("new", F.row_number().over(Window.partitionBy("doc_id").orderBy("col")) - 1)
+    columns = numbered(each.select("doc_id", "col").distinct(), ["doc_id"], [F.col("col")], "new").withColumn("new", F.col("new").cast("int"))
     placed = each.join(columns, ["doc_id", "col"])
     packed = placed.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("new", "base"))).alias("cells"))
     # each base after the gaps between it and the base before it
@@ -150,7 +151,7 @@ def last_column() -> Column:
 def slice_columns(rows: DataFrame, c0: int, c1: int) -> DataFrame:
     """Alignment column of every column of the slice."""
     each = cells(rows, c0, c1).where(F.col("base") != S.GAP).select("doc_id", "col").distinct()
-    return each.withColumn("new", (F.row_number().over(Window.partitionBy("doc_id").orderBy("col")) - 1).cast("int"))
+    return numbered(each, ["doc_id"], [F.col("col")], "new").withColumn("new", F.col("new").cast("int"))
 
 
 def copy_kind(rows: DataFrame, kind: str) -> DataFrame:
@@ -165,8 +166,7 @@ def copy_kind(rows: DataFrame, kind: str) -> DataFrame:
 def delete_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows without those in gone (doc_id, idx), numbered anew; refuses to delete all rows of a document."""
     left = rows.join(gone.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti")
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    return left.withColumn("old_idx", F.col("idx")).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return numbered(left.withColumn("old_idx", F.col("idx")), ["doc_id"], [F.col("old_idx")], "new_idx").withColumn("idx", F.col("new_idx").cast("int")).drop("new_idx")
 
 
 def reorder_rows(rows: DataFrame, order: DataFrame) -> DataFrame:
