@@ -210,19 +210,15 @@ def import_features(lib: Library, id_: int, features: DataFrame, source: str) ->
 
 
 def import_record(lib: Library, row: DataFrame, features: DataFrame, source: str, folder: int | None = None) -> tuple[int, str]:
-    """A new document of one record's row with its chosen features. If they fail, no document is left."""
-    new = row.first()
-    id_ = lib.insert_document(new["name"], "Sequences", row, None, new["description"], folder)
+    """A new document of one record's row with its chosen features, in one version: if the features fail, there is no document."""
+    new = row.select("name", "description", F.length(S.ungap(F.col("data"))).alias("size")).first()
+    mine = features.where("chosen").drop("chosen")
     try:
-        mine = features.where("chosen").drop("chosen")
         n = mine.count()
-        if n:
-            lib.add_features(id_, mine)
+        id_ = lib.insert_document(new["name"], "Sequences", row, None, new["description"], folder, features=mine if n else None)
     except Exception as e:
-        lib.delete_document(id_)
         raise ValueError(f"The features could not be saved, so {source} was not imported: {e}") from e
-    size = len(new["data"].replace("-", ""))
-    return id_, f"Imported {source} ({size:,} bp)" + (f" with {_counted(n, 'feature')}" if n else "")
+    return id_, f"Imported {source} ({new['size']:,} bp)" + (f" with {_counted(n, 'feature')}" if n else "")
 
 
 def save_rows(lib: Library, id_: int, chosen: list[int], cut: bool = False) -> int:
@@ -243,14 +239,8 @@ def trim(lib: Library, id_: int) -> tuple[int, int] | None:
     if at is None:
         return None
     c0, c1 = at["c0"], at["c1"]
-    mine = F.col("doc_id") == id_
-    cropped = {}
-    for t, crop in (("annotations", R.crop_annotations), ("features", R.crop_features)):
-        table = lib.table(t)
-        kept = crop(table.where(mine), c0, c1).where(F.col("status") != "removed").drop("status")
-        cropped[t] = table.where(~mine).unionByName(kept.select(*table.columns))
-    lib.replace_rows(id_, R.crop(rows, c0, c1).drop("change"), tracks=False)
-    lib.edit(cropped)
+    kept = lambda crop: lambda t: crop(t, c0, c1).where(F.col("status") != "removed").drop("status")
+    lib.change_rows(id_, lambda rows, _: R.crop(rows, c0, c1).drop("change"), {"annotations": kept(R.crop_annotations), "features": kept(R.crop_features)})
     return c0, c1
 
 
@@ -292,7 +282,7 @@ def save_report(lib: Library, name: str, text: str, folder: int | None = None) -
     return lib.insert_text(name, text, "", folder)
 
 
-def end_notes(annotations: list[int], features: list[int], width: int) -> list[str]:
-    """What an edit of a sequence means for its tracks by their end columns, a line for each kind there is."""
-    kinds = [(annotations, "annotation"), (features, "imported feature")]
-    return [position_note(ends, width, one) for ends, one in kinds if ends]
+def end_notes(annotations: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """(n, note): what an edit of a sequence means for its tracks (end), a row for each kind there is."""
+    notes = position_note(annotations, width).unionByName(position_note(features, width, "imported feature"))
+    return notes.where("n > 0")

@@ -12,6 +12,7 @@ from ..operators import columns as C
 from ..operators import display as D
 from ..operators import library as B
 from ..operators import mapper as M
+from ..operators import ranks
 from ..operators import reads as E
 from ..operators import rows as R
 from ..operators import search as Q
@@ -29,7 +30,8 @@ def _place(spark: SparkSession, name: str) -> str:
 
 def _library(spark: SparkSession, **tables: DataFrame) -> B.Library:
     lib = B.Library(spark, _place(spark, "library"))
-    lib.edit(tables)
+    if tables:
+        lib.load_tables(tables)
     return lib
 
 
@@ -158,14 +160,13 @@ def x15(spark, d):
     lib.delete_annotations([2, 3])
     lib.set_color("annotations", [4, 5], "#FF0000")
     lib.add_annotation(1, "added", "Region", 5, 15)
-    return _in_order(lib.annotations(1), "id", "name", "start_col", "color")
+    return _in_order(lib.annotations(1), [F.col("start_col"), F.col("id")], "id", "name", "start_col", "color")
 
 
-def _in_order(ordered: DataFrame, *columns: str) -> DataFrame:
-    """The rows of an ordered result with their place in it."""
-    rows = ordered.select(*columns).collect()
-    schema = ordered.select(*columns).schema
-    return ordered.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], f"ord int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}")
+def _in_order(ordered: DataFrame, order: list, *columns: str) -> DataFrame:
+    """The rows with their place in an order."""
+    placed = ranks.numbered(ordered.withColumn("doc_id", F.lit(1)), ["doc_id"], order, "ord")
+    return placed.select((F.col("ord") + 1).cast("int").alias("ord"), *columns)
 
 
 @query(
@@ -175,6 +176,7 @@ def _in_order(ordered: DataFrame, *columns: str) -> DataFrame:
 )
 def x18(spark, d):
     lib = _library(spark)
+    lib.insert_document("one", "Sequences", spark.createDataFrame([], R.ROWS))
     a, none = (F.col("s_suppkey") % 7).cast("int"), F.lit(None).cast("string")
     part = F.array(F.struct(a.alias("start"), (a + F.col("s_nationkey") + 1).cast("int").alias("end")))
     made = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("gene").alias("kind"), F.lit(7).alias("strand"), part.alias("parts"), F.lit("").alias("location"), F.array().cast(R.META).alias("qualifiers"), F.lit("").alias("source"), none.alias("color"))
@@ -184,13 +186,12 @@ def x18(spark, d):
     lib.set_color("features", [4, 6], "#0000FF")
     out = lib.features(1)
     assert out.where("strand <> 1").isEmpty()
-    return _in_order(out, "id", "name", "color")
+    return _in_order(out, [F.col("parts")[0]["start"], F.array_max(F.transform("parts", lambda p: p["end"])), F.col("id")], "id", "name", "color")
 
 
 @query("W09_position_note", "SELECT count(*) AS n, 'This document has ' || count(*) || ' annotations; their positions are not shifted when bases are inserted or removed. ' || count_if(o_orderkey % 100 + 10 > 60) || ' of them extend past the new end and will be removed.' AS note FROM orders")
 def w09(spark, d):
-    ends = [r[0] for r in table(spark, d, "orders").select((F.col("o_orderkey") % 100 + 10).cast("int")).collect()]
-    return spark.createDataFrame([(len(ends), B.position_note(ends, 60))], "n long, note string")
+    return B.position_note(table(spark, d, "orders").select((F.col("o_orderkey") % 100 + 10).cast("int").alias("end")), 60)
 
 
 # ---- library: folders and settings -----------------------------------------------------------------------------------
@@ -207,7 +208,7 @@ def x27(spark, d):
     lib.collapse_folder(6, True)
     lib.move_folder(7, 10)
     lib.delete_folder(4)
-    return _in_order(lib.folders(), "id", "name", "parent_id", "collapsed")
+    return _in_order(lib.folders(), [F.lower("name"), F.col("id")], "id", "name", "parent_id", "collapsed")
 
 
 @query(
@@ -217,7 +218,7 @@ def x27(spark, d):
 )
 def c35(spark, d):
     lib = _library(spark, folders=folders(spark, d), documents=_documents(spark, d))
-    return spark.createDataFrame([(i, lib.folder_count(i)) for i in range(1, 11)], "id long, n long")
+    return lib.folder_counts().where("id between 1 and 10")
 
 
 @query(
@@ -226,10 +227,9 @@ def c35(spark, d):
     SELECT 'folder' AS kind, 4::BIGINT AS id UNION ALL SELECT 'document', n_nationkey + 1 FROM nation WHERE n_nationkey % 10 + 1 <> 5 AND n_nationkey % 10 + 1 NOT IN (SELECT id FROM t)""",
 )
 def u07(spark, d):
-    up = {r["id"]: r["parent_id"] for r in folders(spark, d).collect()}
-    docs = {r["id"]: r["folder_id"] for r in _documents(spark, d).collect()}
-    assert B.planned_moves([("folder", 4)], 8, up, docs) is None
-    return spark.createDataFrame(B.planned_moves([("folder", 4), *(("document", i) for i in docs)], 5, up, docs), "kind string, id long")
+    up, docs = folders(spark, d), _documents(spark, d)
+    items = spark.createDataFrame([("folder", 4)], "kind string, id long").unionByName(docs.select(F.lit("document").alias("kind"), "id"))
+    return B.planned_moves(items, 5, up, docs)
 
 
 @query("X28_H37_settings", "SELECT 'theme' AS key, max(n_name) AS value FROM nation UNION ALL SELECT 'none', NULL")

@@ -33,11 +33,13 @@ def test_tool_texts(spark):
     assert (p["fraction"], p["text"]) == (1.0, "m")
 
 
-def test_position_notes():
-    note = B.position_note
+def test_position_notes(spark):
+    ends = lambda *e: spark.createDataFrame([(x,) for x in e], "end int")
+    note = lambda e, *more: B.position_note(ends(*e), *more).first()["note"]
     assert note([5], 9, "annotation") == "This document has 1 annotation; its position is not shifted when bases are inserted or removed."
     assert note([5, 12], 9, "imported feature").endswith(" 1 of them extends past the new end and will be removed.")
-    assert note([12], 9).endswith(" It extends past the new end and will be removed.") and A.end_notes([], [], 9) == []
+    assert note([12, 13, 4], 9).endswith(" 2 of them extend past the new end and will be removed.")
+    assert note([12], 9).endswith(" It extends past the new end and will be removed.") and A.end_notes(ends(), ends(), 9).count() == 0
 
 
 def test_keep_view():

@@ -411,7 +411,13 @@ def test_library(spark, tmp_path):
     assert lib.document(t) is None
     copy = lib.insert_copy(id_, [0], "c")
     assert lib.load(copy)[1].count() == 1
-    assert B.planned_moves([("folder", a)], b, {a: None, b: a}, {}) is None and B.planned_moves([("document", 1), ("document", 2)], a, {a: None}, {1: a, 2: None}) == [("document", 2)]
+    up = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id long, parent_id long")
+    docs = spark.createDataFrame([(1, 1), (2, None), (3, 3)], "id long, folder_id long")
+    items = spark.createDataFrame([("folder", 2), ("document", 1), ("document", 2), ("document", 3)], "kind string, id long")
+    with pytest.raises(ValueError):
+        B.planned_moves(items, 3, up, docs)
+    assert sorted(map(tuple, B.planned_moves(items, 1, up, docs).collect())) == [("document", 2)]
+    assert sorted(map(tuple, B.planned_moves(items, None, up, docs).collect())) == [("document", 1), ("folder", 2)]
 
 
 def test_entry_and_oracles_name_the_same_queries(spark):
