@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import sequence as S
 from ..sources import fasta
+from . import links as K
 from . import reads as E
 from . import rows as R
 from .display import Options
@@ -272,9 +273,33 @@ def link(lib: Library, sets: DataFrame, scans: DataFrame, folder: int | None = N
     return ids
 
 
-def check_links(lib: Library, ids: list[int]) -> dict[int, list[str]]:
-    """ok, missing or changed for each file of linked documents."""
-    return {i: E.check_set([(f["path"], f["size"], f["modified"], f["digest"]) for f in lib.linked(i)["files"]]) for i in ids}
+def linked_table(lib: Library, ids: list[int] | None = None) -> DataFrame:
+    """(set, idx, path, size, modified, digest) of the files of linked documents, the set being the document."""
+    one = "array<struct<path: string, size: long, modified: long, digest: string>>"
+    data = lib.table("linked") if ids is None else lib.table("linked").where(F.col("doc_id").isin(ids))
+    each = data.select(F.col("doc_id").alias("set"), F.posexplode(F.from_json("data", f"files {one}")["files"]).alias("idx", "f"))
+    return each.select("set", "idx", "f.path", "f.size", "f.modified", "f.digest")
+
+
+def check_links(lib: Library, ids: list[int] | None = None) -> DataFrame:
+    """(set, idx, path, state) of the files of linked documents."""
+    return K.states(linked_table(lib, ids)).select("set", "idx", "path", "state")
+
+
+def relink(lib: Library, id_: int, idx: int, path: str) -> int:
+    """Point a document's file to where a user has found it, and files of all documents that have moved with it; how many."""
+    before = linked_table(lib)
+    after = K.relinked(before, id_, idx, path)
+    new = after.withColumnsRenamed({"path": "new_path", "modified": "new_modified"}).join(before.select("set", "idx", "path"), ["set", "idx"]).where("path <> new_path")
+    found: dict[int, list] = {}
+    for r in new.select("set", "idx", "new_path", "new_modified").toLocalIterator():  # a row a moved file
+        found.setdefault(r["set"], []).append(r)
+    for set_, rows in found.items():
+        linked = lib.linked(set_)
+        for r in rows:
+            linked["files"][r["idx"]].update(path=r["new_path"], modified=r["new_modified"])
+        lib.update_linked(set_, linked)
+    return sum(map(len, found.values()))
 
 
 def save_report(lib: Library, name: str, text: str, folder: int | None = None) -> int:

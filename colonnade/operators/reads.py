@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -164,55 +163,59 @@ def preview(reads: DataFrame, paired: bool = False) -> DataFrame:
     return reads.where(F.col("read_no") < sample_size(paired))
 
 
-def draw(n: int, k: int, seed: int) -> list[int]:
-    """k distinct numbers below n in order (Floyd's sampling with a counter-based generator); all of them if n <= k."""
-    if n <= k:
-        return list(range(n))
-    state, chosen = seed & (1 << 64) - 1, set()
-    for j in range(n - k, n):
-        state = (state + 0x9E3779B97F4A7C15) & (1 << 64) - 1
-        z = state
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-        t = (z ^ z >> 31) % (j + 1)
-        chosen.add(j if t in chosen else t)
-    return sorted(chosen)
+def draw_key(seed: int, number: Column) -> Column:
+    """What read numbers are drawn by: 60 bits of the MD5 of `seed:number`, which SQL can repeat."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"))), 1, 15)
 
 
-def sample(reads: DataFrame, sources: list[tuple[list[str], int]], seed: int, paired: bool = False) -> DataFrame:
-    """A sample of reads over all sources in order: sources are (files read in step, number of reads)."""
-    picks, offset, rows = draw(sum(n for _, n in sources), sample_size(paired), seed), 0, []
+def draw(n: int, k: int, seed: int, spark: SparkSession) -> DataFrame:
+    """(number): k numbers below n, each set of k being as likely; all of them if n <= k.
+
+    The k least by key, and by number where keys are equal. Only keys below a bound that far more than k numbers are
+    expected under are sorted; the bound rises in the rare case that fewer are.
+    """
+    numbers = spark.range(n).select(F.col("id").alias("number"))
+    share = 4.0 * k / max(n, 1) + 64.0 / max(n, 1)
+    while share < 1:
+        bound = f"{int(share * 16**15):015x}"
+        some = numbers.where(draw_key(seed, F.col("number")) < bound)
+        if some.count() >= k:
+            numbers = some
+            break
+        share *= 4
+    return numbers.orderBy(draw_key(seed, F.col("number")), "number").limit(k)
+
+
+def sample_numbers(spark: SparkSession, sources: list[tuple[list[str], int]], seed: int, paired: bool = False) -> DataFrame:
+    """(file, read_no) of a sample over all sources in order: sources are (files read in step, number of reads)."""
+    starts, rows = 0, []
     for files, n in sources:
-        rows += [(f, p - offset) for p in picks if offset <= p < offset + n for f in files]
-        offset += n
-    wanted = reads.sparkSession.createDataFrame(rows, "file string, read_no long")  # at most 1,000
-    return reads.join(wanted, ["file", "read_no"], "left_semi")
+        rows += [(f, starts, starts + n) for f in files]
+        starts += n
+    spans = spark.createDataFrame(rows, "file string, first long, after long")  # a row a file
+    picks = draw(starts, sample_size(paired), seed, spark)
+    return F.broadcast(picks).join(spans, (F.col("number") >= F.col("first")) & (F.col("number") < F.col("after"))).select("file", (F.col("number") - F.col("first")).alias("read_no"))
 
 
-def fingerprint(path: str) -> tuple[int, str]:
-    """(size, digest) of a file from its size, first MiB and last MiB."""
-    size, probe = os.path.getsize(path), 1 << 20
-    with open(path, "rb") as f:
-        h = hashlib.blake2b(size.to_bytes(8, "little") + f.read(probe), digest_size=16)
-        if size > probe:
-            f.seek(size - min(size - probe, probe))
-            h.update(f.read(probe))
-    return size, h.hexdigest()
+def sample(reads: DataFrame, sources: list[tuple[list[str], int]], seed: int, paired: bool = False) -> DataFrame:
+    """A sample of reads (file, read_no) over all sources in order."""
+    return reads.join(F.broadcast(sample_numbers(reads.sparkSession, sources, seed, paired)), ["file", "read_no"], "left_semi")  # at most 1,000
 
 
-def check(path: str, size: int, modified: int | None, digest: str) -> str:
-    """ok, missing or changed: the digest is read only where the time differs."""
-    if not os.path.exists(path):
-        return "missing"
-    if os.path.getsize(path) != size:
-        return "changed"
-    if modified is not None and int(os.path.getmtime(path)) == modified:
-        return "ok"
-    return "ok" if fingerprint(path)[1] == digest else "changed"
+def sample_files(spark: SparkSession, index: str, sources: list[tuple[list[str], int]] | None, seed: int, paired: bool = False) -> DataFrame:
+    """sample() from the files of an index of FASTQ ranges: of the files only the stretches of marks around chosen reads are read.
 
+    Without sources each file is one of its own, in order.
+    """
+    from ..sources.blocks import ranges_of
+    from ..sources.fastq import read_chosen
 
-def check_set(files: list[tuple[str, int, int | None, str]]) -> list[str]:
-    return [check(*f) for f in files]
+    if sources is None:
+        totals: dict[str, int] = {}
+        for r in ranges_of(index):
+            totals[r["file"]] = totals.get(r["file"], 0) + r["records"]
+        sources = [([f], n) for f, n in sorted(totals.items())]
+    return read_chosen(spark, index, sample_numbers(spark, sources, seed, paired))
 
 
 def link_problems(files: DataFrame, by: str) -> DataFrame:
@@ -220,18 +223,6 @@ def link_problems(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "changed").alias("changed"))
 
 
-def relink(files: list[tuple[str, int, int | None, str]], index: int, path: str) -> dict[str, str]:
-    """New paths for a moved file and those of its old folder that are found beside it with the same contents."""
-    old, new = os.path.dirname(files[index][0]), os.path.dirname(path)
-    out = {}
-    for f, size, _, digest in files:
-        if os.path.dirname(f) == old:
-            at = path if f == files[index][0] else os.path.join(new, os.path.basename(f))
-            if os.path.exists(at) and fingerprint(at) == (size, digest):
-                out[f] = at
-    return out
-
-
 def read_rows(shown: DataFrame, mate: str = "") -> DataFrame:
     """Shown reads as rows, with their file and mate as metadata."""
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as T
+from ..functions import sequence as S
 from ..operators import actions as A
 from ..operators import display as D
 from ..operators import library as B
@@ -320,17 +321,22 @@ def h70(spark, d):
     return got.unionByName(spark.createDataFrame([("none", said, None, None)], got.schema))
 
 
-@query("H71_H72_links", "SELECT 'run' AS name, 'Paired' AS layout, 300::BIGINT AS records, 150 AS width, 'run_R1.fq:missing,run_R2.fq:missing' AS files UNION ALL SELECT 'solo', 'Single', 7, 40, 'solo.fq:missing'")
+@query(
+    "H71_H72_links",
+    """WITH s AS (SELECT s_suppkey % 20 AS k, s_suppkey FROM supplier), n AS (SELECT k, count(*) AS n FROM s GROUP BY k)
+    SELECT 'run' || k AS name, CASE WHEN k % 2 = 0 THEN 'Paired' ELSE 'Single' END AS layout, CASE WHEN k % 2 = 0 THEN 2 * n ELSE n END AS records, CAST(100 + k AS INTEGER) AS width, CASE WHEN k % 2 = 0 THEN 'run' || k || '_R1.fq:missing,run' || k || '_R2.fq:missing' ELSE 'run' || k || '.fq:missing' END AS files FROM n""",
+)
 def h71(spark, d):
+    """A set of files for each of 20 groups of suppliers; none of the files is there."""
+    k = F.col("s_suppkey") % 20
+    n = table(spark, d, "supplier").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+    names = F.when(F.col("k") % 2 == 0, F.array(F.lit("_R1"), F.lit("_R2"))).otherwise(F.array(F.lit("")))
+    scans = n.select(F.explode(names).alias("mate"), "k", "n").select(F.concat(F.lit("/nowhere/reads/run"), "k", "mate", F.lit(".fq")).alias("path"), F.col("n").alias("records"), (100 + F.col("k")).cast("int").alias("width"), F.lit(9).cast("long").alias("size"), F.lit(None).cast("long").alias("modified"), F.lit("x").alias("digest"))
     lib = _library(spark)
-    at = "/nowhere/reads"
-    scans = spark.createDataFrame([(f"{at}/run_R1.fq", 150, 150, 9, 1, "x"), (f"{at}/run_R2.fq", 150, 140, 9, 1, "y"), (f"{at}/solo.fq", 7, 40, 9, None, "z")], "path string, records long, width int, size long, modified long, digest string")
     ids = A.link(lib, E.propose(scans.select("path")), scans)
-    states, out = A.check_links(lib, ids), []
-    for i in ids:
-        s = lib.linked(i)
-        out.append((s["name"], s["layout"], s["summary"]["records"], s["summary"]["width"], ",".join(f"{f['path'].split('/')[-1]}:{x}" for f, x in zip(s["files"], states[i], strict=True))))
-    return spark.createDataFrame(out, "name string, layout string, records long, width int, files string")
+    files = A.check_links(lib, ids).groupBy("set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.concat(S.file_name(F.col("path")), F.lit(":"), "state").alias("t")))), lambda x: x["t"]), ",").alias("files"))
+    about = lib.table("linked").select(F.col("doc_id").alias("set"), F.from_json("data", "name string, layout string, summary struct<records: long, width: int>").alias("d"))
+    return about.join(files, "set").select("d.name", "d.layout", "d.summary.records", "d.summary.width", "files")
 
 
 @query("H75_save_report", "SELECT 'report' AS name, 'Text' AS kind, 'PRIMER SEARCH RUN' AS head")

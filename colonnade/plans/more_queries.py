@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import columns as C
 from ..operators import library as B
-from ..operators import many_targets
+from ..operators import links, many_targets
 from ..operators import mapper as M
 from ..operators import reads as E
 from ..operators import rows as R
@@ -129,11 +129,82 @@ def r01(spark, d):
     return p.select("dir", "name", "layout", F.size("files").alias("n"), F.array_join(F.transform("files", lambda f: F.concat(f["role"], F.lit(":"), S.file_name(f["path"]))), ",").alias("files"))
 
 
-@query("U08_R06_sample")
+_DRAWN = """, f AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i, n FROM (SELECT DISTINCT file, (SELECT count(*) FROM customer) AS n FROM reads)),
+    d AS (SELECT i AS number FROM range((SELECT CAST(sum(n) AS BIGINT) FROM f)) t(i)), k AS (SELECT number FROM d ORDER BY substr(md5('7:' || number), 1, 15), number LIMIT 1000)"""
+
+
+@query("U08_R06_sample", READS_SQL + _DRAWN + " SELECT r.file, r.read_no FROM k JOIN f ON number >= i * n AND number < (i + 1) * n JOIN reads r ON r.file = f.file AND r.read_no = number - i * n")
 def u08(spark, d):
+    """Numbers are drawn below the customers of each file; a file has those reads of which it is the file."""
     files = sorted(f"run{i % 4}_R{1 + i % 2}.fq" for i in range(4))
     n = table(spark, d, "customer").count()
-    return E.sample(reads(spark, d), [([f], n) for f in files], 7).select("file", "read_no")
+    return E.sample(reads(spark, d), [([f], n) for f in files], 7)[["file", "read_no"]]
+
+
+@query(
+    "U08_R06_R08_sample_files",
+    READS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY read_no) - 1 AS n FROM reads), f AS (SELECT file, count(*) AS size, sum(count(*)) OVER (ORDER BY file) - count(*) AS first FROM reads GROUP BY file),
+    k AS (SELECT i AS number FROM range((SELECT count(*) FROM reads)) t(i) ORDER BY substr(md5('3:' || i), 1, 15), i LIMIT 1000)
+    SELECT head, seq, qual FROM k JOIN f ON number >= first AND number < first + size JOIN o ON o.file = f.file AND o.n = number - first""",
+)
+def r06_files(spark, d):
+    """Reads drawn from block-gzip files of which only the stretches with drawn reads are opened."""
+    from uuid import uuid4
+
+    from ..sources import blocks, fastq
+
+    path = f"{shared_dir(spark)}/sampled-{uuid4().hex}"
+    r = reads(spark, d)
+    names = sorted(f"run{i}_R{1 + i % 2}.fq" for i in range(4))
+    for i, name in enumerate(names):
+        fastq.write_fastq(r.where(F.col("file") == name).repartitionByRange(1, "read_no").sortWithinPartitions("read_no"), f"{path}/{i}", member=2048)
+    index = blocks.index(spark, fastq.files_in(path.removeprefix("file://")), fastq.FASTQ, 4096)
+    return E.sample_files(spark, index, None, 3).select("head", "seq", "qual")
+
+
+_WHERE = "CASE n_nationkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' WHEN 2 THEN 'missing' WHEN 3 THEN 'changed' ELSE 'missing' END"
+
+
+@query("R13_R14_R15_R16_R17_R18_J10_moved_files", f"SELECT n_nationkey % 3 AS \"set\", n_nationkey AS idx, {_WHERE} AS state, CASE WHEN n_nationkey % 5 IN (1, 3) THEN 'new' ELSE 'old' END AS folder, n_nationkey % 5 IN (0, 1, 3) AS good FROM nation")
+def r13(spark, d):
+    """A file a nation: some stay, some move, some are gone, changed, or replaced by another of one size. One is found by hand; those beside it follow."""
+    from uuid import uuid4
+
+    root = f"{shared_dir(spark)}/moved-{uuid4().hex}"
+    k = F.col("n_nationkey")
+    content = F.repeat(F.concat(F.col("n_name"), F.lit("\n")), (k * 9000 + 1).cast("int"))
+    n = table(spark, d, "nation").select(k.alias("k"), F.concat(F.lit("f"), k, F.lit(".fq")).alias("name"), content.alias("text"))
+    place = lambda folder: F.concat(F.lit(f"{root}/{folder}/"), "name")
+    written = lambda rows, folder: _written(rows.select(place(folder).alias("path"), "text"))
+    written(n, "first")
+    written(n.where("k % 5 = 0"), "old")
+    written(n.where("k % 5 = 3").withColumn("text", F.concat("text", F.lit("more"))), "old")
+    written(n.where("k % 5 in (1, 3)"), "new")
+    written(n.where("k % 5 = 4").withColumn("text", F.translate("text", "AEIOU", "XXXXX")), "new")
+    known = links.remembered(n.select(place("first").alias("path"))).withColumn("name", S.file_name(F.col("path")))
+    files = n.select("k", "name").join(known, "name").select((F.col("k") % 3).alias("set"), F.col("k").cast("int").alias("idx"), place("old").alias("path"), "size", "modified", "digest")
+    before = links.states(files).select("set", "idx", "state")
+    after = links.relinked(files, 1, 1, f"{root}/new/f1.fq")
+    good = links.states(after).select("set", "idx", F.element_at(F.split("path", "/"), -2).alias("folder"), (F.col("state") == "ok").alias("good"))
+    return before.join(good, ["set", "idx"]).select("set", F.col("idx").cast("long").alias("idx"), "state", "folder", "good")
+
+
+def _written(files: DataFrame) -> int:
+    """Write texts (path, text) to files of their own; how many."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = pafs.FileSystem.from_uri(path)
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(at, compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return files.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
 
 
 @query("C28_link_problems", "SELECT o_custkey AS k, count_if(o_orderstatus = 'F') AS missing, count_if(o_orderstatus = 'P') AS changed FROM orders GROUP BY o_custkey")
@@ -331,39 +402,102 @@ def s19(spark, d):
     return rows.select("idx", "name", "start", "data", F.lit(info["width"]).alias("width"))
 
 
-@query("S23_S26_demo_rows")
-def s23(spark, d):
-    return demo(spark, 2000, table(spark, d, "customer").count()).select("idx", "name", "data")
-
-
-def demo(spark: SparkSession, length: int, n: int, seed: int = 7) -> DataFrame:
-    """A reference as row 0 and n genomes that differ from it by hash-chosen substitutions and deletions, by clade."""
-    ref = "".join(hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in range(length // 32 + 1))[:length].translate(str.maketrans("0123456789abcdef", "ACGT" * 4))
-    sent = spark.sparkContext.broadcast(ref)
-
-    @F.pandas_udf("string")
-    def genome(idx):
-        import numpy as np
-        import pandas as pd
-
-        base = np.frombuffer(sent.value.encode(), np.uint8)
-        out = []
-        for i in idx:
-            rng, clade = np.random.default_rng([seed, int(i)]), np.random.default_rng([seed, 10_000_000 + int(i) % 6])
-            s = base.copy()
-            for g, share in ((clade, 0.01), (rng, 0.003)):
-                at = g.integers(0, length, int(length * share))
-                s[at] = np.frombuffer(b"ACGT", np.uint8)[g.integers(0, 4, len(at))]
-            s = np.delete(s, rng.integers(0, length, rng.integers(0, 4)))
-            out.append(s.tobytes().decode())
-        return pd.Series(out)
-
-    ids = spark.range(0, n + 1, numPartitions=max(1, min(n // 50 + 1, 2 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("idx"))
-    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
-    data = F.when(F.col("idx") == 0, F.lit(ref)).otherwise(genome("idx"))
-    return ids.select(F.lit(1).cast("long").alias("doc_id"), "idx", F.when(F.col("idx") == 0, "reference").otherwise(F.concat(F.lit("genome_"), "idx")).alias("name"), F.lit("").alias("description"), F.lit(0).alias("start"), data.alias("data"), F.array(entry("clade", (F.col("idx") % 6).cast("string")), entry("year", (2015 + F.col("idx") % 9).cast("string"))).alias("meta"))
+_DEMO = """WITH n AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i FROM customer), bits AS (SELECT p, ('0x' || substr(md5('7:r:' || p), 1, 8))::BIGINT AS h, ('0x' || substr(md5('7:g:' || p // 800), 1, 8))::BIGINT % 2 = 0 AS rich FROM range(LENGTH) t(p)),
+    ref AS (SELECT p, CASE WHEN rich AND h % 100 < 30 THEN CASE h // 100 % 2 WHEN 0 THEN 'G' ELSE 'C' END ELSE substr('ACGT', CAST(h // 200 % 4 AS INTEGER) + 1, 1) END AS b FROM bits),
+    clade AS (SELECT c, p, b, ('0x' || substr(md5('7:c:' || c || ':' || p), 1, 8))::BIGINT AS h FROM ref, range(6) t(c)),
+    changed AS (SELECT c, p, CASE WHEN h % 1000000 < 4000 + 4000 * c THEN substr(translate(b, 'ACGT', '0123'), 1, 1)::INTEGER + 1 + CAST(h // 1000000 % 3 AS INTEGER) ELSE strpos('ACGT', b) - 1 END % 4 AS x,
+      ('0x' || substr(md5('7:i:' || c || ':' || p), 1, 8))::BIGINT AS e FROM clade),
+    gapped AS (SELECT c, p, substr('ACGT', x + 1, 1) AS b, e % 1000000 < 60 AS del, CASE WHEN e % 1000000 BETWEEN 60 AND 119 THEN translate(substr(md5('7:s:' || c || ':' || p), 1, CAST(1 + e // 1000000 % 12 AS INTEGER)), '0123456789abcdef', 'ACGTACGTACGTACGT') ELSE '' END AS ins,
+      CASE WHEN e % 1000000 < 60 THEN p + 1 + e // 1000000 % 9 END AS upto FROM changed),
+    kept AS (SELECT c, string_agg(CASE WHEN p < coalesce(gone, 0) THEN '' WHEN upto IS NOT NULL THEN ins ELSE ins || b END, '' ORDER BY p) AS g FROM (SELECT *, max(upto) OVER (PARTITION BY c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM gapped) GROUP BY c),
+    own AS (SELECT i, ('0x' || substr(md5('7:n:' || i), 1, 8))::BIGINT AS h, ('0x' || substr(md5('7:m:' || i), 1, 8))::BIGINT AS m FROM n),
+    of AS (SELECT *, CASE WHEN h % 100 < 35 THEN 0 WHEN h % 100 < 60 THEN 1 WHEN h % 100 < 75 THEN 2 WHEN h % 100 < 87 THEN 3 WHEN h % 100 < 95 THEN 4 ELSE 5 END AS c FROM own)"""
 
 
+@query(
+    "S23_S26_H16_demo_rows",
+    _DEMO.replace("LENGTH", "1200") + """ SELECT CAST(i AS INTEGER) AS idx, 'GEN' || lpad(CAST(i AS VARCHAR), 5, '0') || '.1' AS name, substr('ABCDEF', c + 1, 1) AS clade, length(g) AS letters, length(g) - length(replace(g, 'G', '')) AS guanine, CAST(2005 + m % 20 AS INTEGER) AS year FROM of JOIN kept USING (c)
+    UNION ALL SELECT 0, 'REF_genome', 'reference', 1200, (SELECT count(*) FROM ref WHERE b = 'G'), NULL""",
+)
+def s23(spark, d):
+    """Genomes without noise of their own: as clades have them, with metadata."""
+    g = demo(spark, 1200, table(spark, d, "customer").count(), noise=False)
+    return g.select("idx", "name", R.meta_value("clade").alias("clade"), F.length("data").cast("long").alias("letters"), S.occurrences(F.col("data"), "G").cast("long").alias("guanine"), R.meta_value("year").cast("int").alias("year"))
+
+
+_CLADES, _COUNTRIES = "ABCDEF", ("DE", "US", "BR", "IN", "ZA", "CN", "FR", "KE")  # fixed values of the demo data
+
+
+def demo(spark: SparkSession, length: int, n: int, seed: int = 7, noise: bool = True) -> DataFrame:
+    """A reference as row 0 and n genomes of six clades, all by hashes of their place: any row is made without the others.
+
+    The reference has stretches rich in G and C. A clade changes, deletes and inserts bases; a genome has changes of its own,
+    and some have a run of N, are partial, or are reversed. Weights and shares are those of the demo set.
+    """
+    h = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+    pick = lambda x: F.substring(F.lit("ACGT"), (x % 4).cast("int") + 1, F.lit(1))
+    div = lambda x, y: F.floor(x / y)
+    p = F.col("p")
+    places = spark.range(0, length, 1, max(1, length // 5000)).select(F.col("id").alias("p"))
+    r = h(F.lit("r"), p)
+    rich = (h(F.lit("g"), div(p, 800)) % 2 == 0) & (r % 100 < 30)
+    ref = places.select("p", F.when(rich, F.when(div(r, 100) % 2 == 0, "G").otherwise("C")).otherwise(pick(div(r, 200))).alias("b"))
+    clades = ref.select("p", "b", F.explode(F.array(*(F.lit(c) for c in range(6)))).alias("c"))
+    a, e = h(F.lit("c"), F.col("c"), p), h(F.lit("i"), F.col("c"), p)
+    place = F.position(F.col("b"), F.lit("ACGT")) - 1
+    b = F.when(a % 1_000_000 < 4000 + 4000 * F.col("c"), pick(place + 1 + div(a, 1_000_000) % 3)).otherwise(F.col("b"))
+    more = F.translate(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), F.col("c"), p)), F.lit(1), (1 + div(e, 1_000_000) % 12).cast("int")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    edited = clades.select("c", "p", b.alias("b"), F.when((e % 1_000_000 >= 60) & (e % 1_000_000 < 120), more).otherwise("").alias("ins"), F.when(e % 1_000_000 < 60, p + 1 + div(e, 1_000_000) % 9).alias("upto"))
+    genomes = applied(edited)  # six rows
+    i = F.col("i")
+    own = spark.range(1, n + 1, 1, max(1, min(n // 50 + 1, 2 * spark.sparkContext.defaultParallelism))).select(F.col("id").alias("i"))
+    u, m = h(F.lit("n"), i) % 100, h(F.lit("m"), i)
+    clade = F.when(u < 35, 0).when(u < 60, 1).when(u < 75, 2).when(u < 87, 3).when(u < 95, 4).otherwise(5)
+    each = own.withColumn("c", clade).join(F.broadcast(genomes), "c")
+    if noise:
+        each = each.withColumn("g", _noisy(h, pick, div))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    country = F.element_at(F.array(*(F.lit(x) for x in _COUNTRIES)), (div(m, 20) % 8).cast("int") + 1)
+    letter = F.substring(F.lit(_CLADES), F.col("c") + 1, F.lit(1))
+    year = (2005 + m % 20).cast("string")
+    told = F.concat(F.lit("[clade="), letter, F.lit("] [country="), country, F.lit("] [year="), year, F.lit("]"))
+    made = each.select(F.lit(1).cast("long").alias("doc_id"), i.cast("int").alias("idx"), F.concat(F.lit("GEN"), F.lpad(i.cast("string"), 5, "0"), F.lit(".1")).alias("name"), told.alias("description"), F.lit(0).alias("start"), F.col("g").alias("data"), F.array(entry("clade", letter), entry("country", country), entry("year", year)).alias("meta"))
+    whole = ref.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x["b"]), "").alias("g"))
+    first = whole.select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("idx"), F.lit("REF_genome").alias("name"), F.lit("synthetic reference").alias("description"), F.lit(0).alias("start"), F.col("g").alias("data"), F.array(entry("clade", F.lit("reference"))).alias("meta"))
+    return first.unionByName(made)
+
+
+def applied(edits: DataFrame) -> DataFrame:
+    """(c, g): texts of the letters (c, p, b, ins, upto): ins comes before a letter, and what is from p to upto is deleted.
+
+    Edits apply from left to right: those within what is deleted are passed over, insertions and deletions alike.
+    """
+    cuts = edits.where("upto is not null").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "upto"))).alias("all"))
+    none = F.array().cast("array<struct<p: long, upto: long>>")
+    apart = F.aggregate("all", none, lambda kept, x: F.when((F.size(kept) > 0) & (x["p"] < F.element_at(kept, -1)["upto"]), kept).otherwise(F.concat(kept, F.array(x))))
+    each = edits.join(F.broadcast(cuts.select("c", apart.alias("cuts"))), "c", "left").withColumn("cuts", F.coalesce("cuts", none))
+    p = F.col("p")
+    piece = F.when(F.exists("cuts", lambda x: (x["p"] < p) & (p < x["upto"])), "").otherwise(F.concat("ins", F.when(F.exists("cuts", lambda x: x["p"] == p), "").otherwise(F.col("b"))))
+    return each.select("c", "p", piece.alias("piece")).groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "piece"))), lambda x: x["piece"]), "").alias("g"))
+
+
+def _noisy(h, pick, div):
+    """A genome with changes of its own: single bases, a run of N in 3 %, a part of it in 15 %, reversed in 10 %."""
+    i, g = F.col("i"), F.col("g")
+    # a block of 1,250 bases has one changed base: 0.0008 of all
+    blocks = F.sequence(F.lit(0), F.floor((F.length("g") - 1) / 1250).cast("int"))
+    at = lambda k: (h(F.lit("b"), i, k.cast("string")) % 1250).cast("int")
+    piece = lambda k: F.substring(g, k * 1250 + 1, F.lit(1250))
+    one = lambda k: F.when(at(k) < F.length(piece(k)), F.concat(F.substring(piece(k), F.lit(1), at(k)), pick(div(h(F.lit("b"), i, k.cast("string")), 1250)), F.substring(piece(k), at(k) + 2, F.lit(1250)))).otherwise(piece(k))
+    out = F.array_join(F.transform(blocks, one), "")
+    size, u, v = F.length(g), h(F.lit("u"), i), h(F.lit("v"), i)
+    start, run = (v % size).cast("int"), F.least((20 + div(v, 7) % 200).cast("int"), (size - v % size).cast("int"))
+    out = F.when(u % 100 < 3, F.concat(F.substring(out, F.lit(1), start), F.repeat(F.lit("N"), run), F.substring(out, start + run + 1, size))).otherwise(out)
+    third = F.greatest(F.floor(size / 3), F.lit(1))
+    low = (div(v, 11) % third).cast("int")
+    high = F.least(F.greatest((size - div(v, 13) % third).cast("int"), low + 1000), size)
+    out = F.when(div(u, 100) % 100 < 15, F.substring(out, low + 1, high - low)).otherwise(out)
+    return F.when(div(u, 10_000) % 100 < 10, S.revcomp(out)).otherwise(out)
 
 
 @query("C32_quality_track", READS_SQL + ", q AS (SELECT file, read_no, unnest(range(length(qual))) AS col, read_no % 40 AS q FROM reads) SELECT file, read_no, CAST(col // 7 AS INTEGER) AS bin, CAST((sum(q) + count(*) // 2) // count(*) AS INTEGER) AS q FROM q GROUP BY 1, 2, 3")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .blocks import END, END_OF_FILE, PROOF, RANGE_BYTES, SEQUENCE, TEXT, Format, Line, Record, between, compressed, index, ranges_of, size_and_kind
+from .blocks import END, END_OF_FILE, PROOF, RANGE_BYTES, SEQUENCE, STRIDE, TEXT, Format, Line, Record, between, compressed, index, ranges_of, size_and_kind
 
 SCHEMA = "file string, read_no long, head string, seq string, qual string"
 
@@ -157,6 +157,29 @@ def read_fastq(spark: SparkSession, path: str, limit: int | None = None, range_b
     return reader.load(path)
 
 
+def read_chosen(spark: SparkSession, index_path: str, chosen: DataFrame) -> DataFrame:
+    """The reads (file, read_no) of a table from files of an index: a task opens a file at the mark before a read, and reads no further than the last one chosen there."""
+    ranges = spark.read.parquet(index_path)
+    inside = (F.col("read_no") >= F.col("base")) & (F.col("read_no") < F.col("base") + F.col("records"))
+    at = chosen.distinct().join(ranges, "file").where(inside)
+    mark = F.floor((F.col("read_no") - F.col("base")) / STRIDE).cast("int")
+    starts = at.select("file", "read_no", F.element_at("marks", mark + 1).alias("place"), (F.col("base") + mark * STRIDE).alias("first"))
+    stretches = starts.groupBy("file", "place", "first").agg(F.sort_array(F.collect_set("read_no")).alias("numbers"))  # at most STRIDE of them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, place, first, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wanted, rows = set(numbers), []
+                for i, record in enumerate(between(path, place, END_OF_FILE, FASTQ), first):
+                    if i in wanted:
+                        rows.append((path, i, *record))
+                    if i >= numbers[-1]:
+                        break
+                yield _batch(rows)
+
+    return stretches.select("file", "place", "first", "numbers").repartition("file", "place").mapInArrow(run, SCHEMA)
+
+
 def write_fastq(reads: DataFrame, path: str, member: int = TEXT - 256) -> None:
     """Block-gzip files of reads in a folder, one a partition, in the order of its rows; names are of the partition's number.
 

@@ -278,8 +278,6 @@ def test_fastq(spark, tmp_path):
 def test_read_sets(spark):
     h = spark.createDataFrame([("f", 2, 3), ("f", 10, 1), ("f", 5, 2)], "file string, len long, n long")
     assert E.n50(h).first()["n50"] == 5
-    picks = E.draw(10_000, 1000, 7)
-    assert len(set(picks)) == 1000 and picks == sorted(picks) == E.draw(10_000, 1000, 7) and E.draw(5, 9, 1) == list(range(5))
     paths = ["/d/A_S1_L001_R1_001.fastq.gz", "/d/A_S1_L001_R2_001.fastq.gz", "/d/A_S1_L002_R1_001.fastq.gz", "/d/A_S1_L002_R2_001.fastq.gz", "/d/SRR1_1.fastq", "/d/SRR1_2.fastq", "/d/FAX_pass_ab_0.fastq", "/d/FAX_pass_ab_1.fastq", "/d/FAX_pass_ab_2.fastq", "/d/x_R1.fq"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = {r["name"]: (r["layout"], [f["role"] for f in r["files"]]) for r in E.propose(df).collect()}
@@ -288,16 +286,6 @@ def test_read_sets(spark):
     assert E.common_name(["run_1", "run_2"]) == "run" and E.reads_done("read 2,000,000 pairs") == 2_000_000
 
 
-def test_files(tmp_path):
-    f = tmp_path / "a"
-    f.write_bytes(b"x" * 3_000_000)
-    size, digest = E.fingerprint(str(f))
-    assert E.check_set([(str(f), size, None, digest), (str(f), 1, None, digest), (str(tmp_path / "b"), 1, None, "")]) == ["ok", "changed", "missing"]
-    (tmp_path / "n").mkdir()
-    f.rename(tmp_path / "n" / "a")
-    assert E.relink([(str(f), size, None, digest)], 0, str(tmp_path / "n" / "a")) == {str(f): str(tmp_path / "n" / "a")}
-
-
 def test_locations():
     parts = lambda t: [(p["start"], p["end"]) for p in genbank.parse_location(t)["parts"]]
     assert parts("5..9") == [(4, 9)] and parts("7") == [(6, 7)] and parts("<3..>8") == [(2, 8)] and parts("join(10..12,1..2)") == [(0, 2), (9, 12)]
