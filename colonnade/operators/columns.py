@@ -20,41 +20,63 @@ for _i, _b in enumerate(b"ACGT-"):
     _INDEX[_b] = _i
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the columns of documents, as far as a task has seen them: dense arrays, sent before they grow large."""
+    sums: dict[int, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for doc, n in sums.items():
+            at = np.flatnonzero(n.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), *(pa.array(n[at, k]) for k in range(6))], names=["doc_id", "col", *COUNTS])
+        sums.clear()
+
+    for batch in batches:
+        for doc, start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            n = sums.get(doc)
+            end = start + len(data)
+            if n is None or len(n) < end:
+                grown = np.zeros((max(end, 64), 6), np.int64)
+                if n is not None:
+                    grown[: len(n)] = n
+                n = sums[doc] = grown
+            n[np.arange(start, end), _INDEX[np.frombuffer(data, np.uint8)]] += 1
+        if sum(len(n) for n in sums.values()) > 2_000_000:
+            yield from out()
+    yield from out()
+
+
+def covered_counts(rows: DataFrame) -> DataFrame:
+    """doc_id, col and the six counts of the columns that a row covers. Each task sends one row a column, whatever the number of sequences."""
+    partial = rows.select("doc_id", "start", "data").mapInArrow(_counted, "doc_id long, col int, " + ", ".join(f"{c} long" for c in COUNTS))
+    return partial.groupBy("doc_id", "col").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _every_column(sums: DataFrame, widths: DataFrame) -> DataFrame:
+    """Counts of all columns below the widths (doc_id, width), 0 where there are none."""
+    every = widths.where("width > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    return every.join(sums, ["doc_id", "col"], "left").select("doc_id", "col", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS))
+
+
 def column_counts(rows: DataFrame, reference: int | None = None) -> DataFrame:
     """doc_id, col and the six counts of every column from 0 to the width, all rows but the reference.
 
-    Each task adds up dense arrays in NumPy and sends one row a column, whatever the number of sequences; documents with
-    many rows are spread over all tasks.
+    Documents with many rows are spread over all tasks.
     """
     inside = rows if reference is None else rows.where(F.col("idx") != reference)
+    return _every_column(covered_counts(inside), R.widths(rows))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for doc, n in sums.items():
-                at = np.flatnonzero(n.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), *(pa.array(n[at, k]) for k in range(6))], names=["doc_id", "col", *COUNTS])
-            sums.clear()
-
-        for batch in batches:
-            for doc, start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                n = sums.get(doc)
-                end = start + len(data)
-                if n is None or len(n) < end:
-                    grown = np.zeros((max(end, 64), 6), np.int64)
-                    if n is not None:
-                        grown[: len(n)] = n
-                    n = sums[doc] = grown
-                n[np.arange(start, end), _INDEX[np.frombuffer(data, np.uint8)]] += 1
-            if sum(len(n) for n in sums.values()) > 2_000_000:
-                yield from out()
-        yield from out()
-
-    partial = inside.select("doc_id", "start", "data").mapInArrow(count, "doc_id long, col int, " + ", ".join(f"{c} long" for c in COUNTS))
-    sums = partial.groupBy("doc_id", "col").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    every = R.widths(rows).where("width > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    return every.join(sums, ["doc_id", "col"], "left").select("doc_id", "col", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS))
+
+def counts_after(counts: DataFrame, removed: DataFrame | None, added: DataFrame | None, widths: DataFrame) -> DataFrame:
+    """column_counts() after an edit: known counts less those of removed rows and with those of added ones, up to the new widths (doc_id, width).
+
+    Only the rows that change are read. A row that becomes or was the reference is removed or added.
+    """
+    signed = lambda rows, sign: covered_counts(rows).select("doc_id", "col", *((F.lit(sign) * F.col(c)).alias(c) for c in COUNTS))
+    parts = [counts.select("doc_id", "col", *COUNTS)] + ([signed(removed, -1)] if removed is not None else []) + ([signed(added, 1)] if added is not None else [])
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return _every_column(both.groupBy("doc_id", "col").agg(*(F.sum(c).alias(c) for c in COUNTS)), widths)
 
 
 def coverage() -> Column:

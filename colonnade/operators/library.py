@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import columns as C
 from .ranks import numbered
 from .rows import META, ROWS, end
 
@@ -43,8 +44,9 @@ TABLES = {
     "settings": _schema(key=S_, value=S_),
     "texts": _schema(doc_id=L, content=S_),
     "linked": _schema(doc_id=L, data=S_),
+    "counts": _schema(doc_id=L, col=I, n_a=L, n_c=L, n_g=L, n_t=L, n_gap=L, n_other=L),
 }
-DEPENDENT = ["rows", "annotations", "features", "texts", "linked"]
+DEPENDENT = ["rows", "annotations", "features", "texts", "linked", "counts"]
 SMALL = ["folders", "settings"]  # a record a folder or setting
 FEATURE_ORDER = lambda: [F.col("parts")[0]["start"], F.col("name")]
 TRACK_END = {"annotations": lambda: F.col("end_col"), "features": lambda: F.array_max(F.transform("parts", lambda p: p["end"]))}
@@ -312,26 +314,38 @@ class Library:
         self.set_info(id_, folder_id=folder)
 
     def set_reference(self, id_: int, row: int | None) -> None:
-        self.set_info(id_, reference=row)
+        """Make a row the reference, or none; counts of columns are of the other rows."""
 
-    def change_rows(self, id_: int, make: Callable[[DataFrame, dict], DataFrame], tracks: dict[str, Callable[[DataFrame], DataFrame]] | None = None, **info) -> None:
-        """Rows that make(rows, record) gives, with the tables of tracks that functions give; counts follow.
+        def act(v: Version) -> None:
+            record = v.edit_document(id_)
+            if "counts" in record["files"] and record["reference"] != row:
+                one = lambda i: None if i is None else v.get("rows", id_).where(F.col("idx") == i)
+                v.put("counts", id_, C.counts_after(v.get("counts", id_), one(row), one(record["reference"]), _width(self.spark, id_, record["width"])))
+            record["reference"] = row
+
+        self.edit(act)
+
+    def change_rows(
+        self, id_: int, make: Callable[[DataFrame, dict], DataFrame], tracks: dict[str, Callable[[DataFrame], DataFrame]] | None = None, changed: Callable[[DataFrame, dict], tuple[DataFrame | None, DataFrame | None]] | None = None, **info
+    ) -> None:
+        """Rows that make(rows, record) gives, with the tables of tracks that functions give; numbers of rows and columns follow.
 
-        Without such functions, tracks beyond the new width go. Values of info may be functions of the rows before and after.
+        Without such functions, tracks beyond the new width go. changed(rows, record) gives the rows that go and those that
+        come, by which known counts of columns are kept up; without it they are forgotten. info: further fields of the record.
         """
 
         def act(v: Version) -> None:
-            old = v.get("rows", id_)
-            rows = make(old, v.document(id_))
-            values = {k: x(old, rows) if callable(x) else x for k, x in info.items()}
-            v.put("rows", id_, rows)
+            old, record = v.get("rows", id_), v.edit_document(id_)
+            gone, come = changed(old, dict(record)) if changed and "counts" in record["files"] else (None, None)
+            v.put("rows", id_, make(old, record))
             n, width = v.get("rows", id_).agg(F.count("*"), F.coalesce(F.max(end()), F.lit(0))).first()
-            record = v.edit_document(id_)
+            if "counts" in record["files"]:
+                v.put("counts", id_, C.counts_after(v.get("counts", id_), gone, come, _width(self.spark, id_, width)) if changed else None)
             for table, far in TRACK_END.items():
                 if table in record["files"]:
                     now = v.get(table, id_)
                     v.put(table, id_, now.where(~F.coalesce(far() > width, F.lit(False))) if tracks is None else tracks[table](now) if table in tracks else now)
-            record.update({"n_rows": n, "width": width} | values)
+            record.update({"n_rows": n, "width": width} | info)
 
         self.edit(act)
 
@@ -351,7 +365,12 @@ class Library:
             record["reference"] = new["idx"] if new else None
             return left.drop("old_idx")
 
-        self.change_rows(id_, make)
+        def gone_rows(rows: DataFrame, record: dict) -> tuple[DataFrame, None]:
+            ref = record["reference"]
+            kept = None if ref is None or ref not in gone else ref  # the reference is not counted
+            return rows.where(F.col("idx").isin([i for i in gone if i != kept])), None
+
+        self.change_rows(id_, make, changed=gone_rows)
 
     def reorder_rows(self, id_: int, order: list[int]) -> None:
         """Row order[i] becomes row i; order must be a permutation. The reference follows its row."""
@@ -363,7 +382,7 @@ class Library:
             record["reference"] = order.index(record["reference"]) if record["reference"] is not None else None
             return rows.join(mapping, "idx").withColumn("idx", F.col("new_idx")).drop("new_idx")
 
-        self.change_rows(id_, make, {})
+        self.change_rows(id_, make, {}, _none_changed)
 
     def sort_rows(self, id_: int, key: str, descending: bool = False, columns: list[int] | None = None) -> None:
         """Rows in a permanent order by Name, Length or Bases; the reference goes first and stays the reference."""
@@ -375,12 +394,32 @@ class Library:
             record["reference"] = None if record["reference"] is None else 0
             return reorder_rows(rows, order)
 
-        self.change_rows(id_, make, {})
+        self.change_rows(id_, make, {}, _none_changed)
 
     def update_metadata(self, id_: int, rows: DataFrame) -> None:
         """Replace meta of the rows in (idx, meta)."""
         new = rows.select("idx", F.col("meta").alias("new"))
-        self.change_rows(id_, lambda old, _: old.join(new, "idx", "left").withColumn("meta", F.coalesce("new", "meta")).select(*ROWS.names), {})
+        self.change_rows(id_, lambda old, _: old.join(new, "idx", "left").withColumn("meta", F.coalesce("new", "meta")).select(*ROWS.names), {}, _none_changed)
+
+    def append_rows(self, id_: int, rows: DataFrame) -> None:
+        """Rows added after those there are, in order of their idx."""
+
+        def make(old: DataFrame, record: dict) -> DataFrame:
+            placed = numbered(rows.withColumn("doc_id", F.lit(id_).cast("long")), ["doc_id"], [F.col("idx")], "new_idx")
+            return old.unionByName(placed.withColumn("idx", (F.col("new_idx") + record["n_rows"]).cast("int")).select(*ROWS.names))
+
+        self.change_rows(id_, make, {}, lambda _, __: (None, rows.withColumn("doc_id", F.lit(id_).cast("long"))))
+
+    def column_counts(self, id_: int) -> DataFrame:
+        """Counts of a document's columns, without its reference: counted once, and kept up by edits that say which rows they change."""
+
+        def act(v: Version) -> None:
+            if "counts" not in v.edit_document(id_)["files"]:
+                v.put("counts", id_, C.column_counts(v.get("rows", id_), v.document(id_)["reference"]))
+
+        if "counts" not in (self.now().document(id_) or {"files": {}})["files"]:
+            self.edit(act)
+        return self.now().get("counts", id_)
 
     def insert_copy(self, id_: int, chosen: list[int], name: str, cut: bool = False) -> int:
         """A new document of rows as they are, with the tracks that fit; cut removes them from the source."""
@@ -535,6 +574,14 @@ class Library:
         self.edit(lambda v: v.change("settings").update({key: {"key": key, "value": value}}))
 
 
+def _width(spark: SparkSession, id_: int, width: int) -> DataFrame:
+    return spark.createDataFrame([(id_, width)], "doc_id long, width int")
+
+
+def _none_changed(rows: DataFrame, record: dict) -> tuple[None, None]:
+    return None, None
+
+
 def _record(id_: int, name: str, kind: str, n_rows: int = 0, width: int = 0, reference: int | None = None, description: str = "", folder: int | None = None) -> dict:
     created = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     return {"id": id_, "name": name, "kind": kind, "n_rows": n_rows, "width": width, "reference": reference, "description": description, "created": created, "folder_id": folder, "files": {}}

@@ -298,6 +298,29 @@ def c33(spark, d):
     return X.rows(spark, d).where("idx > 0").select("idx", "start", "data").mapInArrow(one, "idx int, matches long, compared long")
 
 
+@query(
+    "C08_C09_H43_counts_after_edits",
+    "WITH c AS (SELECT col, base FROM cells WHERE idx > 5 AND idx % 7 <> 3) SELECT CAST(t.col AS INTEGER) AS col, "
+    + ", ".join(f"count(CASE WHEN base {w} THEN 1 END) AS {n}" for n, w in [*((f"n_{b.lower()}", f"= '{b}'") for b in "ACGT"), ("n_gap", "= '-'"), ("n_other", "NOT IN ('A', 'C', 'G', 'T', '-')")])
+    + " FROM range((SELECT CAST(max(start + length(data)) AS BIGINT) FROM rows WHERE idx > 4 AND idx % 7 <> 3)) t(col) LEFT JOIN c USING (col) GROUP BY 1",
+)
+def c08(spark, d):
+    """Rows are added, one becomes the reference, others go, all are turned round: counts are kept up, never counted again."""
+    rows = X.rows(spark, d)
+    lib = _library(spark)
+    id_ = lib.insert_document("some", "Alignment", rows.where("idx between 0 and 9"), 0)
+    lib.column_counts(id_)
+    first = lib.now().document(id_)["files"]["counts"]
+    lib.append_rows(id_, rows.where("idx > 9"))
+    n = lib.document(id_)["n_rows"]
+    lib.set_reference(id_, 5)
+    lib.delete_rows(id_, [i for i in range(n) if i < 5 or i % 7 == 3])
+    left = lib.document(id_)["n_rows"]
+    lib.reorder_rows(id_, list(range(left))[::-1])
+    assert lib.document(id_)["reference"] == left - 1 and lib.now().document(id_)["files"]["counts"] != first
+    return lib.column_counts(id_).drop("doc_id")
+
+
 @query("H41_H42_recomputed_consensus", "SELECT string_agg(b, '' ORDER BY col) AS consensus FROM consensus_cells")
 def h41(spark, d):
     return C.consensus(C.column_counts(X.rows(spark, d), 0)).select("consensus")

@@ -100,3 +100,32 @@ def test_sort_rows_and_tables(spark, tmp_path):
     lib.sort_rows(1, "Name")
     assert [r["name"] for r in lib.load(1)[1].collect()] == ["s2", "s1", "s10"] and lib.document(1)["reference"] == 0
     assert lib.insert_document("e", "Sequences", rows) == 2 and lib.table("rows").count() == 6
+
+
+def test_counts_after_edits_equal_a_recount(spark, tmp_path, monkeypatch):
+    import random
+
+    from colonnade.operators import columns as C
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGTN-") for _ in range(rng.randrange(5, 30))) for _ in range(20)]
+    lib = B.Library(spark, f"file://{tmp_path}/lib")
+    id_ = lib.insert_document("d", "Alignment", rows_of(spark, texts), 3)
+    counted = sorted(map(tuple, lib.column_counts(id_).collect()))
+    calls = []
+    covered = C.covered_counts
+    monkeypatch.setattr(C, "covered_counts", lambda rows: calls.append(rows) or covered(rows))
+    want = lambda: sorted(map(tuple, C.column_counts(lib.load(id_)[1], lib.document(id_)["reference"]).collect()))
+    assert counted == want()
+    longest = max(range(20), key=lambda i: len(texts[i]))
+    changes = [
+        (lambda: lib.delete_rows(id_, [0, 5, 7]), 3), (lambda: lib.set_reference(id_, 4), 2), (lambda: lib.set_reference(id_, None), 1), (lambda: lib.append_rows(id_, rows_of(spark, ["ACGTNNNN-A" * 5, "A"])), 2),
+        (lambda: lib.reorder_rows(id_, list(range(19))[::-1]), 0), (lambda: lib.set_reference(id_, 1), 1), (lambda: lib.delete_rows(id_, [1, 0]), 1), (lambda: lib.sort_rows(id_, "Length", True), 0),
+    ]
+    for act, n in changes:
+        calls.clear()
+        act()
+        assert sum(r.count() for r in calls) == n  # only rows that change are counted
+        assert sorted(map(tuple, lib.column_counts(id_).collect())) == want(), longest
+    lib.replace_rows(id_, rows_of(spark, ["ACG"]), reference=None)
+    assert "counts" not in lib.now().document(id_)["files"] and sorted(map(tuple, lib.column_counts(id_).collect())) == want()
