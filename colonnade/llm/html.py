@@ -5,8 +5,11 @@ Each page is parsed once per pass into a light element tree. The first pass hash
 occurs. Counts are combined before the shuffle and only hashes at or over the threshold are kept. The second pass deletes
 those subtrees, elements whose tag, role, class or id says that they are menus, headers, footers, sidebars, notices,
 adverts, forms or reader comments, and scripts and styles; what remains is the text. If a page has an article or main
-element, text outside it is left out, and inside a class or id counts only if it says nothing else, so that a section named
-"related-work" stays. An article's header stays too, as it has the title.
+element, text outside it is left out. An article's header stays, as it has the title.
+
+A class or id counts only if it says nothing else, so that a section named "related-work" or "side-effects" stays; a few
+words, such as "sidebar", count in any name. It never counts on a heading, nor on an element that holds nearly all of the
+text. Names that articles use too, such as "login" or "related", count in an article only where there is no running text.
 
 An article's own paragraphs are never deleted because they recur: many pages may hold the same passage.
 
@@ -30,8 +33,9 @@ from .common import materialize
 
 # Names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-DROPPED = frozenset("script style noscript template iframe svg math head title nav footer header aside form button select textarea dialog menu input label fieldset option canvas object embed audio video".split())
+RAW = frozenset("script style textarea title template iframe svg xmp noembed noframes".split())
+DROPPED = frozenset("script style template iframe svg head title nav footer header aside form button select textarea dialog menu input fieldset option canvas object embed audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("address article aside blockquote body br_block caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "br_block"}
 CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,100 +48,149 @@ MARKS = frozenset(
     "widgets pagination pager toolbar skip".split()
 )
 BOXES = frozenset("area bar bars block bottom box button buttons center column container content form global inline inner items left link links list main outer page panel primary right row secondary section site slot thread tools top unit wrap wrapper".split())
+# Marks that no other phrase has, and marks that parts of an article may have too.
+PLAIN_MARKS = frozenset("adbox advert adverts advertisement breadcrumb breadcrumbs disqus gdpr masthead navbar pagination sidebar".split())
+WEAK = frozenset("banner header login menu menus modal overlay popup recommended related reply respond side signup skip social toolbar widget widgets".split())
 WORDS = re.compile(r"[^\W_]+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag ends before the next one begins, unless that is in quotes: so an unclosed one is given up after a look at what follows it.
+START = re.compile(r"<([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+END = re.compile(r"</([a-zA-Z][^\s/<>]*+)[^<>]*+>")
 ATTR = re.compile(r"([^\s/>\"'=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|[\"'=/]")
 SPACE = re.compile(r"\s+")
 
 
-def marked(value: str, inside: bool) -> bool:
-    """Whether a class or id says that its element is not the article.
-
-    In an article a name does if all its words are such marks, boxes or numbers; elsewhere one mark is enough.
-    """
+def marks(value: str) -> set[str]:
+    """The marks of a class or id: of names that are all marks, boxes or numbers, and the plain marks of any name."""
+    out: set[str] = set()
     for name in value.lower().split():
         words = WORDS.findall(name)
-        known = [w in MARKS for w in words]
-        if any(known) and (not inside or all(k or w in BOXES or w.isdigit() for w, k in zip(words, known, strict=True))):
-            return True
-    return False
+        found = {w for w in words if w in MARKS}
+        out |= found if found and all(w in MARKS or w in BOXES or w.isdigit() for w in words) else found & PLAIN_MARKS
+    return out
+
+
+MOST = 0.9  # of a page's text: what holds as much is not left out for its name
+RUNNING = 8  # words outside links that make running text
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "template")
+    __slots__ = ("tag", "attrs", "kids", "template", "words", "linked")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids, self.template = tag, attrs, [], False
+        self.tag, self.attrs, self.kids, self.template, self.words, self.linked = tag, attrs, [], False, 0, 0
 
-    def unwanted(self, inside: bool) -> bool:
-        """Whether tag, role or class say that this is not the article; inside: it is in one."""
+    def unwanted(self, inside: bool, whole: int) -> bool:
+        """Whether tag, role or class say that this is not the article; inside: it is in one. whole: words of all that it is part of."""
         if self.template or self.tag in DROPPED and not (inside and self.tag == "header"):
             return True
         if self.attrs and self.tag not in ("html", "body", "article", "main"):
+            found: set[str] = set()
             for m in ATTR.finditer(self.attrs):
                 name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and marked(value, inside):
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
                     return True
+                if name in ("class", "id"):
+                    found |= marks(value)
+            if found and self.tag not in HEADINGS and self.words < MOST * whole:
+                running = self.words - self.linked
+                return not (inside and found <= WEAK and running >= RUNNING and running >= self.linked)
         return False
 
 
+def count_words(root: Node) -> None:
+    """Words of each element, and those in links, but for what has no text of its own."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        link = link or node.tag == "a"
+        stack += [(kid, link) for kid in node.kids if not isinstance(kid, str) and kid.tag not in ("script", "style", "head")]
+    for node, link in reversed(order):
+        own = sum(len(kid.split()) for kid in node.kids if isinstance(kid, str))
+        node.words = own + sum(kid.words for kid in node.kids if not isinstance(kid, str))
+        node.linked = node.words if link or node.tag == "a" else sum(kid.linked for kid in node.kids if not isinstance(kid, str))
+
+
+class Open:
+    """Open elements, with the places of each name and of blocks, so that no end tag looks through all of them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: set[str] | frozenset[str] | tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, i: int) -> None:
+        """End the element at a place and all in it."""
+        for node in self.stack[i:]:
+            self.places[node.tag].pop()
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
+        del self.stack[i:]
+
+
 def tree(page: str) -> Node:
-    """Element tree of a page, with the usual implied end tags."""
+    """Element tree of a page, with the usual implied end tags. A tag that has no end is text."""
     root = Node("#root")
-    stack = [root]
-    at = 0
-    find = TOKEN.search
+    opened, at, text = Open(root), 0, 0
     while True:
-        m = find(page, at)
-        if m is None:
-            if at < len(page):
-                stack[-1].kids.append(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            if text < len(page):
+                opened.stack[-1].kids.append(page[text:])
             return root
-        if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        at, tag, m, raw = start + 1, None, None, None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            at = len(page) if end < 0 else end + 3
+            raw = page[start + 9 : len(page) if end < 0 else end].replace("&", "&amp;")
+        elif page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = len(page) if end < 0 else end + 1
+        else:
+            m = (END if page[at : at + 1] == "/" else START).match(page, start)
+            if m is None:
+                continue
+            tag, at = m[1].lower(), m.end()
+        if start > text:
+            opened.stack[-1].kids.append(page[text:start])
+        text = at
+        if raw is not None:
+            opened.stack[-1].kids.append(raw)
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                # a stray end tag of an inline element does not end blocks
-                if tag not in BLOCK and stack[i].tag in BLOCK and stack[i].tag != "p":
-                    break
+        if page[start + 1] == "/":
+            i = opened.nearest((tag,))
+            # a stray end tag of an inline element does not end blocks
+            if i > 0 and (tag in BLOCK or i > opened.blocks[-1]):
+                opened.close(i)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if tag in CLOSERS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSERS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE[tag]:
-                    break
-        if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
-            stack.pop()
-        node = Node(tag, m[3].rstrip("/") if m[3] else "")
-        stack[-1].kids.append(node)
+        if tag in CLOSES_P and (i := opened.nearest(("p",))) > opened.blocks[-1]:
+            opened.close(i)
+        if tag in CLOSERS and (i := opened.nearest(CLOSERS[tag])) > max(0, opened.nearest(SCOPE[tag])):
+            opened.close(i)
+        if opened.stack[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
+            opened.close(len(opened.stack) - 1)
+        node = Node(tag, m[2].rstrip("/") if m[2] else "")
+        opened.stack[-1].kids.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if tag in ("textarea", "title"):
                 node.kids.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            at = text = end.end() if end else len(page)
             continue
-        stack.append(node)
+        opened.push(node)
 
 
 def candidates(root: Node) -> Iterator[tuple[int, Node]]:
@@ -186,10 +239,11 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
         for node in gone:
             node.template = False
 
+    count_words(root)
     tops, stack = [], [root]
     while stack:
         for kid in reversed(stack.pop().kids):
-            if not isinstance(kid, str) and not kid.unwanted(False):
+            if not isinstance(kid, str) and not kid.unwanted(False, root.words):
                 stack.append(kid)
         while stack and stack[-1].tag in ("article", "main"):
             tops.append(stack.pop())
@@ -218,7 +272,7 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
                 run.append(kid)
             elif kid.tag == "br":
                 run.append(" ")
-            elif not kid.unwanted(bool(tops)):
+            elif not kid.unwanted(bool(tops), top.words):
                 if kid.tag in BLOCK:
                     flush()
                 stack.append((kid, 0))
