@@ -250,11 +250,12 @@ def save_sequence(lib: Library, text: DataFrame, name: str, description: str = "
     problem = typed_summary(text.withColumns({"name": F.lit(name), "edit": F.lit(edit is not None)})).first()["problem"]
     if problem:
         raise ValueError(problem)
-    rows = fasta.pasted_document(fasta.pasted(text), name, description)
+    records = fasta.pasted(text)
+    rows = fasta.pasted_document(records, name, description)
     if edit is not None:
         lib.replace_rows(edit, rows, name=name, description=description)
         return edit
-    kind = R.alignment_kind(rows).first()["kind"]
+    kind = fasta.pasted_kind(records).first()["kind"]
     return lib.insert_document(name, kind, rows, None, description, folder)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -231,10 +230,10 @@ def read_rows(shown: DataFrame, mate: str = "") -> DataFrame:
     return shown.select(F.xxhash64("file").alias("doc_id"), F.col("read_no").cast("int").alias("idx"), "name", "description", start.alias("start"), data.alias("data"), meta.alias("meta"))
 
 
-def reads_done(line: str) -> int | None:
-    """Number in a progress line such as `read 2,000,000 pairs`."""
-    got = re.match(r"\s*read ([0-9,]+) (?:reads|pairs)", line)
-    return int(got[1].replace(",", "")) if got else None
+def reads_done(line: Column) -> Column:
+    """Number in a progress line such as `read 2,000,000 pairs`; null for others."""
+    said = F.regexp_extract(line, "^\\s*read ([0-9,]+) (?:reads|pairs)", 1)
+    return F.when(said != "", F.replace(said, F.lit(","), F.lit("")).cast("long"))
 
 
 def input_stats(rows: DataFrame) -> DataFrame:

@@ -263,14 +263,9 @@ def h04(spark, d):
 
 @query("Q09_jump", "SELECT o_orderkey AS k, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT o_orderkey, CAST(o_orderkey % 977 AS INTEGER) AS a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 50 AS INTEGER) ELSE CAST(o_orderkey % 977 AS INTEGER) END AS b FROM orders)")
 def q09(spark, d):
-    @F.udf("struct<lo:int,hi:int>")
-    def jump(text):
-        got = Q.jump(text)
-        return got and (min(got), max(got))
-
     a = F.col("o_orderkey") % 977
     said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("go "), a, F.lit(" - "), F.col("o_custkey") % 50)).otherwise(F.concat(F.lit(" "), a, F.lit("x")))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), jump(said).alias("j")).select("k", "j.lo", "j.hi")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), Q.jump(said).alias("j")).select("k", F.col("j.a").cast("int").alias("lo"), F.col("j.b").cast("int").alias("hi"))
 
 
 @query("O04_O06_descending", "SELECT key, key = 'Length' AS descending FROM (VALUES ('Name'), ('Length'), ('Identity'), ('Column'), ('Original')) t(key)")
@@ -280,10 +275,9 @@ def o04(spark, d):
 
 @query("X08_reads_done", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey * 1000 END AS done FROM orders")
 def x08(spark, d):
-    done = F.udf(E.reads_done, "long")
     k = F.col("o_orderkey")
     line = F.when(k % 3 == 0, F.concat(F.lit("wrote "), k, F.lit(" reads"))).otherwise(F.concat(F.lit(" read "), F.format_number(k * 1000, 0), F.when(k % 3 == 1, " reads").otherwise(" pairs, so far")))
-    return table(spark, d, "orders").select(k.alias("k"), done(line).alias("done"))
+    return table(spark, d, "orders").select(k.alias("k"), E.reads_done(line).alias("done"))
 
 
 @query("C33_C34_pair_identity", "SELECT idx, count(CASE WHEN r.base = c.base AND r.base <> '-' AND r.base <> 'N' THEN 1 END) AS matches, count(*) AS compared FROM cells c JOIN (SELECT col, base FROM cells WHERE idx = 0) r USING (col) WHERE idx > 0 AND c.base <> 'N' GROUP BY idx")

@@ -31,7 +31,7 @@ def pasted_texts(spark, d):
 
 
 @query(
-    "S04_S06_pasted_records",
+    "S05_pasted_records",
     f"""WITH p AS (SELECT doc_id AS id, text AS body, 1 AS n FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, text, 1 FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'ACG-T', 2 FROM documents WHERE doc_id % 3 <> 0)
     SELECT id, CAST(n AS INTEGER) AS n, {NORM.format('body')} AS seq FROM p WHERE id % 3 <> 0 OR {NORM.format('body')} <> ''""",
 )
@@ -142,7 +142,7 @@ def u08(spark, d):
 
 
 @query(
-    "U08_R06_R08_sample_files",
+    "S18_U08_R06_R08_sample_files",
     READS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY read_no) - 1 AS n FROM reads), f AS (SELECT file, count(*) AS size, sum(count(*)) OVER (ORDER BY file) - count(*) AS first FROM reads GROUP BY file),
     k AS (SELECT i AS number FROM range((SELECT count(*) FROM reads)) t(i) ORDER BY substr(md5('3:' || i), 1, 15), i LIMIT 1000)
     SELECT head, seq, qual FROM k JOIN f ON number >= first AND number < first + size JOIN o ON o.file = f.file AND o.n = number - first""",
@@ -165,7 +165,7 @@ def r06_files(spark, d):
 _WHERE = "CASE n_nationkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' WHEN 2 THEN 'missing' WHEN 3 THEN 'changed' ELSE 'missing' END"
 
 
-@query("R13_R14_R15_R16_R17_R18_J10_moved_files", f"SELECT n_nationkey % 3 AS \"set\", n_nationkey AS idx, {_WHERE} AS state, CASE WHEN n_nationkey % 5 IN (1, 3) THEN 'new' ELSE 'old' END AS folder, n_nationkey % 5 IN (0, 1, 3) AS good FROM nation")
+@query("R13_R14_R15_R16_R17_R18_J10_H20_moved_files", f"SELECT n_nationkey % 3 AS \"set\", n_nationkey AS idx, {_WHERE} AS state, CASE WHEN n_nationkey % 5 IN (1, 3) THEN 'new' ELSE 'old' END AS folder, n_nationkey % 5 IN (0, 1, 3) AS good FROM nation")
 def r13(spark, d):
     """A file a nation: some stay, some move, some are gone, changed, or replaced by another of one size. One is found by hand; those beside it follow."""
     from uuid import uuid4
@@ -317,7 +317,7 @@ _MORE = "".join(next(b for b in "ACGT" if b not in (_REF[_CUT], _REF[_CUT - 1]))
 
 
 @query(
-    "P01_P14_P19_contig",
+    "U01_P01_P14_P19_contig",
     f"""WITH q AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 100 AS INTEGER) AS a, CAST(120 + c_custkey % 100 AS INTEGER) AS n FROM customer),
     c AS (SELECT id, a, n, a + n >= 200 AND a <= 120 AND id % 4 = 0 AS more, list_filter(range(12, n - 12), lambda i: i % 30 = id % 30 AND abs(a + i - {_CUT}) > 14) AS changed FROM q),
     s AS (SELECT *, array_to_string(list_transform(range(n), lambda i: CASE WHEN list_contains(changed, i) THEN translate(substr('{_REF}', CAST(a + i + 1 AS INTEGER), 1), 'ACGT', 'CGTA') ELSE substr('{_REF}', CAST(a + i + 1 AS INTEGER), 1) END), '') AS s FROM c)

@@ -77,6 +77,13 @@ def pasted(texts: DataFrame) -> DataFrame:
     return each.select("id", F.row_number().over(w).alias("n"), F.regexp_extract("head", r"^\S*", 0).alias("name"), F.trim(F.regexp_replace("head", r"^\S*", "")).alias("description"), S.normalize(F.col("body")).alias("seq"), S.unknown_count(F.col("body")).alias("unknown"))
 
 
+def pasted_kind(records: DataFrame) -> DataFrame:
+    """(id, kind) of pasted records by their letters as they are pasted: an alignment if there is a gap, or several have one length."""
+    same = (F.count("*") > 1) & (F.min(F.length("seq")) == F.max(F.length("seq")))
+    gap = F.bool_or(F.contains("seq", F.lit(S.GAP)))
+    return records.groupBy("id").agg(F.when(gap | same, "Alignment").otherwise("Sequences").alias("kind"))
+
+
 def pasted_document(records: DataFrame, name: str, description: str) -> DataFrame:
     """Rows of pasted records: a single one gets the given name; others keep theirs or are `Sequence n`."""
     many = F.count("*").over(Window.partitionBy("id"))

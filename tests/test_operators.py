@@ -157,7 +157,8 @@ def test_serial_annotations(spark):
     assert tuple(Q.not_placed(out).first()) == (1, 4)
     notes = {r["name"]: (r["kind"], r["note"]) for r in Q.serial_annotations(out, t).collect()}
     assert notes == {"Oligo 3": ("Forward primer", "GATTACA"), "p": ("Forward primer", "GATTACA"), "q": ("Reverse primer", "GGTCTAA"), "Oligo 4": ("Forward primer", "ACAGG")}
-    assert Q.jump("12 - 7") == (7, 12) and Q.jump("x") is None
+    jump = lambda t: one(spark, Q.jump(F.lit(t)))
+    assert jump("12 - 7") == (7, 12) and jump("x") is None and jump("go 5") == (5, 5) and jump("1-2-3") == (1, 2)
 
 
 @pytest.mark.parametrize("most", [0, 2, 3])
@@ -283,7 +284,8 @@ def test_read_sets(spark):
     got = {r["name"]: (r["layout"], [f["role"] for f in r["files"]]) for r in E.propose(df).collect()}
     assert got == {"A_S1": ("Paired", ["R1", "R2"] * 2), "SRR1": ("Paired", ["R1", "R2"]), "FAX_pass_ab": ("Single", ["Single"] * 3), "x": ("Single", ["Single"])}
     assert len(E.propose(df, grouping="Separate").collect()) == 7 and E.propose(df, pair=False).where("layout = 'Paired'").count() == 0
-    assert E.common_name(["run_1", "run_2"]) == "run" and E.reads_done("read 2,000,000 pairs") == 2_000_000
+    assert E.common_name(["run_1", "run_2"]) == "run"
+    assert one(spark, E.reads_done(F.lit("read 2,000,000 pairs"))) == 2_000_000 and one(spark, E.reads_done(F.lit("wrote 2 reads"))) is None
 
 
 def test_locations():
