@@ -71,6 +71,11 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hash_bound(share: float) -> int:
+    """The 64-bit hash up to which a share of all hashes is; a share so small that 64 bits do not tell it from none is one hash in all."""
+    return min((1 << 63) - 1, -(1 << 63) + max(0, int(min(1.0, share) * (1 << 64)) - 1))
+
+
 def binaries(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string array; null gives empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import hash_bound, per_text
 
 DIM = 4096
 # Language families by code.
@@ -141,9 +141,9 @@ def fit(docs: DataFrame, per_language: int = 600, languages: int = 200, rows: in
     if not counts:
         return None
     each = min(per_language, max(1, rows // len(counts)))
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, 1.2 * each / n)))))
+    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(hash_bound(1.2 * each / n)).cast("long"))))
     order = F.xxhash64("doc_id", "text", F.lit(11))
-    sample = known.where(F.pmod(order, F.lit(1_000_000)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).withColumn("turn", order)
+    sample = known.where(order <= F.try_element_at(share, F.col("lang"))).withColumn("turn", order)  # null for languages that are not learned
 
     def make():
         def work(texts: list[bytes]) -> list[pa.Array]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, rolling, word_ids
+from .common import hash_bound, per_text, rolling, word_ids
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_marks long, n_distinct long"
@@ -192,8 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     total = known.count()
     if not total:
         return DecisionList([])
-    part = min(1.0, max_rows / total)
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)).groupBy("id").agg(F.min("quality").alias("quality"))
+    chosen = known.where(F.xxhash64("id") <= F.lit(hash_bound(max_rows / total)).cast("long")).groupBy("id").agg(F.min("quality").alias("quality"))
     sample = docs.select(F.col(id_col).alias("id"), F.col("text")).join(F.broadcast(chosen), "id")
     rows = with_statistics(sample, ["id", "quality"]).select("id", "quality", F.struct(*(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items())).alias("x"))
     # of documents with one id the least in its features, so that neither order nor repeats matter
