@@ -116,29 +116,152 @@ class Part:
         i[i == len(self.known)] = 0
         same = self.known[i] == g[at]
         at, i = at[same], i[same]
-        # the postings of every hit
+        # the postings of every hit, EXPANDED at a time: how many of each item's are in each band
         n = self.n[i]
-        total = int(n.sum())
-        if total < int(self.need.min()):
+        if int(n.sum()) < int(self.need.min()):
             return []
-        posting = np.repeat(self.start[i] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        owner, diagonal = self.owner[posting], np.repeat(at, n) - self.place[posting]
-        band = np.floor_divide(diagonal, self.step[owner])
-        shift = np.int64(1 << 32)
-        key = np.concatenate((owner * shift + band, owner * shift + band - 1)) + (shift >> 1)
-        key, count = np.unique(key, return_counts=True)
+        shift, parts = np.int64(1 << 32), []
+        upto = np.cumsum(n)
+        a0 = 0
+        while a0 < len(at):
+            a1 = max(a0 + 1, int(np.searchsorted(upto, (upto[a0 - 1] if a0 else 0) + EXPANDED, "right")))
+            many = n[a0:a1]
+            posting = np.repeat(self.start[i[a0:a1]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            owner, diagonal = self.owner[posting], np.repeat(at[a0:a1], many) - self.place[posting]
+            band = np.floor_divide(diagonal, self.step[owner])
+            parts.append(np.unique(np.concatenate((owner * shift + band, owner * shift + band - 1)) + (shift >> 1), return_counts=True))
+            if len(parts) > 1 and len(parts[-1][0]) >= len(parts[0][0]) // 4:
+                parts = [_added(parts)]
+            a0 = a1
+        key, count = _added(parts)
         owner, band = np.divmod(key, shift)
         band -= shift >> 1
         good = count >= self.need[owner]
+        owner, band = owner[good], band[good]
         best: dict[int, tuple[int, int, int]] = {}
-        for o, b in zip(owner[good].tolist(), band[good].tolist(), strict=True):
-            step, k = int(self.step[o]), int(self.k[o])
-            got = align(self.texts[o], a, b * step, b * step + 2 * step - 1, k)
-            if got is not None and (o not in best or got < best[o]):
-                best[o] = got
+        # alignments of one width go together; regions of equal characters are aligned once
+        known: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
+        for k in np.unique(self.k[owner]).tolist():
+            mine = np.flatnonzero(self.k[owner] == k)
+            width = 2 * (2 * k + 1)
+            for c in range(0, len(mine), TOGETHER):
+                asked, waiting = [], []
+                for o, low in zip(owner[mine[c : c + TOGETHER]].tolist(), (band[mine[c : c + TOGETHER]] * (2 * k + 1)).tolist(), strict=True):
+                    end = low + len(self.texts[o]) + width
+                    name = (o, a[low:end].tobytes()) if low >= 0 and end <= len(a) else None
+                    if name in known:
+                        got = known[name]
+                        got = got and (got[0], got[1] + low, got[2] + low)
+                    elif (got := exact(self.texts[o], a, low, low + width - 1)) is None:
+                        if name is None or name not in (w for w, *_ in waiting[-1:]):
+                            asked.append((o, low))
+                            waiting.append((name, o, low))
+                        continue
+                    if got is not None and (o not in best or got < best[o]):
+                        best[o] = got
+                for (name, o, low), got in zip(waiting, align_many([self.texts[o] for o, _ in asked], a, [low for _, low in asked], width, k), strict=True):
+                    if name is not None:
+                        known[name] = got and (got[0], got[1] - low, got[2] - low)
+                    if got is not None and (o not in best or got < best[o]):
+                        best[o] = got
+                if len(known) > KEPT:
+                    known.clear()
         return [(self.ids[o], *x) for o, x in sorted(best.items())]
 
 
+EXPANDED = 1 << 22  # postings of hits that are looked at together
+TOGETHER = 1024  # regions that are aligned together
+KEPT = 20_000  # alignments of a document that are kept for equal regions
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    if len(parts) == 1:
+        return parts[0]
+    key, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(which, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+
+
+def exact(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(0, start, end) of the first copy of an item on diagonals low..high."""
+    m = len(item)
+    lo, hi = max(0, low), min(len(doc), high + m)
+    inside = doc[lo:hi]
+    if len(inside) >= m:
+        starts = np.flatnonzero((inside[: len(inside) - m + 1] == item[0]) & (inside[m - 1 :] == item[m - 1]))
+        for s in starts.tolist():
+            if np.array_equal(inside[s : s + m], item):
+                return 0, lo + s, lo + s + m
+    return None
+
+
+def align_many(items: list[np.ndarray], doc: np.ndarray, lows: list[int], width: int, k: int) -> list[tuple[int, int, int] | None]:
+    """align() of items on the `width` diagonals from their lows, all at once.
+
+    A row of the arrays is what items with one beginning and one low have in common; it is parted where they differ.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(items)
+    by = sorted(range(len(items)), key=lambda r: (lows[r], items[r].tolist()))
+    if not by:
+        return out
+    sizes, low = np.array([len(items[r]) for r in by]), np.array([lows[r] for r in by], np.int64)
+    longest = int(sizes.max())
+    item = np.zeros((len(by), longest), np.uint32)
+    for r, j in enumerate(by):
+        item[r, : sizes[r]] = items[j]
+    same = (item[1:] == item[:-1]) & (np.arange(longest) < np.minimum(sizes[1:], sizes[:-1])[:, None])
+    common = np.where(low[1:] == low[:-1], np.where(same.all(1), longest, same.argmin(1)), -1)
+    parted = np.append(-1, np.minimum(common, longest - 1))  # the step at which a row leaves the one before it; -1 from the start
+    parted[1:][(common >= 0) & (sizes[1:] == sizes[:-1]) & (common >= sizes[1:])] = longest  # equal items never do
+    first = np.flatnonzero(parted < 0)
+
+    def region(r: np.ndarray) -> np.ndarray:
+        places = low[r][:, None] + np.arange(longest + width + 1)
+        there = (places >= 0) & (places < len(doc)) & (places < low[r][:, None] + longest + width)
+        return np.where(there, doc[np.clip(places, 0, max(0, len(doc) - 1))], 0).astype(np.uint32) if len(doc) else np.zeros(places.shape, np.uint32)
+
+    lane, big = np.arange(width, dtype=np.int32), np.int32(1 << 30)
+    padded = region(first)
+    start = low[first][:, None] + np.arange(width)
+    d = np.where((start < 0) | (start > len(doc)), big, 0).astype(np.int32)
+    dead = np.zeros(len(by), bool)
+    for i in range(longest):
+        new = np.flatnonzero((parted == i) & ~dead)
+        if len(new):
+            both = np.union1d(first, new)
+            source = np.searchsorted(first, both, "right") - 1
+            first, d, start, padded = both, d[source], start[source], padded[source]
+        cost = d + (padded[:, i : i + width] != item[first, i : i + 1])
+        up = np.concatenate((d[:, 1:], np.full((len(d), 1), big, np.int32)), 1) + 1  # a character of the item is missing
+        better = up < cost
+        begin = np.where(better, np.concatenate((start[:, 1:], np.zeros((len(d), 1), np.int64)), 1), start)
+        cost = np.where(better, up, cost)
+        # extra characters of the document
+        run = np.minimum.accumulate(cost - lane, 1)
+        extra = (run + lane < cost).any(1)
+        if extra.any():
+            source = np.maximum.accumulate(np.where(cost - lane == run, lane, 0), 1)
+            begin = np.where(extra[:, None], np.take_along_axis(begin, source.astype(np.int64), 1), begin)
+            cost = np.where(extra[:, None], run + lane, cost)
+        d, start = cost.astype(np.int32), begin
+        for r in np.flatnonzero((sizes == i + 1) & ~dead).tolist():
+            g = int(np.searchsorted(first, r, "right")) - 1
+            t = int(np.argmin(d[g]))
+            if d[g, t] <= k:
+                out[by[r]] = int(d[g, t]), max(0, int(start[g, t])), min(len(doc), int(sizes[r] + low[r] + t))
+        if i % 32 == 31 and len(first):
+            gone = d.min(1) > k
+            if gone.any():
+                ends = np.append(first[1:], len(by))
+                for g in np.flatnonzero(gone).tolist():
+                    dead[first[g] : ends[g]] = True
+                # rows of a group that has gone are dead, so what is left keeps its places
+                first, d, start, padded = first[~gone], d[~gone], start[~gone], padded[~gone]
+                if not len(first):
+                    break
+    return out
+
+
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best region of doc whose alignment with item stays on diagonals low..high, if within k."""
     m, width = len(item), high - low + 1
