@@ -44,6 +44,14 @@ def target_folder(selected: Column, own: Column) -> Column:
 
 # ---- typed sequences -------------------------------------------------------------------------------------------------
 SHOWN = 6
+# What is said of a typed text that cannot be stored; %s is a name, %d a number.
+TYPED = {
+    "none": "Type or paste a sequence.",
+    "bare": "The record has no sequence yet.",
+    "one": "“%s” has no sequence.",
+    "many": "%d records found: this document holds one sequence. Use File → New sequence… to create a sequence list.",
+    "name": "Enter a name.",
+}
 
 
 def typed_summary(texts: DataFrame) -> DataFrame:
@@ -73,17 +81,19 @@ def typed_summary(texts: DataFrame) -> DataFrame:
     more = F.when(F.col("n") > SHOWN, F.array(F.concat(F.lit("… "), F.col("n") - SHOWN, F.lit(" more")))).otherwise(F.array().cast("array<string>"))
     listing = F.when(F.col("n") > 1, F.concat(F.transform("lines", lambda x: x["said"]), more)).otherwise(F.array().cast("array<string>"))
     note = F.when(F.col("unknown") > 0, F.concat(digits(F.col("unknown")), F.lit(" character(s) that are not nucleotide codes will be stored as N.")))
-    problem = (
-        F.when(F.col("n") == 0, "Type or paste a sequence.")
-        .when(F.col("empty").isNotNull() & (F.col("n") == 1), "The record has no sequence yet.")
-        .when(F.col("empty").isNotNull(), F.concat(F.lit("“"), F.col("empty.called"), F.lit("” has no sequence.")))
-        .when(F.col("edit") & (F.col("n") > 1), F.concat(F.col("n"), F.lit(" records found: this document holds one sequence. Use File → New sequence… to create a sequence list.")))
-        .when(F.trim(F.coalesce("name", F.lit(""))) == "", "Enter a name.")
-    )
+    several, bare, edit = F.col("n") > 1, F.col("empty").isNotNull(), F.coalesce("edit", F.lit(False))
+    nameless = F.trim(F.coalesce("name", F.lit(""))) == ""
+    # no two of these conditions hold together
+    cases = {
+        "name": ((F.col("n") > 0) & ~bare & ~(edit & several) & nameless, []), "one": (several & bare, [F.col("empty.called")]), "many": (several & ~bare & edit, [F.col("n")]),
+        "bare": (~several & bare, []), "none": (F.col("n") == 0, []),
+    }
+    problem = F.coalesce(*(F.when(when, F.format_string(TYPED[k], *values) if values else F.lit(TYPED[k])) for k, (when, values) in cases.items()))
     all_ = texts.select("id", "name", "edit").join(got, "id", "left").join(gapped, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return all_.select("id", "n", F.when(F.col("n") == 0, "").when(F.col("n") == 1, single).otherwise(many).alias("summary"), note.alias("note"), F.coalesce(listing, F.array().cast("array<string>")).alias("listing"), problem.alias("problem"))
 
 
+# The texts of the results below are fixed values: they are what a user of the tool knows.
 # ---- feature records -------------------------------------------------------------------------------------------------
 def feature_target(records: DataFrame, target: DataFrame, by: str = "path") -> DataFrame:
     """The record whose features fit a sequence: for each row of target (by, label, seq) version, differences, problem.
@@ -165,6 +175,7 @@ def run_records(rows: DataFrame, chosen: DataFrame, c0: int, c1: int, only: Data
     return wide.select("doc_id", "idx", "name", F.lit("").alias("description"), R.slice_text(F.lit(0), F.col("width"), S.GAP).alias("text"))
 
 
+# The fields of a report and their texts, in run_report().
 TITLE = "PRIMER SEARCH RUN"
 
 

@@ -653,7 +653,7 @@ def meta_from_json(text: Column) -> Column:
 
 
 def position_note(tracks: DataFrame, width: int, one: str = "annotation") -> DataFrame:
-    """(n, note): what tracks (end) do when their sequence is edited and becomes `width` long."""
+    """(n, note): what tracks (end) do when their sequence is edited and becomes `width` long. The sentences are fixed values."""
     n, gone = F.col("n"), F.col("gone")
     has = F.when(n == 1, f"1 {one}; its position is").otherwise(F.concat(n, F.lit(f" {one}s; their positions are")))
     who = F.when(n == 1, "It extends").when(gone == 1, "1 of them extends").otherwise(F.concat(gone, F.lit(" of them extend")))
