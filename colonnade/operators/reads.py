@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import sequence as S
 from . import rows as R
 
@@ -90,11 +91,13 @@ def parsed_names(paths: DataFrame) -> DataFrame:
     last = F.element_at("tokens", -1)
     prefix = F.expr("left(stem, length(stem) - length(element_at(tokens, -1)))")
     plain = F.col("mate").isNull() & (F.size("tokens") > 1)
-    w = Window.partitionBy("dir", prefix, plain)
-    endings = F.array_sort(F.collect_set(F.when(last.rlike("^[0-9]+$"), last)).over(w))
-    numbered = plain & (endings == F.array(F.lit("1"), F.lit("2"))) & last.isin("1", "2")
-    each = each.withColumn("numbered", numbered)
-    return each.withColumns({"mate": F.when(F.col("numbered"), F.concat(F.lit("R"), last)).otherwise(F.col("mate")), "mate_at": F.when(F.col("numbered"), F.size("tokens") - 1).otherwise(F.col("mate_at"))}).drop("numbered")
+    each = each.withColumns({"plain": plain, "prefix": prefix, "last": last})
+    # a group's endings are told apart by bounded sums; its mates alone are looked up, since a prefix may have any number of files
+    ends = each.where(F.col("plain") & F.col("last").rlike("^[0-9]+$")).groupBy("dir", "prefix").agg(F.bool_and(F.col("last").isin("1", "2")).alias("only"), F.bool_or(F.col("last") == "1").alias("one"), F.bool_or(F.col("last") == "2").alias("two"))
+    mates = ends.where("only and one and two").select("dir", "prefix", F.lit(True).alias("plain"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("last"), F.lit(True).alias("numbered"))
+    each = each.join(mates, ["dir", "prefix", "plain", "last"], "left").withColumn("numbered", F.col("numbered").isNotNull())
+    last = F.col("last")
+    return each.withColumns({"mate": F.when(F.col("numbered"), F.concat(F.lit("R"), last)).otherwise(F.col("mate")), "mate_at": F.when(F.col("numbered"), F.size("tokens") - 1).otherwise(F.col("mate_at"))}).select("path", "dir", "stem", "tokens", "mate_at", "mate")
 
 
 def _separators() -> Column:
@@ -108,14 +111,15 @@ def sample_name() -> Column:
     nano = F.exists("tokens", lambda t: t.isin("pass", "fail", "runid"))
     last_text = F.array_max(F.transform("tokens", lambda t, i: F.when((i == 0) | ~number(t), i).otherwise(-1)))
     after = F.try_element_at("tokens", F.col("mate_at") + 2)
+    chunk = F.coalesce(number(after) & (F.length(after) == 3), F.lit(False))
 
-    def keep(z: Column, i: Column) -> Column:
-        t = z["t"]
-        gone = F.coalesce(i == F.col("mate_at"), F.lit(False)) | F.coalesce((i == F.col("mate_at") + 1) & number(after) & (F.length(after) == 3), F.lit(False))
-        return ~(gone | t.rlike("^L[0-9]{3}$") | (nano & (i > last_text)))
+    def keep(z: Column, i: Column, of: Column) -> Column:
+        gone = F.coalesce(i == F.col("mate_at"), F.lit(False)) | F.coalesce((i == F.col("mate_at") + 1) & of["chunk"], F.lit(False))
+        return ~(gone | z["t"].rlike("^L[0-9]{3}$") | (of["nano"] & (i > of["last_text"])))
 
     pairs = F.arrays_zip(F.col("tokens").alias("t"), _separators().alias("s"))
-    kept = F.filter(pairs, keep)
+    # what is known of the whole name is computed once, not for each token
+    kept = N.let(F.struct(nano.alias("nano"), last_text.alias("last_text"), chunk.alias("chunk")), lambda of: F.filter(pairs, lambda z, i: keep(z, i, of)))
     name = F.array_join(F.transform(kept, lambda z, i: F.when(i == 0, z["t"]).otherwise(F.concat(z["s"], z["t"]))), "")
     return F.when(name == "", F.col("stem")).otherwise(name)
 
@@ -142,7 +146,7 @@ def propose(paths: DataFrame, pair: bool = True, grouping: str = "BySample") ->
     each = each.withColumns({"sample": sample_name(), "key": mate_key()})
     group = {"BySample": F.col("sample"), "Separate": F.col("key"), "Together": F.lit("")}[grouping]
     each = each.withColumns({"group": group, "folder": F.lit("") if grouping == "Together" else F.col("dir")})
-    lanes = each.groupBy("folder", "group", "key").agg(F.count("*").alias("n"), F.count_if(F.col("mate") == "R1").alias("r1"), F.count_if(F.col("mate") == "R2").alias("r2"), F.min(F.struct("mate", "path")).alias("one"), F.max(F.struct("mate", "path")).alias("two"), F.array_sort(F.collect_list("path")).alias("paths"), F.min("sample").alias("name"), F.collect_list("sample").alias("names"))
+    lanes = each.groupBy("folder", "group", "key").agg(F.count("*").alias("n"), F.count_if(F.col("mate") == "R1").alias("r1"), F.count_if(F.col("mate") == "R2").alias("r2"), F.min(F.struct("mate", "path")).alias("one"), F.max(F.struct("mate", "path")).alias("two"), F.array_sort(F.collect_list("path")).alias("paths"), F.min("sample").alias("name"))
     sets = lanes.groupBy("folder", "group").agg((F.lit(pair) & F.bool_and((F.col("r1") == 1) & (F.col("r2") == 1) & (F.col("n") == 2))).alias("paired"), F.array_sort(F.collect_list(F.struct("key", "one", "two"))).alias("pairs"), F.array_sort(F.flatten(F.collect_list("paths"))).alias("paths"), F.min("name").alias("name"))
     file = lambda p, role: F.struct(p.alias("path"), F.lit(role).alias("role"))
     files = F.when(F.col("paired"), F.flatten(F.transform("pairs", lambda p: F.array(file(p["one"]["path"], "R1"), file(p["two"]["path"], "R2"))))).otherwise(F.transform("paths", lambda p: file(p, "Single")))

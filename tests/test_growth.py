@@ -55,3 +55,12 @@ def test_melting_range_is_dealt_over_tasks(spark, tmp_path):
     pairs = seqs.where("s = 'AAAAAAAA'").select(N.dinucleotides(F.col("s"), "AA").alias("n")).first()["n"]
     assert pairs == 7
     assert seqs.where("s = 'ACGTRACGTY'").select(F.size(S.expand(F.col("s"))).alias("n")).first()["n"] == 4
+
+
+def test_one_prefix_with_many_files(spark):
+    """Endings of a prefix are not gathered beside each of its files."""
+    paths = [f"/d/FAX_pass_x_{i}.fastq" for i in range(500)] + ["/d/S_1.fq", "/d/S_2.fq", "/d/T_1.fq", "/d/U_1.fq", "/d/U_2.fq", "/d/U_3.fq"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert "Window" not in plan(E.propose(df))
+    got = {r["name"]: (r["layout"], len(r["files"])) for r in E.propose(df).collect()}
+    assert got["FAX_pass_x"] == ("Single", 500) and got["S"] == ("Paired", 2) and got["T_1"] == ("Single", 1) and got["U_1"] == ("Single", 1)
