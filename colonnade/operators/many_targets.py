@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence as S
-from ..sources.shared import materialized
+from ..sources.shared import materialized, spread
 from . import mapper as M
 from . import words as D
 
@@ -65,7 +65,8 @@ def map_to_many(queries: DataFrame, targets: DataFrame, p: M.Params) -> DataFram
     """
     k = min(max(p.word, 6), 31)
     index = D.WordTable(targets, k, most=p.repeats)
-    queries = queries.where(F.length("seq") > 0).select("id", "seq")
+    # as a table dealt evenly: lookups, chains and alignments all read it
+    queries = materialized(spread(queries.where(F.length("seq") > 0).select("id", "seq"), "id", share=M.QUERIES), "queries")
     strands = queries.select(F.struct("id", F.lit(False).alias("reverse")).alias("id"), "seq")
     if p.both_strands:
         strands = strands.union(queries.select(F.struct("id", F.lit(True).alias("reverse")), S.revcomp(F.col("seq"))))

@@ -15,7 +15,7 @@ from ..operators import mapper as M
 from ..operators import reads as E
 from ..operators import rows as R
 from ..sources import fasta, genbank
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, spread
 from . import fixtures as X
 from .queries import NORM, docs, table
 from .registry import query
@@ -55,7 +55,7 @@ READS_SQL = f"WITH reads AS (SELECT c_custkey AS read_no, {_FILE} AS file, {_REA
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("read_no"))
+    c = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("read_no")), "read_no")
     n = F.col("read_no")
     length = (10 + n % 50).cast("int")
     seq = F.translate(F.substring(F.concat(F.md5(n.cast("string")), F.md5(F.concat(F.lit("x"), n))), F.lit(1), length), "0123456789abcdef", "ACGTACGTACGTNNU-")
@@ -223,7 +223,7 @@ def flat_file(k, seq):
 
 
 def records(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    c = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
     seq = F.translate(F.substring(F.concat(F.md5(F.col("k").cast("string")), F.md5(F.col("k").cast("string"))), 1, 40), "0123456789abcdef", "ACGT" * 4)
     return genbank.records(c.select(F.col("k").cast("string").alias("path"), flat_file(F.col("k"), seq).alias("value")))
 
@@ -287,6 +287,12 @@ _GENOME = "translate(array_to_string(list_transform(range(20), lambda i: md5('g'
 _TURNED = "translate(reverse(s), 'ACGT', 'TGCA')"
 
 
+def _complemented(text, places):
+    """A text with the letters at some places, counted from 0, replaced."""
+    letter = lambda s, i: F.translate(F.substring(s, i + 1, F.lit(1)), "ACGT", "CGTA")
+    return F.aggregate(places, text, lambda s, i: F.overlay(s, letter(s, i), i + 1))
+
+
 @query(
     "P02_P03_P04_map_to_many",
     f"""WITH g AS (SELECT n_nationkey AS target, {_GENOME} AS genome FROM nation),
@@ -301,11 +307,11 @@ def p03(spark, d):
     bases = F.translate(digits(F.col("n_nationkey")), "0123456789abcdef", "ACGTACGTACGTACGT")
     genomes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), bases.alias("seq"))
     c = F.col("c_custkey")
-    cut = table(spark, d, "customer").select(c.alias("id"), F.col("c_nationkey").alias("n"), (c * 37 % 400).cast("int").alias("a"), (60 + c % 150).cast("int").alias("size"))
+    cut = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(c.alias("id"), F.col("c_nationkey").alias("n"), (c * 37 % 400).cast("int").alias("a"), (60 + c % 150).cast("int").alias("size"))
     own = cut.join(genomes.select(F.col("id").alias("n"), "seq"), "n").select("id", F.substring("seq", F.col("a") + 1, F.col("size")).alias("s"))
-    letter = lambda i: F.substring("s", i + 1, F.lit(1))
-    changed = F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda i: F.when((i >= 12) & (i < F.length("s") - 12) & (i % 30 == F.col("id") % 30), F.translate(letter(i), "ACGT", "CGTA")).otherwise(letter(i)))
-    text = F.array_join(changed, "")
+    changed = _complemented(F.col("s"), F.sequence(12 + F.pmod(F.col("id") - 12, F.lit(30)).cast("int"), F.length("s") - 13, F.lit(30)))
+    own = own.select("id", changed.alias("text"))
+    text = F.col("text")
     queries = own.select("id", F.when(F.col("id") % 3 == 0, S.revcomp(text)).otherwise(text).alias("seq"))
     found = many_targets.map_to_many(queries, genomes, M.Params.preset("Highest", min_aligned=20))
     return found.select("id", "target", "t_start", "reverse", "aligned", "matches", "mismatches", "gaps")
@@ -327,10 +333,9 @@ _MORE = "".join(next(b for b in "ACGT" if b not in (_REF[_CUT], _REF[_CUT - 1]))
 def p14(spark, d):
     """Pieces of one reference with changed and inserted bases, mapped with all rounds: rows of the contig, insertions in columns of their own."""
     c = F.col("c_custkey")
-    q = table(spark, d, "customer").select(c.alias("id"), (c * 37 % 100).cast("int").alias("a"), (120 + c % 100).cast("int").alias("n"))
-    base = lambda i: F.substring(F.lit(_REF), F.col("a") + i + 1, F.lit(1))
-    turned = lambda i: (i >= 12) & (i < F.col("n") - 12) & (i % 30 == F.col("id") % 30) & (F.abs(F.col("a") + i - _CUT) > 14)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(turned(i), F.translate(base(i), "ACGT", "CGTA")).otherwise(base(i))), "")
+    q = spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(c.alias("id"), (c * 37 % 100).cast("int").alias("a"), (120 + c % 100).cast("int").alias("n"))
+    changed = F.filter(F.sequence(12 + F.pmod(F.col("id") - 12, F.lit(30)).cast("int"), F.col("n") - 13, F.lit(30)), lambda i: F.abs(F.col("a") + i - _CUT) > 14)
+    text = _complemented(F.substring(F.lit(_REF), F.col("a") + 1, F.col("n")), changed)
     at = _CUT - F.col("a")
     more = (F.col("a") + F.col("n") >= 200) & (F.col("a") <= 120) & (F.col("id") % 4 == 0)
     text = F.when(more, F.concat(F.substring(text, F.lit(1), at), F.lit(_MORE), F.substring(text, at + 1, F.col("n")))).otherwise(text)

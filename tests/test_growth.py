@@ -122,6 +122,12 @@ def test_windows_are_filtered_before_they_are_records(spark):
     assert "sequence(0, (length(bases" not in "".join(x for x in plan(got).splitlines() if "Generate explode(sequence" in x)
 
 
+def test_queries_of_customers_are_dealt_over_tasks(spark, tmp_path):
+    small(spark, tmp_path / "customer.parquet", 25_000, c_custkey="id")
+    assert more_queries.reads(spark, str(tmp_path)).rdd.getNumPartitions() > 2 and more_queries.records(spark, str(tmp_path)).rdd.getNumPartitions() > 2
+    assert queries.f03(spark, str(tmp_path)).rdd.getNumPartitions() > 2
+
+
 def test_features_keep_their_order(spark):
     part = F.array(F.struct((F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 10).cast("int").alias("end")))
     got = A.ordered_features(spark.range(1, 6).select((F.col("id") % 2).alias("doc_id"), "id", part.alias("parts")))
