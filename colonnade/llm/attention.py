@@ -8,12 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 
 
+def summed(x: np.ndarray) -> np.ndarray:
+    """Sums over a short last axis, which a product with ones gives faster."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
 @dataclass(frozen=True)
 class Net:
     """Predicts one of `classes` from up to 2 * block inputs before it; an input is the sum of two rows of a table.
 
     Sequences are cut into blocks. Each block is predicted once, with the block before it as context: windows of two blocks
-    that overlap by one.
+    that overlap by one. A class is predicted in two steps, first the run of about sqrt(classes) classes that it is in.
     """
 
     inputs: int
@@ -24,7 +29,15 @@ class Net:
     @property
     def shapes(self) -> dict[str, tuple[int, ...]]:
         w, b = self.width, self.block
-        return {"e": (self.inputs, w), "q": (w, w), "k": (w, w), "v": (w, w), "b": (b, 2 * b), "o": (w, self.classes), "c": (self.classes,)}
+        return {"e": (self.inputs, w), "q": (w, w), "k": (w, w), "v": (w, w), "b": (b, 2 * b), "o": (w, self.classes), "c": (self.classes,), "r": (w, self.runs), "d": (self.runs,)}
+
+    @property
+    def run(self) -> int:
+        return math.isqrt(self.classes - 1) + 1
+
+    @property
+    def runs(self) -> int:
+        return -(-self.classes // self.run)
 
     @property
     def size(self) -> int:
@@ -50,7 +63,9 @@ class Net:
         w = self.unpack(flat)
         w["b"][:] = 0
         w["o"] *= 0.3
+        w["r"] *= 0.3
         w["c"][:] = np.log(np.maximum(share, 1e-9))
+        w["d"][:] = np.log(np.maximum(np.add.reduceat(share, np.arange(0, self.classes, self.run)), 1e-9))
         return flat
 
     def blocks(self, n: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -68,90 +83,114 @@ class Net:
         follows[first[per > 0]] = False
         return *(x.reshape(-1, self.block) for x in out), counts.reshape(-1, self.block), follows
 
-    def forward(self, w: dict[str, np.ndarray], now: np.ndarray, before: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Batched masked attention of the inputs of blocks over those of the blocks before them and their own."""
-        q = now @ (w["q"] * np.float32(self.width**-0.5))
-        both = np.concatenate((before, now), 1)
-        k, v = both @ w["k"], both @ w["v"]
+    def forward(self, w: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, a: int, b: int, follows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Batched masked attention of the inputs of the blocks from a to b over those of the blocks before them and their own."""
+        n, size = b - a, self.block
+        rows = [np.concatenate((x[max(a - 1, 0)], x[a:b].reshape(-1))) for x in (one, two)]
+        x = w["e"].take(rows[0], 0)
+        x += w["e"].take(rows[1], 0)
+        now = x[size:]
+        q = (now @ (w["q"] * w["q"].dtype.type(self.width**-0.5))).reshape(n, size, -1)
+        k, v = ((x @ w[name]).reshape(n + 1, size, -1) for name in "kv")
+        k, v = (np.concatenate((y[:-1], y[1:]), 1) for y in (k, v))
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += w["b"] + self.future
-        s[~follows, :, : self.block] = -1e4
+        s[~follows[a:b], :, :size] = -1e4
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return s, q, k, v, both, np.tanh(now + np.matmul(s, v))
+        s /= summed(s)[:, :, None]
+        h = np.matmul(s, v).reshape(-1, self.width)
+        h += now
+        return s, q, k, v, rows, x, np.tanh(h, out=h)
+
+    def steps(self, w: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
+        """(shares, which is right, weights, biases, places) of the run of each class and, run by run, of the class in its run; classes are in the order of their runs."""
+        run = cls // self.run
+        bounds = np.searchsorted(run, np.arange(self.runs + 1))
+        for at, right, o, c in [(slice(0, len(cls)), run, (w["r"], "r"), (w["d"], "d")), *((slice(x, y), cls[x:y] - i * self.run, (w["o"], "o"), (w["c"], "c")) for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if x < y)]:
+            own = slice(None) if o[1] == "r" else slice((first := int(cls[at.start]) // self.run * self.run), first + self.run)
+            p = h[at] @ o[0][:, own]
+            p += c[0][own]
+            if len(p) and (p.max() > 60 or p.min() < -60):
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= summed(p)[:, None]
+            yield p, right, o[1], c[1], own, at
 
     def gradient(self, flat: np.ndarray, data: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss on the blocks `at`, and its gradient."""
+        """Mean loss on consecutive blocks `at`, and its gradient."""
         one, two, target, counts, follows = data
+        a, b, size = int(at[0]), int(at[-1]) + 1, self.block
         w = self.unpack(flat)
-        rows = np.stack((one[at], two[at], one[at - 1], two[at - 1]))
-        x = w["e"][rows]
-        s, q, k, v, both, h = self.forward(w, x[0] + x[1], x[2] + x[3], follows[at])
+        s, q, k, v, rows, x, h = self.forward(w, one, two, a, b, follows)
         flat_g = np.zeros_like(flat)
         g = self.unpack(flat_g)
-        p = h @ w["o"] + w["c"]
-        p -= p.max(2, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(2, keepdims=True)
-        ok, cls = counts[at], target[at]
-        n = max(1, int(ok.sum()))
-        i, j = np.nonzero(ok)
-        loss = -float(np.log(np.maximum(p[i, j, cls[i, j]], 1e-20)).sum()) / n
-        p[i, j, cls[i, j]] -= 1
-        p *= (ok / n).astype(flat.dtype)[:, :, None]
-        flat_p = p.reshape(-1, self.classes)
-        g["o"][:] = h.reshape(-1, self.width).T @ flat_p
-        g["c"][:] = flat_p.sum(0)
-        dx = (flat_p @ w["o"].T).reshape(h.shape) * (1 - h * h)
-        ds = np.matmul(dx, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dx).reshape(-1, self.width)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        cls = target[a:b].reshape(-1)
+        by = np.flatnonzero(counts[a:b].reshape(-1))
+        by = by[np.argsort((cls[by] // self.run).astype(np.uint16), kind="stable")]
+        cls, some, n = cls[by], h[by], max(1, len(by))
+        d_some, loss = np.zeros_like(some), 0.0
+        for p, right, o, c, own, at_ in self.steps(w, some, cls):
+            i = np.arange(len(p))
+            loss -= float(np.log(np.maximum(p[i, right], 1e-20)).sum()) / n
+            p[i, right] -= 1
+            p *= flat.dtype.type(1 / n)
+            g[o][:, own] = some[at_].T @ p
+            g[c][own] = p.sum(0)
+            d_some[at_] += p @ w[o][:, own].T
+        dx = np.zeros_like(h)
+        dx[by] = d_some
+        dx *= 1 - h * h
+        each = dx.reshape(b - a, size, -1)
+        ds = np.matmul(each, v.transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
+        ds *= s
         g["b"][:] = ds.sum(0)
-        scale = flat.dtype.type(self.width**-0.5)
-        dq = np.matmul(ds, k).reshape(-1, self.width) * scale
-        dk = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, self.width)
-        now = (x[0] + x[1]).reshape(-1, self.width)
-        seen = both.reshape(-1, self.width)
-        g["q"][:], g["k"][:], g["v"][:] = now.T @ dq, seen.T @ dk, seen.T @ dv
-        d_both = (dk @ w["k"].T + dv @ w["v"].T).reshape(both.shape)
-        d_now = d_both[:, self.block :] + dx + (dq @ w["q"].T).reshape(dx.shape)
-        d_rows = np.stack((d_now, d_now, d_both[:, : self.block], d_both[:, : self.block]))
-        cells = (rows.reshape(-1, 1) * self.width + np.arange(self.width)).ravel()
-        np.add.at(flat_g[: self.inputs * self.width], cells, d_rows.reshape(-1))
+        dq = np.matmul(ds, k).reshape(-1, self.width) * flat.dtype.type(self.width**-0.5)
+        g["q"][:] = x[size:].T @ dq
+        d = np.zeros_like(x)
+        d[size:] = dx + dq @ w["q"].T
+        for name, both in (("k", np.matmul(ds.transpose(0, 2, 1), q)), ("v", np.matmul(s.transpose(0, 2, 1), each))):
+            own = np.zeros((b - a + 1, size, self.width), flat.dtype)
+            own[:-1] = both[:, :size]
+            own[1:] += both[:, size:]
+            own = own.reshape(-1, self.width)
+            g[name][:] = x.T @ own
+            d += own @ w[name].T
+        for i, column in enumerate(np.ascontiguousarray(d.T)):
+            g["e"][:, i] = sum(np.bincount(r, column, self.inputs) for r in rows)
         return loss, flat_g
 
-    def train(self, flat: np.ndarray, data: tuple[np.ndarray, ...], rate: float, seed: int, passes: float = 1.0, batch: int = 96) -> tuple[np.ndarray, float]:
-        """Adam over all blocks in a random order, passes times; (weights, mean loss of the last fifth)."""
+    def train(self, flat: np.ndarray, data: tuple[np.ndarray, ...], rate: float, seed: int, passes: float = 1.0, batch: int = 192) -> tuple[np.ndarray, float]:
+        """Adam over all blocks, passes times, in runs of `batch` in a random order; sequences should lie in one. (Weights, mean loss of the last fifth.)"""
         many = len(data[0])
-        steps = max(1, round(passes * many / batch))
+        runs = -(-many // batch)
+        steps = max(runs, round(passes * runs))
         rng, flat = np.random.default_rng(seed), flat.copy()
-        order = np.concatenate([rng.permutation(many) for _ in range(math.ceil(steps * batch / many))])
+        order = np.concatenate([rng.permutation(runs) for _ in range(-(-steps // runs))]) * batch
         m, v, losses = np.zeros_like(flat), np.zeros_like(flat), []
         for t in range(1, steps + 1):
-            loss, g = self.gradient(flat, data, order[(t - 1) * batch : t * batch])
+            a = int(order[t - 1])
+            loss, g = self.gradient(flat, data, np.arange(a, min(a + batch, many)))
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             flat -= np.float32(rate * (1 - 0.8 * t / steps)) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
             losses.append(loss)
         return flat, float(np.mean(losses[-max(1, steps // 5) :]))
 
-    def log10(self, flat: np.ndarray, data: tuple[np.ndarray, ...], step: int = 48) -> np.ndarray:
+    def log10(self, flat: np.ndarray, data: tuple[np.ndarray, ...], step: int = 128) -> np.ndarray:
         """log10 probability of each target, in order."""
         one, two, target, counts, follows = data
         w = self.unpack(flat)
-        out = np.empty(target.shape, np.float32)
+        out = np.zeros(target.shape, np.float32)
         for a in range(0, len(one), step):
             b = min(a + step, len(one))
-            from_ = max(a - 1, 0)
-            x = w["e"][one[from_:b]]
-            x += w["e"][two[from_:b]]
-            now = x[a - from_ :]
-            before = x[:-1] if from_ < a else np.concatenate((np.zeros_like(x[:1]), x[:-1]))
-            p = (self.forward(w, now, before, follows[a:b])[5].reshape(-1, self.width) @ w["o"]) + w["c"]
-            if p.max() > 60:
-                p -= p.max(1, keepdims=True)
-            picked = np.take_along_axis(p, target[a:b].reshape(-1, 1), 1)[:, 0]
-            np.exp(p, out=p)
-            out[a:b] = (picked - np.log(p.sum(1))).reshape(b - a, -1)
+            h = self.forward(w, one, two, a, b, follows)[-1]
+            cls = target[a:b].reshape(-1)
+            by = np.flatnonzero(counts[a:b].reshape(-1))
+            by = by[np.argsort((cls[by] // self.run).astype(np.uint16), kind="stable")]
+            each = np.zeros(len(by), np.float32)
+            for p, right, *_, at in self.steps(w, h[by], cls[by]):
+                each[at] += np.log(np.maximum(p[np.arange(len(p)), right], 1e-30))
+            out[a:b].reshape(-1)[by] = each
         return out[counts] / np.float32(math.log(10))

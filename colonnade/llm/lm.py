@@ -3,18 +3,17 @@
 A text is its words (A-Z lower-cased) and an end. A word is the ids of its pieces in a public subword vocabulary. The
 probability of a word is that of its class, by an attention model over the pieces of the words before it, times that of the
 word in its class. Frequent words are classes of their own; the others are grouped by which frequent words their pieces are
-seen with. Within a class, corpus counts are mixed with the probability that a second attention model gives to the word's
+seen beside. Within a class, corpus counts are mixed with the probability that a second attention model gives to the word's
 spelling, piece by piece: the spelling has the weight of as many counts as the class has different words.
 
 A text is scored in windows of two blocks: the words of the second block are scored, each once, with those of the first and
 those before them in the second as context. The spelling of a known word is scored once in the corpus, not in each text.
 
 Counts cover all words of all training documents, joined on a 64-bit hash of the word; of them only a bounded table of
-frequent words is broadcast. Every training document gives every SHARE-th of its segments of SEGMENT words, chosen by hash,
-to train the first model, and every SHARE-th different word trains the second: a full pass would take about four times
-the CPU seconds of scoring. Both start from weights trained on a sample of about WARM segments and words; then shards of
-all chosen segments are trained in parallel and their weights averaged. Shards hold segments by hash, and sums are of whole
-numbers, so neither the order of rows nor of tasks matters but for rounding.
+frequent words is broadcast. All segments of SEGMENT words of all training documents train the first model, and all different
+words the second, each once: shards of them are trained in parallel and their weights averaged. They start from weights that
+about WARM of the segments and words have trained before. Shards hold segments by hash, and sums are of whole numbers, so
+neither the order of rows nor of tasks matters but for rounding.
 
 Defined results: null or empty text is one end; without training documents all counts are 0 and both models have the weights
 they start from; equal rows get equal results; ids may repeat or be null.
@@ -36,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .attention import Net
-from .common import discard, materialize, text_bytes, word_hashes
+from .common import discard, materialize, small_batches, text_bytes, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SHARE = 16
 SEGMENT = 64
 WARM = 4096
-SHARD = 4096  # segments, or words, that a task trains on
+SHARD = 16384  # segments, or words by four, that a task trains on
+CODED = np.dtype([("one", "<u2"), ("two", "<u2"), ("cls", "u1")])  # a place of a segment: rows of the word before it, class
 ROWS = 1024  # input rows: frequent pieces have their own, others share 64
 TOP = 63  # frequent words that are classes
 GROUPS = 64
@@ -97,9 +96,9 @@ class Pieces:
 
 
 class Texts:
-    """The words of some texts: numbers into their different words, of which hash and pieces are known."""
+    """The words of some texts: numbers into their different words, of which the hash is known."""
 
-    def __init__(self, texts: pa.Array, pieces: Pieces) -> None:
+    def __init__(self, texts: pa.Array) -> None:
         data, bounds = text_bytes(texts)
         hashes, at, start, end, a = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while a < len(texts):  # powers of the hash are kept for short runs of bytes only
@@ -112,15 +111,12 @@ class Texts:
             a = b
         self.at = np.concatenate(at)
         self.hash, first, self.words = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        start, end = np.concatenate(start)[first], np.concatenate(end)[first]
-        raw = memoryview(data)
-        self.ids, self.sizes = pieces.of(self.hash, lambda new: [bytes(raw[x:y]) for x, y in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-        self.first = np.cumsum(self.sizes) - self.sizes
+        self.start, self.end, self.raw = np.concatenate(start)[first], np.concatenate(end)[first], memoryview(data)
 
-    def pieces(self, words: np.ndarray) -> np.ndarray:
-        """Ids of the pieces of words given by number."""
-        n = self.sizes[words]
-        return self.ids[np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    def cut(self, some: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of words given by number, and how many each has."""
+        start, end = self.start[some], self.end[some]
+        return pieces.of(self.hash[some], lambda new: [bytes(self.raw[x:y]) for x, y in zip(start[new].tolist(), end[new].tolist(), strict=True)])
 
 
 def chunks(array: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -132,42 +128,58 @@ def chunks(array: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         a = b
 
 
-def gathered(docs: DataFrame, path: str, text: str, parts: int) -> DataFrame:
-    """Blocks of words by ranges of their hash, with counts and pieces (kind 0), and training segments (kind 1), as a table."""
+def gathered(docs: DataFrame, path: str, text: str, parts: int, salt: Column | None = None) -> DataFrame:
+    """Runs of texts as their different words, with pieces, and the numbers of these words at each place, as a table. Segments of texts with one salt keep together."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
+        for batch in batches:
+            for a, some in chunks(batch.column(0)):
+                t = Texts(some)
+                ids, sizes = t.cut(np.arange(len(t.hash)), pieces)
+                kind = np.uint16 if len(t.hash) <= 1 << 16 else np.uint32
+                salts = batch.column(1)[a : a + len(some)].to_numpy(zero_copy_only=False)
+                row = (t.hash, sizes.astype(np.uint32), ids.astype(np.uint16), t.words.astype(kind), t.at, salts)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=RUN)
 
-        def rows(kind: int, part: list[int], *columns: list[np.ndarray]) -> pa.RecordBatch:
-            arrays = [pa.array([x.tobytes() for x in c], pa.binary()) for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int64()), *arrays], names=["kind", "part", "words", "n", "sizes", "ids"])
+    return materialize(docs.select(text, F.lit(0).cast("long") if salt is None else salt).mapInArrow(run, ", ".join(f"{x} binary" for x in RUN)), "gathered")
+
+
+RUN = ["hash", "sizes", "ids", "numbers", "at", "salt"]
+
+
+@dataclass
+class Run:
+    """A row of gathered()."""
+
+    hash: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+    numbers: np.ndarray
+    at: np.ndarray
+    salt: np.ndarray
 
-        for batch in batches:
-            for _, some in chunks(batch.column(0)):
-                t = Texts(some, pieces)
-                if len(t.hash):  # np.unique sorts, so ranges lie one after another
-                    n = np.bincount(t.words, minlength=len(t.hash))
-                    of = ((t.hash >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                    yield rows(0, of[cuts].tolist(), np.split(t.hash, cuts[1:]), np.split(n.astype(np.int64), cuts[1:]), np.split(t.sizes.astype(np.uint32), cuts[1:]), np.split(t.ids.astype(np.uint16), t.first[cuts[1:]]))
-                out = [], [], [], [], []
-                for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True):
-                    for i in range(a, b + 1, SEGMENT):  # the last segment ends with the end of the text
-                        own = t.words[i : min(i + SEGMENT, b)]
-                        key = int(mixed(t.hash[own]).sum() + np.uint64(i - a)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-                        if key >> 32 & SHARE - 1 == 0:
-                            own = t.words[max(i - 1, a) : min(i + SEGMENT, b)]
-                            kind = (i > a) + 2 * (i + SEGMENT > b)  # whether a word comes before it; whether it has the end
-                            for x, y in zip(out, (key - (1 << 63), t.hash[own], np.array([kind]), t.sizes[own].astype(np.uint32), t.pieces(own).astype(np.uint16)), strict=True):
-                                x.append(y)
-                if out[0]:
-                    yield rows(1, *out)
-
-    return materialize(docs.select(text).mapInArrow(run, "kind int, part long, words binary, n binary, sizes binary, ids binary"), "gathered")
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    for batch in batches:
+        for i in range(len(batch)):
+            h, sizes, ids, numbers, at, salt = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, (np.uint64, np.uint32, np.uint16, np.uint8, np.int64, np.int64), strict=True))
+            yield Run(h, sizes, ids, numbers.view(np.uint16 if len(h) <= 1 << 16 else np.uint32), at, salt)
 
 
 def counted(got: DataFrame, parts: int) -> DataFrame:
-    """(word, n, ids) of all different words of the blocks, as a table."""
+    """(word, n, ids) of all different words of the runs, as a table."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in runs(batches):
+            if len(r.hash):  # np.unique sorts, so ranges lie one after another
+                n = np.bincount(r.numbers, minlength=len(r.hash))
+                of = ((r.hash >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                first = np.cumsum(r.sizes, dtype=np.int64) - r.sizes
+                columns = np.split(r.hash, cuts[1:]), np.split(n.astype(np.int64), cuts[1:]), np.split(r.sizes, cuts[1:]), np.split(r.ids, first[cuts[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array(of[cuts]), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns)], names=["part", "words", "n", "sizes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -197,7 +209,7 @@ def counted(got: DataFrame, parts: int) -> DataFrame:
                 held.append(row)
         yield from settle()
 
-    rows = got.where("kind = 0").select("part", "words", "n", "sizes", "ids").repartition(parts, "part").sortWithinPartitions("part")
+    rows = got.mapInArrow(cut_up, "part long, words binary, n binary, sizes binary, ids binary").repartition(parts, "part").sortWithinPartitions("part")
     return materialize(rows.mapInArrow(run, "word long, n long, ids binary"), "counts")
 
 
@@ -207,28 +219,48 @@ def spelled(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[bounds[0] : bounds[-1]].tobytes(), np.uint16).astype(np.int64), np.diff(bounds) // 2
 
 
-class Segments:
-    """Training segments of rows of kind 1: sequences of words and, as the last of some, the end."""
-
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]) -> None:
-        self.hash = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]).view(np.int64)
-        kind = np.array([np.frombuffer(r[1], np.int64)[0] for r in rows])
-        self.before, self.ends = kind % 2 == 1, kind >= 2
-        self.sizes = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
-        self.ids = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
-        self.n = np.array([len(r[0]) // 8 for r in rows])
-
-    def blocks(self, codes: Codes) -> tuple[np.ndarray, ...]:
-        cls, first, last = codes(self.hash, self.ids, self.sizes)
-        one, two, target, n, a = [], [], [], [], 0
-        for many, before, ends in zip(self.n.tolist(), self.before.tolist(), self.ends.tolist(), strict=True):
-            b = a + many
-            for x, y in ((one, first), (two, last)):
-                x.append(y[a : b if ends else b - 1] if before else np.append(ROWS, y[a : b if ends else b - 1]))
-            target.append(np.append(cls[a + before : b], [0] * ends))
-            n.append(len(target[-1]))
-            a = b
-        return WORDS.blocks(np.array(n), np.concatenate(one), np.concatenate(two), np.concatenate(target))
+def coded(batches: Iterator[pa.RecordBatch], codes: Codes, most: int) -> Iterator[pa.RecordBatch]:
+    """(key, data) of the training segments whose key, a hash, is at most `most`: data has a CODED value for each word and, in the last of a text, the end."""
+    for r in runs(batches):
+        many = np.diff(r.at) + 1
+        begin = np.cumsum(many) - many
+        words = np.full(int(many.sum()), -1, np.int64)  # -1 is the end of a text, and what is before its first word
+        inner = np.ones(len(words), bool)
+        inner[begin + many - 1] = False
+        words[inner] = r.numbers
+        per = -(-many // SEGMENT)
+        of = np.repeat(np.arange(len(many)), per)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+        start = begin[of] + within * SEGMENT
+        n = np.diff(np.append(start, len(words)))
+        key = np.add.reduceat(np.append(mixed(r.hash), np.uint64(0))[words], start) if len(start) else np.zeros(0, np.uint64)
+        key = mixed(mixed(key + within.astype(np.uint64)) ^ r.salt.view(np.uint64)[of])
+        key = (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        before = np.append(-1, words[:-1])
+        if most < (1 << 63) - 1:
+            chosen = key <= most
+            here = np.repeat(chosen, n)
+            words, before, n, key = words[here], before[here], n[chosen], key[chosen]
+        if not len(key):
+            continue
+        used = np.zeros(len(r.hash) + 1, bool)
+        used[words] = used[before] = True
+        some = np.flatnonzero(used[:-1])
+        sizes = r.sizes.astype(np.int64)
+        size = sizes[some]
+        ids = r.ids[np.repeat((np.cumsum(sizes) - sizes)[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].astype(np.int64)
+        cls, one, two = (np.full(len(used), x, kind) for x, kind in ((0, np.uint8), (ROWS, np.uint16), (ROWS, np.uint16)))
+        cls[some], one[some], two[some] = codes(r.hash[some].view(np.int64), ids, size)
+        data = np.empty(len(words), CODED)
+        data["one"], data["two"], data["cls"] = one[before], two[before], cls[words]
+        ends = np.append(0, np.cumsum(n) * CODED.itemsize).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])], names=["key", "data"])
+
+
+def _word_blocks(data: pa.Array, *_) -> tuple[np.ndarray, ...]:
+    raw, bounds = text_bytes(data)
+    got = np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), CODED)
+    return WORDS.blocks(np.diff(bounds) // CODED.itemsize, got["one"], got["two"], got["cls"])
 
 
 @dataclass
@@ -270,7 +302,7 @@ class Codes:
 
 
 def codes(pieces: np.ndarray, types: int, top: np.ndarray, seen: np.ndarray) -> Codes:
-    """From how many different words have each piece, the frequent words, and how often pieces and frequent words are in one segment."""
+    """From how many different words have each piece, the frequent words, and how often pieces are before and after frequent words."""
     rank = np.empty(len(pieces), np.int64)
     rank[np.argsort(-pieces, kind="stable")] = np.arange(len(pieces))
     row = np.where(rank < ROWS - 64, rank, ROWS - 64 + rank % 64)
@@ -302,6 +334,7 @@ def codes(pieces: np.ndarray, types: int, top: np.ndarray, seen: np.ndarray) ->
             centers = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1)[:, None], centers)
     else:
         centers = rng.normal(0, 1, (GROUPS, space.shape[1]))
+    centers = centers[np.argsort(centers[:, 0], kind="stable")]  # alike classes are neighbours
     return Codes(row, top, space.astype(np.float32), centers.astype(np.float32), piece_class, share)
 
 
@@ -343,32 +376,30 @@ class Model:
         return np.add.reduceat(each, np.append(0, ends[:-1] + 1))
 
 
-def averaged(net: Net, flat: np.ndarray, rows: DataFrame, order: list[str], shards: int, blocks, sent, rate: float) -> np.ndarray:
-    """Weights trained on shards of rows in parallel from common weights, averaged by the shards' blocks in whole numbers."""
+def averaged(net: Net, flat: np.ndarray, rows: DataFrame, shards: int, blocks, sent, rate: float) -> np.ndarray:
+    """Weights trained on shards of rows of two columns in parallel from common weights, averaged by the shards' blocks in whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if rows:
-            data = blocks(rows, sent.value)
-            got, _ = net.train(flat, data, rate, len(rows))
+        held = list(batches)
+        if sum(map(len, held)):
+            data = blocks(*(pa.concat_arrays([b.column(i) for b in held]) for i in (1, 0)), sent)
+            held.clear()
+            got, _ = net.train(flat, data, rate, len(data[0]))
             n = np.full(net.size, len(data[0]), np.int64)
             whole = np.round(got.astype(np.float64) * (1 << 24)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(net.size, dtype=np.int32)), pa.array(whole * n), pa.array(n)], names=["i", "w", "n"])
 
-    parts = rows.repartition(shards, *order).sortWithinPartitions(*order).mapInArrow(run, "i int, w long, n long")
+    key = rows.columns[0]
+    parts = rows.repartition(shards, key).sortWithinPartitions(*rows.columns).mapInArrow(run, "i int, w long, n long")
     got = parts.groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("w"), F.sum("n").alias("n")).select("i", (F.col("w").cast("double") / F.col("n")).alias("w")).toPandas()
     out = flat.copy()
     out[got["i"].to_numpy()] = got["w"].to_numpy() / (1 << 24)
     return out
 
 
-def _word_blocks(rows: list[tuple], codes: Codes) -> tuple[np.ndarray, ...]:
-    return Segments([r[1:] for r in rows]).blocks(codes)
-
-
-def _spelling_blocks(rows: list[tuple], codes: Codes) -> tuple[np.ndarray, ...]:
-    ids, sizes = spelled(pa.array([r[1] for r in rows], pa.binary()))
-    return codes.spelling(codes(np.array([r[0] for r in rows], np.int64), ids, sizes)[0], ids, sizes)[:5]
+def _spelling_blocks(pieces: pa.Array, words: pa.Array, sent) -> tuple[np.ndarray, ...]:
+    ids, sizes = spelled(pieces)
+    return sent.value.spelling(sent.value(words.to_numpy(), ids, sizes)[0], ids, sizes)[:5]
 
 
 def fit(got: DataFrame, counts: DataFrame, n_docs: int, path: str, warm: int = WARM) -> Model:
@@ -387,23 +418,27 @@ def fit(got: DataFrame, counts: DataFrame, n_docs: int, path: str, warm: int = W
         pieces[r["i"]] = r["n"]
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((size, max(1, len(top))), np.float32)
+        sides = 2 * max(1, len(top))
+        seen = np.zeros(size * sides, np.int64)
         by = np.argsort(top)
-        for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for a in range(0, len(rows), 256):
-                s = Segments(rows[a : a + 256])
-                of = np.repeat(np.arange(len(s.n)), s.n)
-                place = np.minimum(np.searchsorted(top[by], s.hash), len(top) - 1)
-                hit = top[by][place] == s.hash
-                tops = np.bincount(of[hit] * len(top) + by[place[hit]], minlength=len(s.n) * len(top)).reshape(len(s.n), -1).astype(np.float32)
-                known, which = np.unique(s.ids, return_inverse=True)
-                there = np.bincount(which * len(s.n) + np.repeat(of, s.sizes), minlength=len(known) * len(s.n)).reshape(len(known), -1).astype(np.float32)
-                seen[known] += there @ tops
+        for r in runs(batches):
+            if not len(r.hash):
+                continue
+            h = r.hash.view(np.int64)
+            place = np.minimum(np.searchsorted(top[by], h), len(top) - 1)
+            kind = np.append(np.where(top[by][place] == h, by[place], -1), -1)[r.numbers]
+            first = np.zeros(len(r.numbers) + 1, bool)
+            first[r.at] = True
+            sizes = r.sizes.astype(np.int64)
+            begin = np.cumsum(sizes) - sizes
+            # pieces of the words after (side 0) and before (side 1) a frequent one
+            for side, at, near in ((0, np.flatnonzero((kind[:-1] >= 0) & ~first[1:-1]) + 1, -1), (1, np.flatnonzero((kind[1:] >= 0) & ~first[1:-1]), 1)):
+                n = sizes[r.numbers[at]]
+                ids = r.ids[np.repeat(begin[r.numbers[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+                np.add.at(seen, ids * sides + np.repeat(kind[at + near], n) * 2 + side, 1)
+        seen = seen.reshape(size, sides)
         used = np.flatnonzero(seen.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.astype(np.int64).tobytes() for x in seen[used]], pa.binary())], names=["i", "n"])
-
-    segments = got.where("kind = 1").select("part", "words", "n", "sizes", "ids")
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in seen[used]], pa.binary())], names=["i", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -412,11 +447,12 @@ def fit(got: DataFrame, counts: DataFrame, n_docs: int, path: str, warm: int = W
                 sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["i", "n"])
 
-    seen = np.zeros((size, max(1, len(top))))
+    seen = np.zeros((size, 2 * max(1, len(top))))
     if len(top):
-        for r in segments.select("words", "n", "sizes", "ids").mapInArrow(together, "i int, n binary").repartition(8, "i").mapInArrow(add, "i int, n binary").collect():  # a row a piece
+        for r in got.mapInArrow(together, "i int, n binary").repartition(8, "i").mapInArrow(add, "i int, n binary").collect():  # a row a piece
             seen[r["i"]] = np.frombuffer(r["n"], np.int64)
-    types, many = counts.count(), segments.count()
+    types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    many = tokens // SEGMENT + n_docs  # segments, a little more than there are
     code = codes(pieces, types, top, seen)
     sent = spark.sparkContext.broadcast(code)
 
@@ -434,44 +470,45 @@ def fit(got: DataFrame, counts: DataFrame, n_docs: int, path: str, warm: int = W
     n[0] = n_docs
     words = WORDS.initial((n + 1.0) / (n.sum() + CLASSES))
     spelling = SPELLING.initial(np.bincount(code.piece_class, np.append(pieces, types) + 1.0, PIECE_CLASSES) / (pieces.sum() + types + size + 1.0))
-    different = counts.where(F.pmod(F.xxhash64("word"), F.lit(SHARE)) == 0).select("word", "ids")
+    different = counts.select("word", "ids")
     # about as many rows as are wanted, by hash, so that what reaches the driver stays bounded
-    low = lambda rows, key, all_: rows.where(key <= F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * warm // max(1, all_)))).collect()
-    first = sorted(low(segments, F.col("part"), many))
-    if first:
-        words, _ = WORDS.train(words, _word_blocks(first, code), 0.02, 1, min(1.0, 4096 / len(first)) * 3)
-    first = sorted(low(different, F.xxhash64(F.lit(1), "word"), types // SHARE))
-    if first:
-        spelling, _ = SPELLING.train(spelling, _spelling_blocks(first, code), 0.02, 1, 6)
+    below = lambda all_: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * warm // max(1, all_))
+    segments = lambda most: got.mapInArrow(lambda batches: coded(batches, sent.value, most), "key long, data binary")
+    first = segments(below(many)).toArrow().sort_by([("key", "ascending"), ("data", "ascending")])
+    if len(first):
+        words, _ = WORDS.train(words, _word_blocks(first["data"].combine_chunks()), 0.02, 1, min(1.0, 4096 / len(first)) * 3)
+    first = different.where(F.xxhash64(F.lit(1), "word") <= F.lit(below(types))).toArrow().sort_by("word")
+    if len(first):
+        spelling, _ = SPELLING.train(spelling, _spelling_blocks(first["ids"].combine_chunks(), first["word"].combine_chunks(), sent), 0.02, 1, 6)
     if many:
-        words = averaged(WORDS, words, segments, ["part", "words"], -(-many // SHARD), _word_blocks, sent, 0.006)
+        words = averaged(WORDS, words, segments((1 << 63) - 1), -(-many // SHARD), _word_blocks, sent, 0.006)
     if types:
-        spelling = averaged(SPELLING, spelling, different, ["word"], -(-types // (SHARE * SHARD * 4)), _spelling_blocks, sent, 0.006)
+        spelling = averaged(SPELLING, spelling, different, -(-types // (SHARD * 4)), _spelling_blocks, sent, 0.006)
     return Model(code, words, spelling, n, kinds)
 
 
 def probable(counts: DataFrame, model: Model) -> DataFrame:
-    """(word, n, p): p is the log10 probability of a known word in its class, as a table."""
+    """(word, n, p, cls, one, two): p is the log10 probability of a known word in its class; what the word is to the models. As a table."""
     sent = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             ids, sizes = spelled(batch.column(2))
-            cls = model.codes(batch.column(0).to_numpy(), ids, sizes)[0]
+            cls, one, two = model.codes(batch.column(0).to_numpy(), ids, sizes)
             p = model.in_class(cls, batch.column(1).to_numpy(), model.spell(cls, ids, sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["word", "n", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), *(pa.array(x.astype(np.int16)) for x in (cls, one, two))], names=["word", "n", "p", "cls", "one", "two"])
 
-    return materialize(counts.mapInArrow(run, "word long, n long, p double"), "words")
+    return materialize(counts.mapInArrow(run, "word long, n long, p double, cls short, one short, two short"), "words")
 
 
 def score_texts(docs: DataFrame, held_out: Column, path: str = VOCABULARY, hot: int = 400_000, id_col: str = "doc_id", text: str = "text", warm: int = WARM) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; the rest is learned from."""
     spark = docs.sparkSession
-    learn = docs.where(~held_out).select(text)
+    learn = docs.where(~held_out)
     n_docs = learn.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // 8000)
-    got = gathered(learn, path, text, parts)
+    got = gathered(learn, path, text, parts, F.xxhash64(id_col))
     counts = counted(got, parts)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
@@ -486,20 +523,26 @@ def score_texts(docs: DataFrame, held_out: Column, path: str = VOCABULARY, hot:
             break
         over, least = over + many, n
     frequent = words.where(F.col("n") >= least).toPandas().sort_values("word")
-    sent = spark.sparkContext.broadcast((model, *(frequent[c].to_numpy() for c in ("word", "n", "p")), n_docs))
+    sent = spark.sparkContext.broadcast((model, *(frequent[c].to_numpy() for c in ("word", "n", "p", "cls", "one", "two")), n_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, n_known, p_known, n_docs = sent.value
+        model, known, n_known, p_known, *coded_known, n_docs = sent.value
         pieces, row = Pieces(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, some in chunks(batch.column(2)):
-                t, m = Texts(some, pieces), len(some)
+                t, m = Texts(some), len(some)
                 h = t.hash.view(np.int64)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 there = known[at] == h if len(known) else np.zeros(len(h), bool)
                 n = np.where(there, n_known[at], 0) if len(known) else np.zeros(len(h))
                 p = np.where(there, p_known[at], 0.0) if len(known) else np.zeros(len(h))
-                cls, first, last = model.codes(h, t.ids, t.sizes)
+                rare = np.flatnonzero(~there)  # of the others the table says what they are to the model
+                ids, sizes = t.cut(rare, pieces)
+                cls, first, last = (x[at].astype(np.int64) if len(known) else np.zeros(len(h), np.int64) for x in coded_known)
+                cls[rare], first[rare], last[rare] = model.codes(h[rare], ids, sizes)
+                begin = np.zeros(len(h) + 1, np.int64)
+                begin[rare + 1] = sizes
+                begin = np.cumsum(begin)
                 of = np.repeat(np.arange(m), np.diff(t.at))
                 base = np.bincount(of, np.log10(n + 1.0)[t.words], m) + math.log10(n_docs + 1)
                 score = np.bincount(of, p[t.words], m) + model.context(t, cls, first, last)
@@ -510,7 +553,7 @@ def score_texts(docs: DataFrame, held_out: Column, path: str = VOCABULARY, hot:
                 doc, word = np.divmod(pair, max(1, len(h)))
                 ends = np.append(0, np.cumsum(np.bincount(doc, minlength=m))).astype(np.int32)
                 held = np.array(batch.column(1)[a : a + m].to_pylist(), bool)[doc]
-                spelling = [t.ids[t.first[w] : t.first[w] + t.sizes[w]].astype(np.uint16).tobytes() if x else None for w, x in zip(word.tolist(), held.tolist(), strict=True)]
+                spelling = [ids[begin[w] : begin[w + 1]].astype(np.uint16).tobytes() if x else None for w, x in zip(word.tolist(), held.tolist(), strict=True)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(h[word]), pa.array(times.astype(np.int64)), pa.array(spelling, pa.binary()))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a : a + m], batch.column(1)[a : a + m], pa.array(np.arange(row, row + m)), pa.array(np.diff(t.at) + 1), pa.array(found), pa.array(base), pa.array(score), *lists],
