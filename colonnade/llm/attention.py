@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -18,7 +19,7 @@ class Net:
     """Predicts one of `classes` from up to 2 * block inputs before it; an input is the sum of two rows of a table.
 
     Sequences are cut into blocks. Each block is predicted once, with the block before it as context: windows of two blocks
-    that overlap by one. A class is predicted in two steps, first the run of about sqrt(classes) classes that it is in.
+    that overlap by one. A class is predicted in two steps, first the run of about 2 * sqrt(classes) classes that it is in.
     """
 
     inputs: int
@@ -31,11 +32,11 @@ class Net:
         w, b = self.width, self.block
         return {"e": (self.inputs, w), "q": (w, w), "k": (w, w), "v": (w, w), "b": (b, 2 * b), "o": (w, self.classes), "c": (self.classes,), "r": (w, self.runs), "d": (self.runs,)}
 
-    @property
+    @cached_property
     def run(self) -> int:
-        return math.isqrt(self.classes - 1) + 1
+        return -(-self.classes // (math.isqrt((self.classes - 1) // 4) + 1))
 
-    @property
+    @cached_property
     def runs(self) -> int:
         return -(-self.classes // self.run)
 
@@ -43,7 +44,7 @@ class Net:
     def size(self) -> int:
         return sum(math.prod(s) for s in self.shapes.values())
 
-    @property
+    @cached_property
     def future(self) -> np.ndarray:
         """What must not be seen, as a large negative number."""
         b = self.block
@@ -84,82 +85,108 @@ class Net:
         return *(x.reshape(-1, self.block) for x in out), counts.reshape(-1, self.block), follows
 
     def forward(self, w: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, a: int, b: int, follows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Batched masked attention of the inputs of the blocks from a to b over those of the blocks before them and their own."""
-        n, size = b - a, self.block
-        rows = [np.concatenate((x[max(a - 1, 0)], x[a:b].reshape(-1))) for x in (one, two)]
+        """Batched masked attention of the inputs of the blocks from a to b over those of the blocks before them and their own.
+
+        Attention weights are not divided by their sums; what they gather is.
+        """
+        n, size, width = b - a, self.block, self.width
+        rows = [x[a - 1 : b].reshape(-1) if a else np.concatenate((x[0], x[:b].reshape(-1))) for x in (one, two)]
         x = w["e"].take(rows[0], 0)
         x += w["e"].take(rows[1], 0)
         now = x[size:]
-        q = (now @ (w["q"] * w["q"].dtype.type(self.width**-0.5))).reshape(n, size, -1)
-        k, v = ((x @ w[name]).reshape(n + 1, size, -1) for name in "kv")
-        k, v = (np.concatenate((y[:-1], y[1:]), 1) for y in (k, v))
+        q = (now @ (w["q"] * w["q"].dtype.type(width**-0.5))).reshape(n, size, width)
+        kv = x @ np.concatenate((w["k"], w["v"]), 1)
+        kv = np.lib.stride_tricks.as_strided(kv, (n, 2 * size, 2 * width), (size * kv.strides[0], *kv.strides), writeable=False)  # windows overlap
+        k, v = kv[:, :, :width], kv[:, :, width:]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += w["b"] + self.future
         s[~follows[a:b], :, :size] = -1e4
-        np.minimum(s, 60, out=s)
+        if s.max() > 60:
+            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s /= summed(s)[:, :, None]
-        h = np.matmul(s, v).reshape(-1, self.width)
-        h += now
-        return s, q, k, v, rows, x, np.tanh(h, out=h)
+        z = summed(s).reshape(-1, 1)
+        z += z.dtype.type(1e-30)
+        seen = np.matmul(s, v).reshape(-1, width)
+        seen /= z
+        h = seen + now
+        h /= 1 + np.abs(h)  # like tanh, but cheaper
+        return s, z, q, k, v, rows, x, seen, h
+
+    def choice(self, h: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places that count, in the order of the runs of their classes; their outputs, with a 1 for the biases; their classes."""
+        cls, counts = target.reshape(-1), counts.reshape(-1)
+        by = np.argsort(np.where(counts, cls // self.run, self.runs).astype(np.uint16), kind="stable")[: np.count_nonzero(counts)]
+        some = np.ones((len(by), self.width + 1), h.dtype)
+        some[:, : self.width] = h.take(by, 0)
+        return by, some, cls.take(by)
 
     def steps(self, w: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
-        """(shares, which is right, weights, biases, places) of the run of each class and, run by run, of the class in its run; classes are in the order of their runs."""
-        run = cls // self.run
-        bounds = np.searchsorted(run, np.arange(self.runs + 1))
-        for at, right, o, c in [(slice(0, len(cls)), run, (w["r"], "r"), (w["d"], "d")), *((slice(x, y), cls[x:y] - i * self.run, (w["o"], "o"), (w["c"], "c")) for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if x < y)]:
-            own = slice(None) if o[1] == "r" else slice((first := int(cls[at.start]) // self.run * self.run), first + self.run)
-            p = h[at] @ o[0][:, own]
-            p += c[0][own]
-            if len(p) and (p.max() > 60 or p.min() < -60):
-                p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= summed(p)[:, None]
-            yield p, right, o[1], c[1], own, at
+        """(shares, places of what is right in them, weights with biases, their columns, rows) of the run of each class and, run by run, of the class in its run."""
+        run, size = cls // self.run, self.run
+        bounds = np.searchsorted(run, np.arange(self.runs + 1)).tolist()
+        both = [np.concatenate((w[o], w[c][None])) for o, c in ("rd", "oc")]
+        large = max(np.abs(x).sum(0).max() for x in both) > 60  # outputs are between -1 and 1
+        for i, (x, y) in enumerate([(0, len(cls)), *zip(bounds[:-1], bounds[1:], strict=True)]):
+            if x < y:
+                own = slice((i - 1) * size, min(i * size, self.classes)) if i else slice(None)
+                weights = both[min(i, 1)][:, own]
+                p = h[x:y] @ weights
+                if large:
+                    p -= p.max(1, keepdims=True)
+                np.exp(p, out=p)
+                p /= summed(p)[:, None]
+                yield p.reshape(-1), np.arange(0, p.size, p.shape[1]) + (cls[x:y] - own.start if i else run), weights, ("o", "c") if i else ("r", "d"), own, slice(x, y)
 
     def gradient(self, flat: np.ndarray, data: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss on consecutive blocks `at`, and its gradient."""
         one, two, target, counts, follows = data
-        a, b, size = int(at[0]), int(at[-1]) + 1, self.block
+        a, b, size, width = int(at[0]), int(at[-1]) + 1, self.block, self.width
         w = self.unpack(flat)
-        s, q, k, v, rows, x, h = self.forward(w, one, two, a, b, follows)
+        s, z, q, k, v, rows, x, seen, h = self.forward(w, one, two, a, b, follows)
         flat_g = np.zeros_like(flat)
         g = self.unpack(flat_g)
-        cls = target[a:b].reshape(-1)
-        by = np.flatnonzero(counts[a:b].reshape(-1))
-        by = by[np.argsort((cls[by] // self.run).astype(np.uint16), kind="stable")]
-        cls, some, n = cls[by], h[by], max(1, len(by))
-        d_some, loss = np.zeros_like(some), 0.0
-        for p, right, o, c, own, at_ in self.steps(w, some, cls):
-            i = np.arange(len(p))
-            loss -= float(np.log(np.maximum(p[i, right], 1e-20)).sum()) / n
-            p[i, right] -= 1
-            p *= flat.dtype.type(1 / n)
-            g[o][:, own] = some[at_].T @ p
-            g[c][own] = p.sum(0)
-            d_some[at_] += p @ w[o][:, own].T
-        dx = np.zeros_like(h)
-        dx[by] = d_some
-        dx *= 1 - h * h
-        each = dx.reshape(b - a, size, -1)
+        by, some, cls = self.choice(h, target[a:b], counts[a:b])
+        n = len(by)
+        d_some, said = np.zeros((n + 1, width), flat.dtype), np.ones(n)  # the last row is of places that do not count
+        for p, right, weights, (o, c), own, at_ in self.steps(w, some, cls):
+            said[at_] *= p[right]
+            p[right] -= 1
+            p = p.reshape(len(right), -1)
+            both = some[at_].T @ p
+            g[o][:, own], g[c][own] = both[:-1], both[-1]
+            d_some[at_] += p @ weights[:-1].T
+        place = np.full(len(h), n)
+        place[by] = np.arange(n)
+        dx = d_some.take(place, 0)
+        h = 1 - np.abs(h)
+        dx *= h
+        dx *= h
+        inner = summed(dx * seen).reshape(-1, 1)
+        inner /= z
+        each = (dx / z).reshape(b - a, size, width)
         ds = np.matmul(each, v.transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
+        ds -= inner.reshape(b - a, size, 1)
         ds *= s
-        g["b"][:] = ds.sum(0)
-        dq = np.matmul(ds, k).reshape(-1, self.width) * flat.dtype.type(self.width**-0.5)
+        g["b"].reshape(-1)[:] = np.ones(b - a, ds.dtype) @ ds.reshape(b - a, -1)
+        dq = np.matmul(ds, k).reshape(-1, width)
+        dq *= flat.dtype.type(width**-0.5)
         g["q"][:] = x[size:].T @ dq
-        d = np.zeros_like(x)
-        d[size:] = dx + dq @ w["q"].T
-        for name, both in (("k", np.matmul(ds.transpose(0, 2, 1), q)), ("v", np.matmul(s.transpose(0, 2, 1), each))):
-            own = np.zeros((b - a + 1, size, self.width), flat.dtype)
-            own[:-1] = both[:, :size]
-            own[1:] += both[:, size:]
-            own = own.reshape(-1, self.width)
-            g[name][:] = x.T @ own
-            d += own @ w[name].T
-        for i, column in enumerate(np.ascontiguousarray(d.T)):
-            g["e"][:, i] = sum(np.bincount(r, column, self.inputs) for r in rows)
-        return loss, flat_g
+        both = np.empty((b - a, 2 * size, 2 * width), flat.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, :width])
+        np.matmul(s.transpose(0, 2, 1), each, out=both[:, :, width:])
+        own = np.zeros((b - a + 1, size, 2 * width), flat.dtype)
+        own[:-1] = both[:, :size]
+        own[1:] += both[:, size:]
+        own = own.reshape(-1, 2 * width)
+        kv = x.T @ own
+        g["k"][:], g["v"][:] = kv[:, :width], kv[:, width:]
+        d = own @ np.concatenate((w["k"], w["v"]), 1).T
+        dx += dq @ w["q"].T
+        d[size:] += dx
+        for r in rows:
+            g["e"][:] += np.stack([np.bincount(r, column, self.inputs) for column in np.ascontiguousarray(d.T)], 1)
+        flat_g *= flat.dtype.type(1 / max(1, n))
+        return float(-np.log(np.maximum(said, 1e-40)).sum()) / max(1, n), flat_g
 
     def train(self, flat: np.ndarray, data: tuple[np.ndarray, ...], rate: float, seed: int, passes: float = 1.0, batch: int = 192) -> tuple[np.ndarray, float]:
         """Adam over all blocks, passes times, in runs of `batch` in a random order; sequences should lie in one. (Weights, mean loss of the last fifth.)"""
@@ -178,19 +205,16 @@ class Net:
             losses.append(loss)
         return flat, float(np.mean(losses[-max(1, steps // 5) :]))
 
-    def log10(self, flat: np.ndarray, data: tuple[np.ndarray, ...], step: int = 128) -> np.ndarray:
+    def log10(self, flat: np.ndarray, data: tuple[np.ndarray, ...], step: int = 512) -> np.ndarray:
         """log10 probability of each target, in order."""
         one, two, target, counts, follows = data
         w = self.unpack(flat)
         out = np.zeros(target.shape, np.float32)
         for a in range(0, len(one), step):
             b = min(a + step, len(one))
-            h = self.forward(w, one, two, a, b, follows)[-1]
-            cls = target[a:b].reshape(-1)
-            by = np.flatnonzero(counts[a:b].reshape(-1))
-            by = by[np.argsort((cls[by] // self.run).astype(np.uint16), kind="stable")]
+            by, some, cls = self.choice(self.forward(w, one, two, a, b, follows)[-1], target[a:b], counts[a:b])
             each = np.zeros(len(by), np.float32)
-            for p, right, *_, at in self.steps(w, h[by], cls[by]):
-                each[at] += np.log(np.maximum(p[np.arange(len(p)), right], 1e-30))
+            for p, right, *_, at in self.steps(w, some, cls):
+                each[at] += np.log(np.maximum(p[right], 1e-30))
             out[a:b].reshape(-1)[by] = each
         return out[counts] / np.float32(math.log(10))

@@ -41,6 +41,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = 64
 WARM = 4096
 SHARD = 16384  # segments, or words by four, that a task trains on
+BATCH = 384  # blocks of a step of that training
 CODED = np.dtype([("one", "<u2"), ("two", "<u2"), ("cls", "u1")])  # a place of a segment: rows of the word before it, class
 ROWS = 1024  # input rows: frequent pieces have their own, others share 64
 TOP = 63  # frequent words that are classes
@@ -88,10 +89,9 @@ class Pieces:
             sizes[at], start[at] = size, first
         every = np.concatenate((self.ids, ids.astype(np.int32)))
         if len(self.hash) + len(new) <= self.most:
-            self.hash = np.concatenate((self.hash, hashes[new]))
-            by = np.argsort(self.hash)
-            self.sizes, self.first = (np.concatenate(x)[by] for x in ((self.sizes, n), (self.first, start[new])))
-            self.hash, self.ids = self.hash[by], every
+            to = np.searchsorted(self.hash, hashes[new])
+            self.hash, self.sizes, self.first = (np.insert(x, to, y) for x, y in ((self.hash, hashes[new]), (self.sizes, n), (self.first, start[new])))
+            self.ids = every
         return every[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))].astype(np.int64), sizes
 
 
@@ -110,7 +110,12 @@ class Texts:
             end.append(y + bounds[a])
             a = b
         self.at = np.concatenate(at)
-        self.hash, first, self.words = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        every = np.concatenate(hashes)
+        by = np.argsort(every)  # np.unique would sort stably, which takes much longer
+        new = np.append(True, (ordered := every[by])[1:] != ordered[:-1])[: len(by)]
+        self.words = np.empty(len(by), np.int64)
+        self.words[by] = np.cumsum(new) - 1
+        self.hash, first = ordered[new], by[new]
         self.start, self.end, self.raw = np.concatenate(start)[first], np.concatenate(end)[first], memoryview(data)
 
     def cut(self, some: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +389,7 @@ def averaged(net: Net, flat: np.ndarray, rows: DataFrame, shards: int, blocks, s
         if sum(map(len, held)):
             data = blocks(*(pa.concat_arrays([b.column(i) for b in held]) for i in (1, 0)), sent)
             held.clear()
-            got, _ = net.train(flat, data, rate, len(data[0]))
+            got, _ = net.train(flat, data, rate, len(data[0]), batch=BATCH)
             n = np.full(net.size, len(data[0]), np.int64)
             whole = np.round(got.astype(np.float64) * (1 << 24)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(net.size, dtype=np.int32)), pa.array(whole * n), pa.array(n)], names=["i", "w", "n"])
@@ -481,9 +486,9 @@ def fit(got: DataFrame, counts: DataFrame, n_docs: int, path: str, warm: int = W
     if len(first):
         spelling, _ = SPELLING.train(spelling, _spelling_blocks(first["ids"].combine_chunks(), first["word"].combine_chunks(), sent), 0.02, 1, 6)
     if many:
-        words = averaged(WORDS, words, segments((1 << 63) - 1), -(-many // SHARD), _word_blocks, sent, 0.006)
+        words = averaged(WORDS, words, segments((1 << 63) - 1), -(-many // SHARD), _word_blocks, sent, 0.025)
     if types:
-        spelling = averaged(SPELLING, spelling, different, -(-types // (SHARD * 4)), _spelling_blocks, sent, 0.006)
+        spelling = averaged(SPELLING, spelling, different, -(-types // (SHARD * 4)), _spelling_blocks, sent, 0.05)
     return Model(code, words, spelling, n, kinds)
 
 
